@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from arborframe.llm import decontaminate, mixing, secrets, simhash, toxicity
+from arborframe.llm import decontaminate, language, mixing, secret_scan, simhash, suffix_tree, templates, topk, toxicity
 
 QUERIES = {
+    "op1_norm_bucket_topk": topk.op1,
+    "op2_template_removal": templates.op2,
+    "op3_suffix_tree_lm": suffix_tree.op3,
     "op4_source_mix": mixing.op4,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_simhash_pigeonring": simhash.op7,
-    "op8_secret_ledger": secrets.op8,
+    "op8_secret_ledger": secret_scan.op8,
+    "op9_bigru_language": language.op9,
     "op10_toxicity_ftrl": toxicity.op10,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
+    "op1_norm_bucket_topk": r"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+           where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint as score
+      from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select query_id, rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s) where rank <= 5
+""",
     "op4_source_mix": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
