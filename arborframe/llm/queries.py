@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from arborframe.llm import decontaminate, language, mixing, secret_scan, simhash, suffix_tree, templates, topk, toxicity
+from arborframe.llm import decontaminate, language, lines, mixing, secret_scan, simhash, suffix_tree, templates, topk, toxicity
 
 QUERIES = {
     "op1_norm_bucket_topk": topk.op1,
     "op2_template_removal": templates.op2,
     "op3_suffix_tree_lm": suffix_tree.op3,
     "op4_source_mix": mixing.op4,
+    "op5_line_dedup": lines.op5,
     "op6_benchmark_decontamination": decontaminate.op6,
     "op7_simhash_pigeonring": simhash.op7,
     "op8_secret_ledger": secret_scan.op8,
