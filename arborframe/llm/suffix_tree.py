@@ -32,8 +32,8 @@ from arborframe.llm.common import remainder, stored, table, texts
 DEPTH, SHARE, STATES = 5, 5e-6, 60_000
 #: Nats that retaining a context must gain, for each symbol seen after it, times half the log of all positions.
 DIVERGENCE, PRIOR = 0.5, 4.0
-#: Bytes of text in a block, and positions that one scoring step runs over side by side.
-BLOCK, SEGMENT = 8_000_000, 256
+#: Bytes of text in a block, bytes that are counted or scored at once, and positions that one scoring step runs over side by side.
+BLOCK, PIECE, SEGMENT = 6_000_000, 2_000_000, 256
 _PAD = b"\n" * DEPTH
 
 
@@ -42,8 +42,8 @@ def normal(text: bytes | None) -> tuple[list[bytes], bytes]:
     return words, b" ".join(words) + b"\n"
 
 
-def _blocks(batches, columns: int):
-    """Batches regrouped as (rows of the columns before the last, texts) of about BLOCK bytes."""
+def _blocks(batches, columns: int, most: int = BLOCK):
+    """Batches regrouped as (rows of the columns before the last, texts) of about `most` bytes."""
     rows, size = [], 0
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -52,13 +52,24 @@ def _blocks(batches, columns: int):
             for i, t in enumerate(texts(part.column(columns))):
                 rows.append((*[k[i] for k in kept], t))
                 size += len(t or b"")
-                if size >= BLOCK or len(rows) >= 60_000:
+                if size >= most or len(rows) >= 60_000:
                     yield rows
                     rows, size = [], 0
     if rows:
         yield rows
 
 
+def _pieces(bodies: list[bytes]):
+    at = 0
+    while at < len(bodies):
+        end, size = at, 0
+        while end < len(bodies) and size < PIECE:
+            size += len(bodies[end])
+            end += 1
+        yield bodies[at:end]
+        at = end
+
+
 def _reduced(keys: np.ndarray, counts: np.ndarray | None = None):
     """Distinct sorted keys and their summed counts."""
     if counts is None:
@@ -91,7 +102,7 @@ def gather(docs: DataFrame, train, text: str, buckets: int) -> DataFrame:
 
     def run(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for rows in _blocks(batches, 0):
+        for rows in _blocks(batches, 0, PIECE):
             k, c = grams([normal(t)[1] for (t,) in rows])
             keys, counts = _reduced(np.concatenate((keys, k)), np.concatenate((counts, c)))
         bucket = ((keys >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
@@ -212,7 +223,7 @@ def score_texts(model: tuple, bodies: list[bytes]) -> np.ndarray:
     kind, move, log = model
     width = move.shape[1]
     move, log = move.ravel(), log.ravel()
-    data = kind[np.frombuffer(_PAD + _PAD.join(bodies), np.uint8)]
+    data = kind.astype(np.int16)[np.frombuffer(_PAD + _PAD.join(bodies), np.uint8)]
     n = len(data) - DEPTH
     lanes = -(-n // SEGMENT)
     data = np.concatenate((data, np.zeros(lanes * SEGMENT - n, data.dtype)))
@@ -263,7 +274,8 @@ def posted(docs: DataFrame, model, keep: list[str], train, text: str, buckets: i
                 word += [ids.setdefault(x, len(ids)) for x in own]
                 count += own.values()
                 doc += [i] * len(own)
-            scores = np.concatenate([score_texts(shared.value, bodies[at : at + 4096]) for at in range(0, len(bodies), 4096)])
+            scores = np.concatenate([score_texts(shared.value, some) for some in _pieces(bodies)])
+            bodies.clear()
             listed = list(ids)
             bucket = np.fromiter((xxhash.xxh64_intdigest(x) % buckets for x in listed), np.int64, len(listed))
             by = np.argsort(bucket, kind="stable")
