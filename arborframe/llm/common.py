@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -36,7 +37,12 @@ def stored(df: DataFrame) -> DataFrame:
     """Like materialize(), as a Parquet table in the shared folder: columnar, so later readers prune columns."""
     where = os.path.join(checkpoint_dir(df.sparkSession), f"t-{uuid.uuid4().hex}")
     df.write.parquet(where)
-    return df.sparkSession.read.parquet(where)
+    spark = df.sparkSession
+    del df
+    # shuffle files of what is stored now would else stay until the driver's heap fills
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.parquet(where)
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:

@@ -6,8 +6,8 @@ words of their prefixes; position, length and parity-signature filters (each an
 candidates, whose Jaccard similarity is then verified.  A line goes if an equal or similar line stands before it,
 in order of (doc_id, line number); whether that one goes too does not matter.
 
-A word under which very many sets meet is dealt out as tiles.  Where a set has more than FEW candidates under one
-word, the nearest go first; sets that these do not settle are searched again without a limit, so none is lost.
+A word under which very many sets meet is dealt out as tiles.  A set's nearest candidate goes first; sets with
+others that it does not settle are searched again without a limit, so none is lost.
 
 Edge cases: lines of fewer than LEAST distinct words stay; null texts have no lines and stay null; null ids stand
 last; rows with an equal id and text are one document and keep the same lines; very long lines are compared whole;
@@ -25,8 +25,10 @@ from arborframe.llm.common import stored, table, texts
 
 SIMILARITY, LEAST = 0.8, 5
 TABLE = 1 << 20
-#: Sets meeting under one word in one tile; candidates of a set under one word in the first search.
-TILE, FEW = 20_000, 8
+#: Sets meeting under one word in one tile; candidates of a set from one bucket of words in the first search.
+TILE, FEW = 20_000, 1
+#: Sets under one word that are compared by shifts of the whole sorted batch.
+SMALL = 24
 #: Unsettled sets that one further search takes.
 AGAIN = 500_000
 _RECORD = np.dtype([("word", "<u4"), ("tile", "<u4"), ("own", "<u2"), ("at", "<u2"), ("size", "<u4"), ("sign", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("id", "<i8")])
@@ -40,13 +42,26 @@ class _Hashes(dict):
         return x
 
 
-def line_sets(text: bytes | None, hashes: dict):
-    """(line number, id of the set, sorted hashes) for the lines that take part."""
-    for i, line in enumerate(text.split(b"\n") if text else ()):
-        words = set(line.lower().split())
-        if len(words) >= LEAST:
-            h = np.unique(np.fromiter(map(hashes.__getitem__, words), np.uint32, len(words)))
-            yield i, xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63), h
+def line_sets(bodies: list[bytes | None], hashes: dict):
+    """(text's index, line number, id of the set, its sorted hashes) for the lines of the texts that take part."""
+    owner, number, count, words = [], [], [], []
+    for i, text in enumerate(bodies):
+        for k, line in enumerate(text.lower().split(b"\n") if text else ()):
+            w = line.split()
+            if len(w) >= LEAST:
+                owner.append(i)
+                number.append(k)
+                count.append(len(w))
+                words += w
+    flat = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    key = np.sort(np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(32) | flat)
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    cut = np.searchsorted(key, np.arange(len(count) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+    h = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    for i, k, lo, hi in zip(owner, number, cut, cut[1:]):
+        if hi - lo >= LEAST:
+            x = h[lo:hi].tobytes()
+            yield i, k, xxhash.xxh64_intdigest(x) - (1 << 63), x
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
@@ -55,12 +70,12 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, seen = batch.slice(at, 512), {}
-                for doc, t in zip(part.column(0).to_pylist(), texts(part.column(1))):
-                    for line, set_id, h in line_sets(t, hashes):
-                        if set_id not in seen or (doc, line) < seen[set_id][:2]:
-                            seen[set_id] = doc, line, h.tobytes()
+            for at in range(0, batch.num_rows, 256):
+                part, seen = batch.slice(at, 256), {}
+                docs_ = part.column(0).to_pylist()
+                for i, line, set_id, h in line_sets(texts(part.column(1)), hashes):
+                    if set_id not in seen or (docs_[i], line) < seen[set_id][:2]:
+                        seen[set_id] = docs_[i], line, h
                 ids = list(seen)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array([seen[i][0] for i in ids], pa.int64()), pa.array([seen[i][1] for i in ids], pa.int32()), pa.array([seen[i][2] for i in ids], pa.binary())],
@@ -99,32 +114,78 @@ def _counts(sets: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def _records(set_id: int, doc: int, line: int, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    n = len(words)
-    held = counts[words % TABLE].astype(np.int64)
-    by = np.lexsort((words, held))
-    prefix = by[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
-    some = held[prefix] > 1  # what no other set holds meets nothing
-    mixed = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
-    sign = np.bitwise_xor.reduce(np.uint64(1) << mixed)
-    out = np.zeros(int(some.sum()), _RECORD)
-    out["word"], out["at"] = words[prefix[some]], np.minimum(np.flatnonzero(some), 65535)
-    out["size"], out["sign"], out["doc"], out["line"], out["id"] = n, sign, doc, line, set_id
-    parts = -(-held[prefix[some]] // TILE)
+def _records(ids, docs, lines, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Prefix records of at most 16,384 sets."""
+    size = np.fromiter(map(len, words), np.int64, len(words)) // 4
+    flat, owner = np.frombuffer(b"".join(words), np.uint32), np.repeat(np.arange(len(size)), size)
+    mixed = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
+    begins = np.concatenate(([0], np.cumsum(size)))[:-1]
+    sign = np.bitwise_xor.reduceat(np.uint64(1) << mixed, begins)
+    # one order of all words: rarer first (counts above 18 bits are alike), then by hash
+    rarity = np.minimum(counts[flat % TABLE], (1 << 18) - 1).astype(np.uint64)
+    key = np.sort(owner.astype(np.uint64) << np.uint64(50) | rarity << np.uint64(32) | flat)
+    word = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    at = np.arange(len(key)) - begins[owner]
+    prefix = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
+    held = counts[word % TABLE].astype(np.int64)
+    keep = np.flatnonzero((at < prefix[owner]) & (held > 1))  # what no other set holds meets nothing
+    owner, held = owner[keep], held[keep]
+    out = np.zeros(len(keep), _RECORD)
+    out["word"], out["at"], out["size"], out["sign"] = word[keep], np.minimum(at[keep], 65535), size[owner], sign[owner]
+    out["id"], out["doc"], out["line"] = np.asarray(ids)[owner], np.asarray(docs)[owner], np.asarray(lines)[owner]
+    parts = -(-held // TILE)
     if (parts == 1).all():
         return out
     # words of many sets: the record goes to every tile of its own part
-    copies = [out[parts == 1]]
-    for r, c in zip(out[parts > 1], parts[parts > 1]):
-        own, other = (set_id & 0x7FFFFFFF) % c, np.arange(c)
-        more = np.repeat(r, c)
-        more["own"], more["tile"] = own, np.minimum(own, other) * c + np.maximum(own, other) + 1
-        copies.append(more)
-    return np.concatenate(copies)
+    one, c = out[parts > 1], parts[parts > 1]
+    other = np.concatenate([np.arange(n) for n in c])
+    more, c = np.repeat(one, c), np.repeat(c, c)
+    own = (more["id"] & 0x7FFFFFFF) % c
+    more["own"], more["tile"] = own, np.minimum(own, other) * c + np.maximum(own, other) + 1
+    return np.concatenate((out[parts == 1], more))
+
+
+def _fits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs of records pass the filters, and in how many bits their signatures differ."""
+    a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
+    i, j = x["at"].astype(np.int64), y["at"].astype(np.int64)
+    need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
+    differ = np.bitwise_count(x["sign"] ^ y["sign"]).astype(np.int64)
+    ok = (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) + np.minimum(i, j) >= need)
+    return ok & (a + b - differ >= 2 * need), differ
+
+
+def _few(a, b, differ, few):
+    """The `few` nearest partners of each b, their differences, and whether b has others."""
+    if len(b):
+        by = np.lexsort((a, differ, b))
+        by = by[np.r_[True, (b[by][1:] != b[by][:-1]) | (a[by][1:] != a[by][:-1])]]
+        a, b, differ = a[by], b[by], differ[by]
+    if few is None or not len(b):
+        return a, b, differ, np.zeros(len(b), bool)
+    first = np.searchsorted(b, b)
+    more = np.searchsorted(b, b, "right") - first > few
+    within = np.arange(len(b)) - first < few
+    return a[within], b[within], differ[within], more[within]
+
+
+def _meet_small(r: np.ndarray, group: np.ndarray):
+    """Candidate pairs within groups of at most SMALL records (sorted by group, then order); group: each record's number."""
+    a, b, differ = [], [], []
+    for d in range(1, SMALL):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        if not len(i):
+            break
+        ok, n = _fits(r[i], r[i + d])
+        a.append(r["id"][i[ok]])
+        b.append(r["id"][i[ok] + d])
+        differ.append(n[ok])
+    return (np.concatenate(a), np.concatenate(b), np.concatenate(differ)) if a else (r["id"][:0],) * 3
 
 
 def _meet(r: np.ndarray, few: int | None):
-    """Candidate pairs (earlier, later) among the records of one word and tile, and later ones cut short."""
+    """Candidate pairs (earlier, later) among the records of one word and tile, and their differences; of each
+    block of later ones only what _few keeps, and a second one where there are others."""
     r = r[np.lexsort((r["id"], r["line"], r["doc"]))]
     apart, both = len(np.unique(r["own"])) > 1, ([], [], [])
     size, at = r["size"].astype(np.int64), r["at"].astype(np.int64)
@@ -145,20 +206,15 @@ def _meet(r: np.ndarray, few: int | None):
         differ = np.bitwise_count(r["sign"][lo + i] ^ r["sign"][j]).astype(np.int64)
         good = total[i, j] - differ >= 2 * need[i, j]
         i, j, differ = i[good], j[good], differ[good]
-        if few is not None and len(i):
-            by = np.lexsort((differ, i))
-            i, j = i[by], j[by]
-            first = np.searchsorted(i, i)
-            within = np.arange(len(i)) - first < few
-            both[2].extend(r["id"][lo + np.unique(i[~within])].tolist())
-            i, j = i[within], j[within]
-        both[0].extend(r["id"][j].tolist())
-        both[1].extend(r["id"][lo + i].tolist())
-    return both
+        x, y, n, _ = _few(r["id"][j], r["id"][lo + i], differ, None if few is None else few + 1)
+        both[0].append(x)
+        both[1].append(y)
+        both[2].append(n)
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in both]
 
 
 def _candidates(sets: DataFrame, counts: np.ndarray, few: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """(a, b, cut): pairs of set ids, a standing before b; rows without a name sets b that were cut short."""
+    """Pairs of set ids, a standing before b, with their differences and whether b has others."""
     spark = sets.sparkSession
     shared, wanted = spark.sparkContext.broadcast(counts.astype(np.uint32)), spark.sparkContext.broadcast(only)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -176,8 +232,9 @@ def _candidates(sets: DataFrame, counts: np.ndarray, few: int | None, only: np.n
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "records"])
 
         for batch in batches:
-            for set_id, doc, line, words in zip(*[c.to_pylist() for c in batch.columns[:3]], texts(batch.column(3))):
-                held.append(_records(set_id, doc, line, np.frombuffer(words, np.uint32), shared.value))
+            for at in range(0, batch.num_rows, 16_384):
+                ids, docs, lines, words = batch.slice(at, 16_384).columns
+                held.append(_records(ids, docs, lines, texts(words), shared.value))
                 size += len(held[-1])
                 if size > 1_000_000:
                     yield out()
@@ -187,24 +244,25 @@ def _candidates(sets: DataFrame, counts: np.ndarray, few: int | None, only: np.n
 
     def meet(key, data):
         r = np.concatenate([np.frombuffer(x.as_py(), _RECORD) for x in data.column("records")])
-        r = r[np.lexsort((r["tile"], r["word"]))]
+        r = r[np.lexsort((r["id"], r["line"], r["doc"], r["tile"], r["word"]))]
         cut = np.flatnonzero(np.r_[True, (r["word"][1:] != r["word"][:-1]) | (r["tile"][1:] != r["tile"][:-1]), True])
-        a, b, short = [], [], []
-        for lo, hi in zip(cut[:-1], cut[1:]):
+        sizes = np.diff(cut)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        small = (sizes <= SMALL) & (r["tile"][cut[:-1]] == 0)
+        on = small[group]
+        a, b, differ = ([x] for x in _meet_small(r[on], group[on]))
+        for lo, hi in zip(cut[:-1][~small], cut[1:][~small]):
             if hi - lo > 1 and (wanted.value is None or np.isin(r["id"][lo:hi], wanted.value).any()):
-                x, y, z = _meet(r[lo:hi], few)
-                a += x
-                b += y
-                short += z
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+                for out, x in zip((a, b, differ), _meet(r[lo:hi], few)):
+                    out.append(x)
+        a, b, differ = (np.concatenate(x).astype(np.int64) for x in (a, b, differ))
         if wanted.value is not None:
             ok = np.isin(b, wanted.value)
-            a, b = a[ok], b[ok]
-        pairs = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-        short = sorted(set(short))
-        return pa.table({"a": pa.array([*pairs[0].tolist(), *[None] * len(short)], pa.int64()), "b": pa.array([*pairs[1].tolist(), *short], pa.int64())})
+            a, b, differ = a[ok], b[ok], differ[ok]
+        a, b, differ, more = _few(a, b, differ, few)
+        return pa.table({"a": pa.array(a), "b": pa.array(b), "differ": pa.array(differ), "more": pa.array(more)})
 
-    return sets.select("id", "doc", "line", "words").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
+    return sets.select("id", "doc", "line", "words").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, differ bigint, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,24 +279,25 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
 
     x, y = (sets.select(F.col("id").alias(f"_{n}"), F.col("words").alias(n)) for n in "xy")
-    joined = pairs.distinct().join(x, F.col("a") == F.col("_x")).join(y, F.col("b") == F.col("_y")).select("b", "x", "y")
+    joined = pairs.join(x, F.col("a") == F.col("_x")).join(y, F.col("b") == F.col("_y")).select("b", "x", "y")
     return joined.mapInArrow(run, "id bigint").distinct()
 
 
 def repeated_sets(sets: DataFrame, few: int = FEW, again: int = AGAIN) -> DataFrame:
     """Ids of the sets that are similar to an earlier one."""
     counts = _counts(sets)
-    found = stored(_candidates(sets, counts, few))
-    settled = stored(_verified(found.where("a is not null"), sets))
+    nearest = _candidates(sets, counts, few).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("n"), (F.max("more") | (F.min("a") < F.max("a"))).alias("more"))
+    found = stored(nearest.select("b", "n.a", "more"))
+    settled = stored(_verified(found.select("a", "b"), sets))
+    found = found.where("more").select(F.col("b").alias("id"))
     while True:
-        open_ = found.where("a is null").select(F.col("b").alias("id")).distinct().join(settled, "id", "left_anti")
-        some = np.array(sorted(r[0] for r in open_.limit(again).collect()), np.int64)  # at most `again` ids
+        some = np.array(sorted(r[0] for r in found.join(settled, "id", "left_anti").limit(again).collect()), np.int64)  # at most `again` ids
         if not len(some):
             return settled
-        more = _verified(_candidates(sets, counts, None, some), sets)
+        more = _verified(_candidates(sets, counts, None, some).select("a", "b").distinct(), sets)
         settled = stored(settled.unionByName(more).distinct())
-        done = sets.sparkSession.createDataFrame([(int(i),) for i in some], "b bigint")
-        found = found.join(F.broadcast(done), "b", "left_anti")
+        done = sets.sparkSession.createDataFrame([(int(i),) for i in some], "id bigint")
+        found = stored(found.join(F.broadcast(done), "id", "left_anti"))
 
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -250,10 +309,10 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches):
         hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, rows = batch.slice(at, 512), []
-                for doc, tie, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts(part.column(2))):
-                    rows += [(doc, tie, line, set_id) for line, set_id, _ in line_sets(t, hashes)]
+            for at in range(0, batch.num_rows, 256):
+                part, rows = batch.slice(at, 256), []
+                docs_, ties = part.column(0).to_pylist(), part.column(1).to_pylist()
+                rows += [(docs_[i], ties[i], line, set_id) for i, line, set_id, _ in line_sets(texts(part.column(2)), hashes)]
                 columns = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["doc", "tie", "line", "id"])
 
