@@ -23,7 +23,7 @@ from arborframe.llm.decontaminate import words
 
 BITS = 22
 #: Labelled rows that training may read.
-SAMPLE = 12_000
+SAMPLE = 8_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: Sampled texts that a feature must be in to be learned.
