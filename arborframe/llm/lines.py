@@ -250,9 +250,10 @@ def _candidates(sets: DataFrame, counts: np.ndarray, few: int | None, only: np.n
         group = np.repeat(np.arange(len(sizes)), sizes)
         small = (sizes <= SMALL) & (r["tile"][cut[:-1]] == 0)
         on = small[group]
+        want = np.ones(len(r), bool) if wanted.value is None else np.isin(r["id"], wanted.value)
         a, b, differ = ([x] for x in _meet_small(r[on], group[on]))
         for lo, hi in zip(cut[:-1][~small], cut[1:][~small]):
-            if hi - lo > 1 and (wanted.value is None or np.isin(r["id"][lo:hi], wanted.value).any()):
+            if hi - lo > 1 and want[lo:hi].any():
                 for out, x in zip((a, b, differ), _meet(r[lo:hi], few)):
                     out.append(x)
         a, b, differ = (np.concatenate(x).astype(np.int64) for x in (a, b, differ))
