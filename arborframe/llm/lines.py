@@ -2,12 +2,13 @@
 
 A line is the set of its words (A-Z lower-cased, by 32-bit hash).  Equal sets are collapsed first.  Distinct sets
 order their words by rarity (counts in a fixed table of hashes, broadcast: TABLE entries), and meet under the
-words of their prefixes; position, length and parity-signature filters (each an exact bound on the overlap) leave
+words of their prefixes; length, position and parity-signature filters (each an exact bound on the overlap) leave
 candidates, whose Jaccard similarity is then verified.  A line goes if an equal or similar line stands before it,
 in order of (doc_id, line number); whether that one goes too does not matter.
 
-A word under which very many sets meet is dealt out as tiles.  A set's nearest candidate goes first; sets with
-others that it does not settle are searched again without a limit, so none is lost.
+A word under which very many sets meet is dealt out as tiles.  A set's nearest candidate is verified first; sets
+with others that it does not settle are searched again, for eight times as many candidates each time, until all
+have been verified, so none is lost.
 
 Edge cases: lines of fewer than LEAST distinct words stay; null texts have no lines and stay null; null ids stand
 last; rows with an equal id and text are one document and keep the same lines; very long lines are compared whole;
@@ -18,72 +19,174 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from arborframe.llm.common import stored, table, texts
 
 SIMILARITY, LEAST = 0.8, 5
-TABLE = 1 << 20
-#: Sets meeting under one word in one tile; candidates of a set from one bucket of words in the first search.
-TILE, FEW = 20_000, 1
-#: Sets under one word that are compared by shifts of the whole sorted batch.
-SMALL = 24
-#: Unsettled sets that one further search takes.
-AGAIN = 500_000
-_RECORD = np.dtype([("word", "<u4"), ("tile", "<u4"), ("own", "<u2"), ("at", "<u2"), ("size", "<u4"), ("sign", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("id", "<i8")])
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        x = self[word] = xxhash.xxh32_intdigest(word)
-        return x
-
-
-def line_sets(bodies: list[bytes | None], hashes: dict):
-    """(text's index, line number, id of the set, its sorted hashes) for the lines of the texts that take part."""
-    owner, number, count, words = [], [], [], []
-    for i, text in enumerate(bodies):
-        for k, line in enumerate(text.lower().split(b"\n") if text else ()):
-            w = line.split()
-            if len(w) >= LEAST:
-                owner.append(i)
-                number.append(k)
-                count.append(len(w))
-                words += w
-    flat = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    key = np.sort(np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(32) | flat)
+TABLE = 1 << 22
+#: Sets meeting under one word in one tile.
+TILE = 20_000
+#: Unsettled sets that one further search takes, and entries of the bitmap of the words they meet under.
+AGAIN, MEETING = 500_000, 1 << 22
+#: Bytes of text that are split at once, words of sets that are sent at once, and pairs that are held at once.
+PIECE, SENT, HELD = 1 << 20, 4_000_000, 1_000_000
+_RECORD = np.dtype([("key", "<u4"), ("at", "<u2"), ("size", "<u4"), ("sign", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("id", "<i8")])
+_HEAD = np.dtype([("id", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4")])
+_U = np.uint64
+#: Words are hashed as polynomials over random byte values modulo 2^64; the inverse moves a hash to the word's start.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
+    return x ^ x >> _U(31)
+
+
+def _byte_values() -> np.ndarray:
+    values = _mix(np.arange(1, 257, dtype=np.uint64) * _U(BASE))
+    values[65:91] = values[97:123]
+    return values
+
+
+_VALUES = _byte_values()
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+class Powers:
+    """Powers of BASE and of its inverse; a worker makes them once and extends them for longer pieces."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = max(n, 2 * PIECE)
+            for name, x in (("up", BASE), ("down", INVERSE)):
+                steps = np.full(n, x, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+        return self.up, self.down
+
+
+def line_sets(bodies: list[bytes | None], powers: Powers):
+    """(text's index, line number, id of the set, where its words begin) for lines that take part, and all words'
+    hashes; a set's hashes are sorted and end where the next one's begin."""
+    bodies = [t or b"" for t in bodies]
+    raw = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
+    up, down = powers.upto(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_VALUES[raw] * up[: len(raw)], out=total[1:])
+    space = _SPACE[raw]
+    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])  # the piece ends in a newline
+    h = _mix((total[ends] - total[starts]) * down[starts]) >> _U(32)
+    new = np.flatnonzero(raw == 10)
+    key = np.sort(np.searchsorted(new, starts).astype(np.uint64) << _U(32) | h)
     key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    cut = np.searchsorted(key, np.arange(len(count) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
-    h = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    for i, k, lo, hi in zip(owner, number, cut, cut[1:]):
-        if hi - lo >= LEAST:
-            x = h[lo:hi].tobytes()
-            yield i, k, xxhash.xxh64_intdigest(x) - (1 << 63), x
+    line = (key >> _U(32)).astype(np.int64)
+    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[begin, len(key)])
+    keep = np.repeat(count >= LEAST, count)
+    line, begin, words = line[begin][count >= LEAST], None, (key[keep] & _U(0xFFFFFFFF)).astype(np.uint32)
+    count = count[count >= LEAST]
+    cut = np.r_[0, np.cumsum(count)]
+    ids = np.add.reduceat(_mix(words.astype(np.uint64) + _U(BASE)), cut[:-1]) if len(line) else np.zeros(0, np.uint64)
+    ids = _mix(ids + count.astype(np.uint64)).view(np.int64)
+    # the number of a text's first line: newlines before it, each text being closed by one
+    at = np.cumsum([0] + [len(t) + 1 for t in bodies])[:-1]
+    first = np.searchsorted(new, at)
+    owner = np.searchsorted(first, line, "right") - 1
+    return owner, line - first[owner], ids, cut, words
+
+
+def _pieces(batch):
+    """Slices of a batch whose texts (the last column) have about PIECE bytes, at least one text each."""
+    begin, size = 0, 0
+    for i, t in enumerate(bodies := texts(batch.column(batch.num_columns - 1))):
+        if i > begin and size + len(t or b"") > PIECE:
+            yield batch.slice(begin, i - begin), bodies[begin:i]
+            begin, size = i, 0
+        size += len(t or b"")
+    if begin < len(bodies):
+        yield batch.slice(begin), bodies[begin:]
+
+
+def _gather(cut: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the elements of the runs `which` (run k being cut[k] to cut[k + 1]), and the new cut."""
+    n = (cut[1:] - cut[:-1])[which]
+    new = np.r_[0, np.cumsum(n)]
+    return np.repeat(cut[:-1][which] - new[:-1], n) + np.arange(new[-1]), new
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column of hashes as one array, with the cut."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    body = column.buffers()[2]
+    words = np.frombuffer(body, np.uint8)[at[0] : at[-1]].view(np.uint32) if body is not None and at[-1] > at[0] else np.zeros(0, np.uint32)
+    return words, (at - at[0]) // 4
+
+
+def _earliest(head: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One entry for each set, with the place of its first line, by id; its words and their cut."""
+    by = np.lexsort((head["line"], head["doc"], head["id"]))
+    by = by[np.r_[True, head["id"][by][1:] != head["id"][by][:-1]]] if len(by) else by
+    index, cut = _gather(np.r_[0, np.cumsum(head["size"].astype(np.int64))], by)
+    return head[by], words[index], cut
+
+
+def _dealt(bucket: np.ndarray, count: int):
+    """For each bucket that occurs, the indexes of its entries."""
+    by = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[by], np.arange(count + 1))
+    for b in np.flatnonzero(cut[1:] > cut[:-1]):
+        yield int(b), by[cut[b] : cut[b + 1]]
+
+
+def _buckets(df: DataFrame) -> int:
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
-    """Distinct sets with the place of their first line."""
+    """Distinct sets with the place of their first line.  Equal sets are collapsed before and after the shuffle."""
+    buckets = _buckets(docs)
+
+    def deal(batches):
+        powers, heads, bodies, held = Powers(), [], [], 0
+
+        def out():
+            head, words, cut = _earliest(np.concatenate(heads), np.concatenate(bodies))
+            found = list(_dealt((_mix(head["id"].view(np.uint64)) % _U(buckets)).astype(np.int64), buckets))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in found], pa.int32()), pa.array([head[i].tobytes() for _, i in found], pa.binary()), pa.array([words[_gather(cut, i)[0]].tobytes() for _, i in found], pa.binary())],
+                names=["bucket", "head", "words"],
+            )
 
-    def run(batches):
-        hashes = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, seen = batch.slice(at, 256), {}
-                docs_ = part.column(0).to_pylist()
-                for i, line, set_id, h in line_sets(texts(part.column(1)), hashes):
-                    if set_id not in seen or (docs_[i], line) < seen[set_id][:2]:
-                        seen[set_id] = docs_[i], line, h
-                ids = list(seen)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array([seen[i][0] for i in ids], pa.int64()), pa.array([seen[i][1] for i in ids], pa.int32()), pa.array([seen[i][2] for i in ids], pa.binary())],
-                    names=["id", "doc", "line", "words"],
-                )
-
-    found = docs.select(_order(docs), docs[text].alias("_t")).mapInArrow(run, "id bigint, doc bigint, line int, words binary")
-    return found.groupBy("id").agg(F.min(F.struct("doc", "line")).alias("first"), F.first("words").alias("words")).select("id", "first.doc", "first.line", "words")
+            for part, texts_ in _pieces(batch):
+                owner, line, ids, cut, words = line_sets(texts_, powers)
+                head = np.zeros(len(ids), _HEAD)
+                head["id"], head["doc"], head["line"], head["size"] = ids, part.column(0).to_numpy()[owner], line, np.diff(cut)
+                heads.append(head)
+                bodies.append(words)
+                held += len(words)
+                if held > SENT:
+                    yield out()
+                    heads, bodies, held = [], [], 0
+        if held:
+            yield out()
+
+    def collapse(key, data):
+        head = np.concatenate([np.frombuffer(x.as_py(), _HEAD) for x in data.column("head")])
+        head, words, cut = _earliest(head, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in data.column("words")]))
+        body = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((cut * 4).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+        return pa.table({"id": head["id"].copy(), "doc": head["doc"].copy(), "line": head["line"].copy(), "words": body})
+
+    sent = docs.select(_order(docs), docs[text].alias("_t")).mapInArrow(deal, "bucket int, head binary, words binary")
+    return sent.groupBy("bucket").applyInArrow(collapse, "id bigint, doc bigint, line int, words binary")
 
 
 def _order(docs: DataFrame):
@@ -97,177 +200,174 @@ def _counts(sets: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(TABLE, np.int64)
         for batch in batches:
-            for x in texts(batch.column(0)):
-                np.add.at(total, np.frombuffer(x, np.uint32) % TABLE, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in np.split(total, slices)], pa.binary())], names=["slice", "counts"])
+            total += np.bincount(_flat(batch.column(0))[0] % TABLE, minlength=TABLE)
+        parts = np.split(np.minimum(total, 2**32 - 1).astype(np.uint32), slices)
+        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
 
     def add(key, data):
         total = np.zeros(TABLE // slices, np.int64)
         for x in data.column("counts"):
-            total += np.frombuffer(x.as_py(), np.int64)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(x.as_py(), np.uint32)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     rows = sets.select("words").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros((slices, TABLE // slices), np.int64)
+    out = np.zeros((slices, TABLE // slices), np.uint32)
     for r in rows:
-        out[r[0]] = np.frombuffer(bytes(r[1]), np.int64)
+        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint32)
     return out.ravel()
 
 
-def _records(ids, docs, lines, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """Prefix records of at most 16,384 sets."""
-    size = np.fromiter(map(len, words), np.int64, len(words)) // 4
-    flat, owner = np.frombuffer(b"".join(words), np.uint32), np.repeat(np.arange(len(size)), size)
-    mixed = flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58)
-    begins = np.concatenate(([0], np.cumsum(size)))[:-1]
-    sign = np.bitwise_xor.reduceat(np.uint64(1) << mixed, begins)
+def _records(batch, counts: np.ndarray) -> np.ndarray:
+    """Prefix records of a batch of sets (id, doc, line, words)."""
+    flat, cut = _flat(batch.column(3))
+    begins, size = cut[:-1], np.diff(cut)
+    owner = np.repeat(np.arange(len(size)), size)
+    spot = _mix(flat.astype(np.uint64)) >> _U(57)
+    bit = _U(1) << (spot & _U(63))
+    sign = [np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), begins) for half in (spot < 64, spot >= 64)]
     # one order of all words: rarer first (counts above 18 bits are alike), then by hash
     rarity = np.minimum(counts[flat % TABLE], (1 << 18) - 1).astype(np.uint64)
-    key = np.sort(owner.astype(np.uint64) << np.uint64(50) | rarity << np.uint64(32) | flat)
-    word = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    key = np.sort(owner.astype(np.uint64) << _U(50) | rarity << _U(32) | flat)
+    word = (key & _U(0xFFFFFFFF)).astype(np.uint32)
     at = np.arange(len(key)) - begins[owner]
     prefix = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
-    held = counts[word % TABLE].astype(np.int64)
-    keep = np.flatnonzero((at < prefix[owner]) & (held > 1))  # what no other set holds meets nothing
-    owner, held = owner[keep], held[keep]
+    near = np.flatnonzero(at < prefix[owner])
+    held = counts[word[near] % TABLE].astype(np.int64)
+    keep, held = near[held > 1], held[held > 1]  # what no other set holds meets nothing
+    owner = owner[keep]
     out = np.zeros(len(keep), _RECORD)
-    out["word"], out["at"], out["size"], out["sign"] = word[keep], np.minimum(at[keep], 65535), size[owner], sign[owner]
-    out["id"], out["doc"], out["line"] = np.asarray(ids)[owner], np.asarray(docs)[owner], np.asarray(lines)[owner]
+    out["key"], out["at"], out["size"], out["sign"], out["more"] = word[keep], np.minimum(at[keep], 65535), size[owner], sign[0][owner], sign[1][owner]
+    for k, name in enumerate(("id", "doc", "line")):
+        out[name] = batch.column(k).to_numpy()[owner]
     parts = -(-held // TILE)
     if (parts == 1).all():
         return out
-    # words of many sets: the record goes to every tile of its own part
+    # words of many sets: a record goes to every tile of its own part
     one, c = out[parts > 1], parts[parts > 1]
     other = np.concatenate([np.arange(n) for n in c])
     more, c = np.repeat(one, c), np.repeat(c, c)
-    own = (more["id"] & 0x7FFFFFFF) % c
-    more["own"], more["tile"] = own, np.minimum(own, other) * c + np.maximum(own, other) + 1
+    own = (_mix(more["id"].view(np.uint64) if more["id"].flags.c_contiguous else more["id"].astype(np.uint64)) % c.astype(np.uint64)).astype(np.int64)
+    tile = np.minimum(own, other) * c + np.maximum(own, other) + 1
+    more["key"] = (_mix(more["key"].astype(np.uint64) + (tile.astype(np.uint64) << _U(32))) >> _U(32)).astype(np.uint32)
     return np.concatenate((out[parts == 1], more))
 
 
-def _fits(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether pairs of records pass the filters, and in how many bits their signatures differ."""
-    a, b = x["size"].astype(np.int64), y["size"].astype(np.int64)
-    i, j = x["at"].astype(np.int64), y["at"].astype(np.int64)
-    need = np.ceil(SIMILARITY / (1 + SIMILARITY) * (a + b) - 1e-9)
-    differ = np.bitwise_count(x["sign"] ^ y["sign"]).astype(np.int64)
-    ok = (np.minimum(a, b) >= SIMILARITY * np.maximum(a, b) - 1e-9) & (np.minimum(a - i, b - j) + np.minimum(i, j) >= need)
-    return ok & (a + b - differ >= 2 * need), differ
-
-
 def _few(a, b, differ, few):
     """The `few` nearest partners of each b, their differences, and whether b has others."""
-    if len(b):
-        by = np.lexsort((a, differ, b))
-        by = by[np.r_[True, (b[by][1:] != b[by][:-1]) | (a[by][1:] != a[by][:-1])]]
-        a, b, differ = a[by], b[by], differ[by]
-    if few is None or not len(b):
-        return a, b, differ, np.zeros(len(b), bool)
+    if not len(b):
+        return a, b, differ, np.zeros(0, bool)
+    by = np.lexsort((a, differ, b))
+    by = by[np.r_[True, (b[by][1:] != b[by][:-1]) | (a[by][1:] != a[by][:-1])]]
+    a, b, differ = a[by], b[by], differ[by]
     first = np.searchsorted(b, b)
     more = np.searchsorted(b, b, "right") - first > few
     within = np.arange(len(b)) - first < few
     return a[within], b[within], differ[within], more[within]
 
 
-def _meet_small(r: np.ndarray, group: np.ndarray):
-    """Candidate pairs within groups of at most SMALL records (sorted by group, then order); group: each record's number."""
-    a, b, differ = [], [], []
-    for d in range(1, SMALL):
-        i = np.flatnonzero(group[d:] == group[:-d])
-        if not len(i):
-            break
-        ok, n = _fits(r[i], r[i + d])
-        a.append(r["id"][i[ok]])
-        b.append(r["id"][i[ok] + d])
-        differ.append(n[ok])
-    return (np.concatenate(a), np.concatenate(b), np.concatenate(differ)) if a else (r["id"][:0],) * 3
-
-
-def _meet(r: np.ndarray, few: int | None):
-    """Candidate pairs (earlier, later) among the records of one word and tile, and their differences; of each
-    block of later ones only what _few keeps, and a second one where there are others."""
-    r = r[np.lexsort((r["id"], r["line"], r["doc"]))]
-    apart, both = len(np.unique(r["own"])) > 1, ([], [], [])
-    size, at = r["size"].astype(np.int64), r["at"].astype(np.int64)
-    rest = size - at
-    for lo in range(0, len(r), 256):
-        hi = min(lo + 256, len(r))
-        x, y = slice(0, hi), slice(lo, hi)
-        total = size[y, None] + size[None, x]
-        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * total - 1e-9)
-        ok = np.arange(hi)[None, :] < np.arange(lo, hi)[:, None]
-        ok &= np.minimum(size[y, None], size[None, x]) >= SIMILARITY * np.maximum(size[y, None], size[None, x]) - 1e-9
-        ok &= np.minimum(rest[y, None], rest[None, x]) >= need - np.minimum(at[y, None], at[None, x])
-        if apart:
-            ok &= r["own"][y, None] != r["own"][None, x]
-        if not ok.any():
-            continue
-        i, j = np.nonzero(ok)
-        differ = np.bitwise_count(r["sign"][lo + i] ^ r["sign"][j]).astype(np.int64)
-        good = total[i, j] - differ >= 2 * need[i, j]
-        i, j, differ = i[good], j[good], differ[good]
-        x, y, n, _ = _few(r["id"][j], r["id"][lo + i], differ, None if few is None else few + 1)
-        both[0].append(x)
-        both[1].append(y)
-        both[2].append(n)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in both]
-
-
-def _candidates(sets: DataFrame, counts: np.ndarray, few: int | None, only: np.ndarray | None = None) -> DataFrame:
-    """Pairs of set ids, a standing before b, with their differences and whether b has others."""
-    spark = sets.sparkSession
-    shared, wanted = spark.sparkContext.broadcast(counts.astype(np.uint32)), spark.sparkContext.broadcast(only)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _meet(r: np.ndarray, few: int, wanted: np.ndarray | None):
+    """Candidates among records of equal key: (a, b, differ, more), a standing before b."""
+    # larger groups first, and the sets of a group by size
+    _, group, n = np.unique(r["key"], return_inverse=True, return_counts=True)
+    meets = n > 1
+    want = np.ones(len(r), bool) if wanted is None else np.isin(r["id"], wanted)
+    if wanted is not None:
+        meets &= np.bincount(group, want, len(n)) > 0
+    on = meets[group]
+    r, group, want = r[on], group[on], want[on]
+    by = np.lexsort((r["size"], group, -n[group]))
+    r, group, want = r[by], group[by], want[by]
+    n = n[group]
+    rank = np.empty(len(r), np.int64)
+    rank[np.lexsort((r["id"], r["line"], r["doc"]))] = np.arange(len(r))
+    ids, size, at = (r[x].astype(np.int64) for x in ("id", "size", "at"))
+    sign, second = r["sign"].copy(), r["more"].copy()
+    # two sets of this size or less differ in so many words at most
+    most = np.minimum(np.floor(2 * size * (1 - SIMILARITY) / (1 + SIMILARITY) + 1e-9), 255).astype(np.uint8)
+    last = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) if len(r) else group
+    end = np.repeat(last, np.diff(np.r_[-1, last])) if len(r) else group  # the last of each record's group
+    held, total = [], 0
+
+    def fold():
+        a, b, differ = (np.concatenate(x) for x in zip(*held))
+        return _few(a, b, differ, few + 1)[:3]
+
+    for d in range(1, int(n[0]) if len(n) else 0):
+        m = int(np.searchsorted(-n, -d))  # records of groups of more than d
+        differ = np.bitwise_count(sign[d:m] ^ sign[: m - d]) + np.bitwise_count(second[d:m] ^ second[: m - d])
+        i = np.flatnonzero(differ <= most[d:m])
+        i = i[end[i] >= i + d]
+        j = i + d
+        both, differ = size[i] + size[j], differ[i].astype(np.int64)
+        need = np.ceil(SIMILARITY / (1 + SIMILARITY) * both - 1e-9)
+        reach = np.minimum(size[i] - at[i], size[j] - at[j]) + np.minimum(at[i], at[j])
+        ok = (size[i] >= SIMILARITY * size[j] - 1e-9) & (reach >= need) & (both - differ >= 2 * need)
+        i, j, differ = i[ok], j[ok], differ[ok]
+        swap = rank[i] > rank[j]
+        a, b = np.where(swap, j, i), np.where(swap, i, j)
+        ok = want[b] & (ids[a] != ids[b])
+        if ok.any():
+            held.append((ids[a[ok]], ids[b[ok]], differ[ok]))
+            total += int(ok.sum())
+            if total > HELD:
+                held, total = [fold()], 0
+    if not held:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+    return _few(*(np.concatenate(x) for x in zip(*held)), few)
+
+
+def _meeting(sets: DataFrame, counts, wanted) -> np.ndarray:
+    """A bitmap of the keys under which the wanted sets meet others."""
+
+    def keys(batches):
+        for batch in batches:
+            mine = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
+            found = np.unique(_records(mine, counts.value)["key"] % MEETING) if mine.num_rows else np.zeros(0, np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["key"])
+
+    out = np.zeros(MEETING, bool)
+    out[[r[0] for r in sets.select("id", "doc", "line", "words").mapInArrow(keys, "key int").distinct().collect()]] = True  # at most MEETING
+    return out
+
+
+def _candidates(sets: DataFrame, shared, few: int, only: np.ndarray | None = None) -> DataFrame:
+    """Pairs of set ids, a standing before b (one of `only`, if given), with their differences and whether b has
+    others.  `shared` is the broadcast table of counts."""
+    context = sets.sparkSession.sparkContext
+    wanted = context.broadcast(only)
+    meeting = context.broadcast(None if only is None else _meeting(sets, shared, wanted))
+    buckets = _buckets(sets)
 
     def deal(batches):
         held, size = [], 0
 
         def out():
             r = np.concatenate(held)
-            mixed = (r["word"].astype(np.uint64) + (r["tile"].astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-            bucket = ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            r, cut = r[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
-            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "records"])
+            found = list(_dealt((_mix(r["key"].astype(np.uint64)) % _U(buckets)).astype(np.int64), buckets))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([r[i].tobytes() for _, i in found], pa.binary())], names=["bucket", "records"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 16_384):
-                ids, docs, lines, words = batch.slice(at, 16_384).columns
-                held.append(_records(ids, docs, lines, texts(words), shared.value))
-                size += len(held[-1])
-                if size > 1_000_000:
+            for at in range(0, batch.num_rows, 8192):
+                r = _records(batch.slice(at, 8192), shared.value)
+                if meeting.value is not None:
+                    r = r[meeting.value[r["key"] % MEETING]]
+                held.append(r)
+                size += len(r)
+                if size > 500_000:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
 
     def meet(key, data):
-        r = np.concatenate([np.frombuffer(x.as_py(), _RECORD) for x in data.column("records")])
-        r = r[np.lexsort((r["id"], r["line"], r["doc"], r["tile"], r["word"]))]
-        cut = np.flatnonzero(np.r_[True, (r["word"][1:] != r["word"][:-1]) | (r["tile"][1:] != r["tile"][:-1]), True])
-        sizes = np.diff(cut)
-        group = np.repeat(np.arange(len(sizes)), sizes)
-        small = (sizes <= SMALL) & (r["tile"][cut[:-1]] == 0)
-        on = small[group]
-        want = np.ones(len(r), bool) if wanted.value is None else np.isin(r["id"], wanted.value)
-        a, b, differ = ([x] for x in _meet_small(r[on], group[on]))
-        for lo, hi in zip(cut[:-1][~small], cut[1:][~small]):
-            if hi - lo > 1 and want[lo:hi].any():
-                for out, x in zip((a, b, differ), _meet(r[lo:hi], few)):
-                    out.append(x)
-        a, b, differ = (np.concatenate(x).astype(np.int64) for x in (a, b, differ))
-        if wanted.value is not None:
-            ok = np.isin(b, wanted.value)
-            a, b, differ = a[ok], b[ok], differ[ok]
-        a, b, differ, more = _few(a, b, differ, few)
+        a, b, differ, more = _meet(np.concatenate([np.frombuffer(x.as_py(), _RECORD) for x in data.column("records")]), few, wanted.value)
         return pa.table({"a": pa.array(a), "b": pa.array(b), "differ": pa.array(differ), "more": pa.array(more)})
 
     return sets.select("id", "doc", "line", "words").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, differ bigint, more boolean")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Sets b of the pairs whose similarity reaches the threshold."""
+    """Sets b of the pairs (a, b) whose similarity reaches the threshold."""
 
     def run(batches):
         for batch in batches:
@@ -279,26 +379,32 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
 
-    x, y = (sets.select(F.col("id").alias(f"_{n}"), F.col("words").alias(n)) for n in "xy")
-    joined = pairs.join(x, F.col("a") == F.col("_x")).join(y, F.col("b") == F.col("_y")).select("b", "x", "y")
-    return joined.mapInArrow(run, "id bigint").distinct()
+    # the words of all sets are shuffled once, those of the pairs' sets a second time
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_id"))
+    held = ends.join(sets.select("id", "words"), F.col("_id") == F.col("id"))
+    both = held.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("words"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("words"))).alias("y"))
+    return both.select("b", "x", "y").mapInArrow(run, "id bigint").distinct()
 
 
-def repeated_sets(sets: DataFrame, few: int = FEW, again: int = AGAIN) -> DataFrame:
+def repeated_sets(sets: DataFrame, again: int = AGAIN) -> DataFrame:
     """Ids of the sets that are similar to an earlier one."""
-    counts = _counts(sets)
-    nearest = _candidates(sets, counts, few).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("n"), (F.max("more") | (F.min("a") < F.max("a"))).alias("more"))
+    shared = sets.sparkSession.sparkContext.broadcast(_counts(sets))
+    nearest = _candidates(sets, shared, 1).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("n"), (F.max("more") | (F.min("a") < F.max("a"))).alias("more"))
     found = stored(nearest.select("b", "n.a", "more"))
     settled = stored(_verified(found.select("a", "b"), sets))
     found = found.where("more").select(F.col("b").alias("id"))
     while True:
-        some = np.array(sorted(r[0] for r in found.join(settled, "id", "left_anti").limit(again).collect()), np.int64)  # at most `again` ids
+        found = stored(found.join(settled, "id", "left_anti"))
+        some = np.array(sorted(r[0] for r in found.limit(again).collect()), np.int64)  # at most `again` ids
         if not len(some):
             return settled
-        more = _verified(_candidates(sets, counts, None, some).select("a", "b").distinct(), sets)
-        settled = stored(settled.unionByName(more).distinct())
-        done = sets.sparkSession.createDataFrame([(int(i),) for i in some], "id bigint")
-        found = stored(found.join(F.broadcast(done), "id", "left_anti"))
+        done, few = sets.sparkSession.createDataFrame([(int(i),) for i in some], "id bigint"), 8
+        while len(some):
+            pairs = stored(_candidates(sets, shared, few, some))
+            settled = stored(settled.unionByName(_verified(pairs.select("a", "b").distinct(), sets)).distinct())
+            rest = pairs.where("more").select(F.col("b").alias("id")).distinct().join(settled, "id", "left_anti")
+            some, few = np.array(sorted(r[0] for r in rest.collect()), np.int64), few * 8  # some of the ids of before
+        found = found.join(F.broadcast(done), "id", "left_anti")
 
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -308,14 +414,12 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     limits = sets.join(repeated.select(F.col("id").alias("_r")), F.col("id") == F.col("_r"), "left").select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), F.col("line").alias("_line"), F.col("_r").isNotNull().alias("all"))
 
     def run(batches):
-        hashes = _Hashes()
+        powers = Powers()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                docs_, ties = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows += [(docs_[i], ties[i], line, set_id) for i, line, set_id, _ in line_sets(texts(part.column(2)), hashes)]
-                columns = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 2 else pa.int64()) for k, c in enumerate(columns)], names=["doc", "tie", "line", "id"])
+            for part, bodies in _pieces(batch):
+                owner, line, ids, _, _ = line_sets(bodies, powers)
+                docs_, ties = (part.column(k).to_numpy()[owner] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(ties), pa.array(line.astype(np.int32)), pa.array(ids)], names=["doc", "tie", "line", "id"])
 
     lines = docs.select(_order(docs), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("_t")).mapInArrow(run, "doc bigint, tie bigint, line int, id bigint")
     later = (F.col("doc") > F.col("_doc")) | ((F.col("doc") == F.col("_doc")) & (F.col("line") > F.col("_line")))
