@@ -30,7 +30,9 @@ TILE = 20_000
 #: Unsettled sets that one further search takes, and entries of the bitmap of the words they meet under.
 AGAIN, MEETING = 500_000, 1 << 22
 #: Bytes of text that are split at once, words of sets that are sent at once, and pairs that are held at once.
-PIECE, SENT, HELD = 1 << 20, 4_000_000, 1_000_000
+PIECE, SENT, HELD = 1 << 20, 2_000_000, 1_000_000
+#: Bits of the filter for sets that are in some pair (8 an id, up to so many); one that passes in vain is only shuffled.
+FILTER = 1 << 26
 _RECORD = np.dtype([("key", "<u4"), ("at", "<u2"), ("size", "<u4"), ("sign", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("id", "<i8")])
 _HEAD = np.dtype([("id", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4")])
 _U = np.uint64
@@ -353,7 +355,7 @@ def _candidates(sets: DataFrame, shared, few: int, only: np.ndarray | None = Non
                     r = r[meeting.value[r["key"] % MEETING]]
                 held.append(r)
                 size += len(r)
-                if size > 500_000:
+                if size > 300_000:
                     yield out()
                     held, size = [], 0
         if size:
@@ -366,6 +368,41 @@ def _candidates(sets: DataFrame, shared, few: int, only: np.ndarray | None = Non
     return sets.select("id", "doc", "line", "words").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, differ bigint, more boolean")
 
 
+def _among(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """id and words of the sets whose id is among ids, and of a few others: a Bloom filter before the shuffle."""
+    slices, count = 64, ids.count()
+    bits = min(FILTER, 1 << max(16, (8 * count).bit_length()))
+
+    def spot(column):
+        return (_mix(column.to_numpy().view(np.uint64)) % _U(bits)).astype(np.int64)
+
+    def mark(batches):
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[spot(batch.column(0))] = True
+        parts = np.split(np.packbits(seen), slices)
+        some = [k for k in range(slices) if parts[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["slice", "bits"])
+
+    def merge(key, data):
+        total = np.zeros(bits // 8 // slices, np.uint8)
+        for x in data.column("bits"):
+            total |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    table_ = np.zeros((slices, bits // 8 // slices), np.uint8)
+    for r in ids.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
+        table_[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(table_.ravel())
+
+    def keep(batches):
+        for batch in batches:
+            at = spot(batch.column(0))
+            yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    return sets.select("id", "words").mapInArrow(keep, "id bigint, words binary")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Sets b of the pairs (a, b) whose similarity reaches the threshold."""
 
@@ -379,9 +416,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
 
-    # the words of all sets are shuffled once, those of the pairs' sets a second time
+    # only the words of sets that are in pairs are shuffled
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_id"))
-    held = ends.join(sets.select("id", "words"), F.col("_id") == F.col("id"))
+    held = ends.join(_among(ends.select("_id"), sets), F.col("_id") == F.col("id"))
     both = held.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("words"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("words"))).alias("y"))
     return both.select("b", "x", "y").mapInArrow(run, "id bigint").distinct()
 
@@ -401,7 +438,7 @@ def repeated_sets(sets: DataFrame, again: int = AGAIN) -> DataFrame:
         done, few = sets.sparkSession.createDataFrame([(int(i),) for i in some], "id bigint"), 8
         while len(some):
             pairs = stored(_candidates(sets, shared, few, some))
-            settled = stored(settled.unionByName(_verified(pairs.select("a", "b").distinct(), sets)).distinct())
+            settled = stored(settled.unionByName(_verified(stored(pairs.select("a", "b").distinct()), sets)).distinct())
             rest = pairs.where("more").select(F.col("b").alias("id")).distinct().join(settled, "id", "left_anti")
             some, few = np.array(sorted(r[0] for r in rest.collect()), np.int64), few * 8  # some of the ids of before
         found = found.join(F.broadcast(done), "id", "left_anti")
