@@ -27,11 +27,12 @@ SIMILARITY, LEAST = 0.8, 5
 TABLE = 1 << 22
 #: Sets meeting under one word in one tile.
 TILE = 20_000
-#: Unsettled sets that one further search takes, and entries of the bitmap of the words they meet under.
-AGAIN, MEETING = 500_000, 1 << 22
+#: Unsettled sets that one further search takes.
+AGAIN = 500_000
 #: Bytes of text that are split at once, words of sets that are sent at once, and pairs that are held at once.
 PIECE, SENT, HELD = 1 << 20, 2_000_000, 1_000_000
-#: Bits of the filter for sets that are in some pair (8 an id, up to so many); one that passes in vain is only shuffled.
+#: Bits of the filters for sets that are in some pair (8 an id, up to so many) and for the words and sizes that unsettled
+#: sets meet under (8,192 a set, up to so many); what passes in vain is only shuffled.
 FILTER = 1 << 26
 _RECORD = np.dtype([("key", "<u4"), ("at", "<u2"), ("size", "<u4"), ("sign", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("id", "<i8")])
 _HEAD = np.dtype([("id", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4")])
@@ -318,18 +319,57 @@ def _meet(r: np.ndarray, few: int, wanted: np.ndarray | None):
     return _few(*(np.concatenate(x) for x in zip(*held)), few)
 
 
-def _meeting(sets: DataFrame, counts, wanted) -> np.ndarray:
-    """A bitmap of the keys under which the wanted sets meet others."""
+def _bitmap(rows: DataFrame, spots, bits: int) -> np.ndarray:
+    """Packed bits, set at what spots(batch) gives for the batches of rows; merged in slices, not on the driver."""
+    slices = 64
 
-    def keys(batches):
+    def mark(batches):
+        seen = np.zeros(bits, bool)
         for batch in batches:
-            mine = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
-            found = np.unique(_records(mine, counts.value)["key"] % MEETING) if mine.num_rows else np.zeros(0, np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32))], names=["key"])
+            seen[spots(batch)] = True
+        parts = np.split(np.packbits(seen), slices)
+        some = [k for k in range(slices) if parts[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["slice", "bits"])
+
+    def merge(key, data):
+        total = np.zeros(bits // 8 // slices, np.uint8)
+        for x in data.column("bits"):
+            total |= np.frombuffer(x.as_py(), np.uint8)
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((slices, bits // 8 // slices), np.uint8)
+    for r in rows.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
+        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
+    return out.ravel()
+
+
+def _is_set(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
+def _classes(size: np.ndarray) -> np.ndarray:
+    """Sizes on a scale on which sets that can be similar are at most 2 apart."""
+    return np.log(size) * (2 / -np.log(SIMILARITY))
 
-    out = np.zeros(MEETING, bool)
-    out[[r[0] for r in sets.select("id", "doc", "line", "words").mapInArrow(keys, "key int").distinct().collect()]] = True  # at most MEETING
-    return out
+
+def _spot(key: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(key.astype(np.uint64) << _U(32) | level.astype(np.uint64)) % _U(bits)).astype(np.int64)
+
+
+def _meeting(sets: DataFrame, counts, wanted) -> np.ndarray:
+    """A bitmap of the keys and sizes with which the wanted sets meet others."""
+    bits = min(FILTER, 1 << max(22, (8192 * len(wanted.value)).bit_length()))
+
+    def spots(batch):
+        mine = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
+        if not mine.num_rows:
+            return np.zeros(0, np.int64)
+        r = _records(mine, counts.value)
+        scale = _classes(r["size"]) + 2  # from 0
+        low, high = np.floor(scale - 2 - 1e-6).astype(np.int64), np.floor(scale + 2 + 1e-6).astype(np.int64)
+        return np.concatenate([_spot(r["key"], np.minimum(low + k, high), bits) for k in range(6)])
+
+    return _bitmap(sets.select("id", "doc", "line", "words"), spots, bits)
 
 
 def _candidates(sets: DataFrame, shared, few: int, only: np.ndarray | None = None) -> DataFrame:
@@ -352,7 +392,8 @@ def _candidates(sets: DataFrame, shared, few: int, only: np.ndarray | None = Non
             for at in range(0, batch.num_rows, 8192):
                 r = _records(batch.slice(at, 8192), shared.value)
                 if meeting.value is not None:
-                    r = r[meeting.value[r["key"] % MEETING]]
+                    level = np.floor(_classes(r["size"]) + 2)
+                    r = r[_is_set(meeting.value, _spot(r["key"], level, 8 * len(meeting.value)))]
                 held.append(r)
                 size += len(r)
                 if size > 300_000:
@@ -370,35 +411,16 @@ def _candidates(sets: DataFrame, shared, few: int, only: np.ndarray | None = Non
 
 def _among(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """id and words of the sets whose id is among ids, and of a few others: a Bloom filter before the shuffle."""
-    slices, count = 64, ids.count()
-    bits = min(FILTER, 1 << max(16, (8 * count).bit_length()))
-
-    def spot(column):
-        return (_mix(column.to_numpy().view(np.uint64)) % _U(bits)).astype(np.int64)
+    bits = min(FILTER, 1 << max(16, (8 * ids.count()).bit_length()))
 
-    def mark(batches):
-        seen = np.zeros(bits, bool)
-        for batch in batches:
-            seen[spot(batch.column(0))] = True
-        parts = np.split(np.packbits(seen), slices)
-        some = [k for k in range(slices) if parts[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["slice", "bits"])
-
-    def merge(key, data):
-        total = np.zeros(bits // 8 // slices, np.uint8)
-        for x in data.column("bits"):
-            total |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+    def spots(batch):
+        return (_mix(batch.column(0).to_numpy().view(np.uint64)) % _U(bits)).astype(np.int64)
 
-    table_ = np.zeros((slices, bits // 8 // slices), np.uint8)
-    for r in ids.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
-        table_[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
-    shared = sets.sparkSession.sparkContext.broadcast(table_.ravel())
+    shared = sets.sparkSession.sparkContext.broadcast(_bitmap(ids, spots, bits))
 
     def keep(batches):
         for batch in batches:
-            at = spot(batch.column(0))
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            yield batch.filter(pa.array(_is_set(shared.value, spots(batch))))
 
     return sets.select("id", "words").mapInArrow(keep, "id bigint, words binary")
 
