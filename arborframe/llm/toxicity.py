@@ -56,15 +56,19 @@ def features(text: bytes, hashes: dict) -> np.ndarray:
 
 def fit(rows, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (text, label) rows: indexes and values of the weights that L1 leaves, intercept."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     z0 = n0 = w0 = 0.0
     hashes = _Hashes()
-    # the features of all sampled texts as compact integer arrays
+    # the features of all sampled texts as compact integer arrays, then as places among those that are learned
     data = [(np.unique(features(t, hashes)).astype(np.int32), float(y)) for t, y in rows]
+    del hashes
     count = np.zeros(1 << BITS, np.int32)
     for i, _ in data:
         count[i] += 1
-    data = [(i[count[i] >= LEAST], y) for i, y in data]
+    learned = np.flatnonzero(count >= LEAST)
+    for j, (i, y) in enumerate(data):
+        data[j] = (np.searchsorted(learned, i[count[i] >= LEAST]).astype(np.int32), y)
+    del count
+    z, n = np.zeros(len(learned)), np.zeros(len(learned))
     for _ in range(epochs):
         for i, y in data:
             zi, ni = z[i], n[i]
@@ -79,7 +83,7 @@ def fit(rows, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
             s0 = (math.sqrt(n0 + g * g) - math.sqrt(n0)) / ALPHA
             z0, n0 = z0 + g - s0 * w0, n0 + g * g
     k = np.flatnonzero(np.abs(z) > L1)
-    return k.astype(np.int64), (np.sign(z[k]) * L1 - z[k]) / ((BETA + np.sqrt(n[k])) / ALPHA + L2), -z0 / ((BETA + math.sqrt(n0)) / ALPHA + L2) if data else -1e-6
+    return learned[k].astype(np.int64), (np.sign(z[k]) * L1 - z[k]) / ((BETA + np.sqrt(n[k])) / ALPHA + L2), -z0 / ((BETA + math.sqrt(n0)) / ALPHA + L2) if data else -1e-6
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, train_rows=None):
