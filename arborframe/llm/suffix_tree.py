@@ -2,10 +2,13 @@ r"""Language-model scoring by a probabilistic suffix tree over bytes.
 
 A text is its A-Z-lowered words joined by single spaces and closed by one newline, so that a text's probability
 is that of its tokens (the words, then one end).  Training counts every context of up to DEPTH bytes with the byte
-after it over all training texts.  Contexts of at least SHARE of all positions whose next-byte distribution
-diverges enough from their suffix's are retained, the STATES most divergent of them at most, which bounds the
-model that is broadcast.  Distributions are smoothed with the suffix's; a byte is scored in the state of its
-longest retained suffix.
+after it over all training texts.  A context seen LEAST times or more is retained if its next-byte distribution
+diverges enough from its suffix's, which must be retained too; nothing else bounds the model, so it grows with the
+corpus.  Distributions are smoothed with the suffix's; a byte is scored by its longest retained suffix.
+
+Only contexts of up to SHALLOW bytes (bounded by the bytes there are) are broadcast.  Deeper ones stay in buckets of
+their three nearest bytes, where they are whole: a block of texts sends its distinct (context, next byte) keys to
+the buckets, gets their log probabilities back, and applies them to its own positions.
 
 The unigram base needs each word's training count beside each text.  Words travel in blocks: a block of texts
 sends its distinct words with their counts, gets the corpus counts back, and applies them to its own postings, so
@@ -19,6 +22,7 @@ repeated rows are scored alike and each count; very long texts are read whole; o
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -29,11 +33,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from arborframe.llm.common import remainder, stored, table, texts
 
-DEPTH, SHARE, STATES = 5, 5e-6, 60_000
+DEPTH, SHALLOW, LEAST = 6, 2, 5
 #: Nats that retaining a context must gain, for each symbol seen after it, times half the log of all positions.
 DIVERGENCE, PRIOR = 0.5, 4.0
-#: Bytes of text in a block, bytes that are counted or scored at once, and positions that one scoring step runs over side by side.
-BLOCK, PIECE, SEGMENT = 6_000_000, 2_000_000, 256
+#: Bytes of text in a block, and bytes that are counted or scored at once.
+BLOCK, PIECE = 6_000_000, 2_000_000
 _PAD = b"\n" * DEPTH
 
 
@@ -83,8 +87,8 @@ def _reduced(keys: np.ndarray, counts: np.ndarray | None = None):
     return keys[cut], np.add.reduceat(counts, cut) if len(cut) else counts
 
 
-def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (context, next byte) keys of normalized texts, nearest context byte highest, and counts."""
+def position_keys(bodies: list[bytes]) -> np.ndarray:
+    """The (context, next byte) key of every position of normalized texts, nearest context byte highest."""
     data = np.frombuffer(_PAD + _PAD.join(bodies), np.uint8)
     inside = np.ones(len(data), bool)
     lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
@@ -94,7 +98,31 @@ def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     key = data[DEPTH:].astype(np.uint64)
     for j in range(1, DEPTH + 1):
         key |= data[DEPTH - j : len(data) - j].astype(np.uint64) << np.uint64(64 - 8 * j)
-    return _reduced(key[inside[DEPTH:]])
+    return key[inside[DEPTH:]]
+
+
+def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of normalized texts and their counts."""
+    return _reduced(position_keys(bodies))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """An array by byte planes, compressed: sorted keys and small counts shrink to a few bytes each."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (((keys >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _mask(depth: int) -> np.uint64:
+    """Of a key, the next byte and so many context bytes."""
+    return np.uint64(((1 << 8 * depth) - 1) << (64 - 8 * depth) | 0xFF)
 
 
 def gather(docs: DataFrame, train, text: str, buckets: int) -> DataFrame:
@@ -105,7 +133,7 @@ def gather(docs: DataFrame, train, text: str, buckets: int) -> DataFrame:
         for rows in _blocks(batches, 0, PIECE):
             k, c = grams([normal(t)[1] for (t,) in rows])
             keys, counts = _reduced(np.concatenate((keys, k)), np.concatenate((counts, c)))
-        bucket = ((keys >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)
+        bucket = _bucket(keys, buckets)
         by = np.argsort(bucket, kind="stable")
         keys, counts, bucket = keys[by], counts[by], bucket[by]
         cut = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -113,8 +141,8 @@ def gather(docs: DataFrame, train, text: str, buckets: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(some, pa.int32()),
-                pa.array([keys[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
-                pa.array([counts[cut[b] : cut[b + 1]].astype(np.uint32).tobytes() for b in some], pa.binary()),
+                pa.array([_packed(keys[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
+                pa.array([_packed(counts[cut[b] : cut[b + 1]].astype(np.uint32)) for b in some], pa.binary()),
                 pa.array([int(counts[cut[b] : cut[b + 1]].sum()) for b in some], pa.int64()),
             ],
             names=["bucket", "keys", "counts", "n"],
@@ -123,34 +151,35 @@ def gather(docs: DataFrame, train, text: str, buckets: int) -> DataFrame:
     return docs.where(train).select(F.col(text)).mapInArrow(run, "bucket int, keys binary, counts binary, n bigint")
 
 
-def frequent(blobs: DataFrame, least: float) -> DataFrame:
-    """(depth, context, next, count): all of depth 1, deeper contexts of at least `least` positions."""
+def _merged(data) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of a bucket's blobs."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, data.num_rows, 16):  # a few blobs at a time
+        part = data.slice(i, 16)
+        keys, counts = _reduced(
+            np.concatenate([keys, *[_unpacked(x.as_py(), np.uint64) for x in part.column("keys")]]),
+            np.concatenate([counts, *[_unpacked(x.as_py(), np.uint32).astype(np.int64) for x in part.column("counts")]]),
+        )
+    return keys, counts
+
+
+def shallow(blobs: DataFrame) -> DataFrame:
+    """(depth, context, next, count) of depths up to SHALLOW, summed over the buckets."""
 
     def run(key, data):
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for i in range(0, data.num_rows, 16):  # a few blobs at a time
-            part = data.slice(i, 16)
-            keys, counts = _reduced(
-                np.concatenate([keys, *[np.frombuffer(x.as_py(), np.uint64) for x in part.column("keys")]]),
-                np.concatenate([counts, *[np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in part.column("counts")]]),
-            )
+        keys, counts = _merged(data)
         out = []
-        for d in range(1, DEPTH + 1):
-            mask = np.uint64(((1 << 8 * d) - 1) << (64 - 8 * d) | 0xFF)
-            k, c = _reduced(keys & mask, counts)
-            if d >= 3:  # whole in this bucket
-                context, total = _reduced(k >> np.uint64(8), c)
-                ok = np.isin(k >> np.uint64(8), context[total >= least])
-                k, c = k[ok], c[ok]
+        for d in range(1, SHALLOW + 1):
+            k, c = _reduced(keys & _mask(d), counts)
             out.append((np.full(len(k), d), k >> np.uint64(8), k & np.uint64(255), c))
         return pa.table({n: pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i, n in enumerate(("depth", "context", "next", "count"))})
 
-    part = blobs.groupBy("bucket").applyInArrow(run, "depth bigint, context bigint, next bigint, count bigint")
+    part = blobs.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, "depth bigint, context bigint, next bigint, count bigint")
     return part.groupBy("depth", "context", "next").agg(F.sum("count").alias("count"))
 
 
 class Tree:
-    """Dense tables of the automaton over prefixes of retained contexts."""
+    """Dense tables of the automaton over prefixes of retained shallow contexts."""
 
     def __init__(self, rows, positions: int):
         by: dict[tuple, dict[int, int]] = {(): {}}
@@ -161,7 +190,6 @@ class Tree:
             if len(key) == 1:
                 for byte, count in following.items():
                     by[()][byte] = by[()].get(byte, 0) + count
-        least = SHARE * positions
         self.seen = sorted(by[()])
         kind = np.full(256, len(self.seen))
         kind[self.seen] = np.arange(len(self.seen))
@@ -176,30 +204,26 @@ class Tree:
 
         root = vector(())
         root = (root + 0.5) / (root.sum() + 128)  # the last kind: any one byte never seen
-        dist, gains = {(): root}, {}
+        dist = {(): root}
         cost = DIVERGENCE * math.log(max(positions, 2))
         for key in sorted(by, key=lambda k: (len(k), k)):
             if not key or key[:-1] not in dist:
                 continue
             v = vector(key)
             n = v.sum()
-            if n < least:
+            if n < LEAST:
                 continue
             p, q = v / n, dist[key[:-1]]
             on = p > 0
             gain = n * float((p[on] * np.log(p[on] / q[on])).sum()) - cost * on.sum()
             if gain >= 0:
                 dist[key] = (v + PRIOR * q) / (n + PRIOR)
-                # a context is never worth more than its suffix, so that suffixes stay with it
-                gains[key] = min(gain, gains.get(key[:-1], math.inf))
-        best = sorted(gains, key=lambda k: (-gains[k], len(k), k))[:STATES]
-        self.retained = len(best)
+        self.retained = len(dist) - 1
         # in order of time, with all prefixes, so that reading on always finds the longest suffix
         states = {()}
-        for key in best:
+        for key in dist:
             s = key[::-1]
             states.update(s[:i] for i in range(len(s) + 1))
-        kept = {(), *best}
         index = {s: i for i, s in enumerate(sorted(states, key=lambda s: (len(s), s)))}
         below: dict[int, list[int]] = {}
         for s in index:
@@ -207,61 +231,88 @@ class Tree:
                 below.setdefault(index[s[:-1]], []).append(s)
         self.move = np.zeros((len(index), width), np.int32)
         self.log = np.zeros((len(index), width), np.float32)
+        self.level = np.zeros(len(index), np.int64)  # bytes of the state's longest retained suffix
         for s, i in index.items():  # shorter ones first
-            self.log[i] = np.log10(dist[next(s[::-1][:d] for d in range(len(s), -1, -1) if s[::-1][:d] in kept)])
+            self.level[i] = next(d for d in range(len(s), -1, -1) if s[::-1][:d] in dist)
+            self.log[i] = np.log10(dist[s[::-1][: self.level[i]]])
             if s:
                 self.move[i] = self.move[index[next(s[d:] for d in range(1, len(s) + 1) if s[d:] in index)]]
             for child in below.get(i, ()):
                 self.move[i, kind[child[-1]]] = index[child]
 
     def plain(self) -> tuple:
-        return self.kind, self.move, self.log
-
-
-def score_texts(model: tuple, bodies: list[bytes]) -> np.ndarray:
-    """log10 probability of each normalized text."""
-    kind, move, log = model
-    width = move.shape[1]
-    move, log = move.ravel(), log.ravel()
-    data = kind.astype(np.int16)[np.frombuffer(_PAD + _PAD.join(bodies), np.uint8)]
-    n = len(data) - DEPTH
-    lanes = -(-n // SEGMENT)
-    data = np.concatenate((data, np.zeros(lanes * SEGMENT - n, data.dtype)))
-    state, out = np.zeros(lanes, np.int64), np.empty((SEGMENT, lanes), np.float32)
-    starts = np.arange(lanes) * SEGMENT
-    for t in range(SEGMENT + DEPTH):
-        at = state * width + data[starts + t]
-        if t >= DEPTH:
-            out[t - DEPTH] = log[at]
-        state = move[at].astype(np.int64)
-    flat = out.T.ravel()[:n].astype(np.float64)
-    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    begins = np.cumsum(np.concatenate(([0], lengths[:-1] + DEPTH)))  # its successor's pad follows each text
-    total = np.concatenate(([0.0], np.cumsum(flat)))
-    return total[begins + lengths] - total[begins]
-
-
-def train_tree(docs: DataFrame, train, text: str = "text") -> Tree:
-    spark = docs.sparkSession
-    blobs = stored(gather(docs, train, text, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    positions = blobs.agg(F.sum("n")).first()[0] or 0
-    found = frequent(blobs, SHARE * positions)
-    # depth 2 comes in parts from all buckets; what is under the share goes once it is summed
-    deep = found.where("depth = 2").groupBy("context").agg(F.sum("count").alias("t")).where(F.col("t") >= SHARE * positions).select(F.col("context").alias("_c"))
-    rows = found.where("depth <> 2").unionByName(found.where("depth = 2").join(deep, F.col("context") == F.col("_c"), "left_semi"))
-    return Tree([tuple(r) for r in rows.collect()], positions)  # at most 65,536 + DEPTH / SHARE contexts
-
-
-def posted(docs: DataFrame, model, keep: list[str], train, text: str, buckets: int) -> DataFrame:
-    """Per block one row of its texts (with scores and postings) and a row for each bucket of its words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return self.kind, self.move, self.log, self.level
+
+
+def _shallow_odds(model: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each key's next byte by its shallow contexts, and whether the longest of them is retained."""
+    kind, move, log, level = model
+    state = np.zeros(len(keys), np.int64)
+    for d in range(SHALLOW, 0, -1):  # in order of time
+        state = move[state, kind[(keys >> np.uint64(64 - 8 * d) & np.uint64(255)).astype(np.int64)]]
+    return 10.0 ** log[state, kind[(keys & np.uint64(255)).astype(np.int64)]].astype(np.float64), level[state] == SHALLOW
+
+
+def log_odds(model: tuple, positions: int, seen: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """log10 probability of each key's next byte, from the training keys `seen` (sorted) of its bucket."""
+    cost = DIVERGENCE * math.log(max(positions, 2))
+    p, _ = _shallow_odds(model, keys)
+    above, _ = _reduced(seen & _mask(SHALLOW), counts)
+    q, alive = _shallow_odds(model, above)
+    for d in range(SHALLOW + 1, DEPTH + 1) if len(seen) else ():
+        k, c = _reduced(seen & _mask(d), counts)
+        at = np.searchsorted(above, k & _mask(d - 1))
+        q, alive = q[at], alive[at]  # by the suffix
+        context = k >> np.uint64(8)
+        begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        n, symbols = np.add.reduceat(c, begin), np.diff(np.r_[begin, len(k)])
+        gain = np.add.reduceat(c * np.log(c / np.repeat(n, symbols) / q), begin) - cost * symbols
+        ok = alive[begin] & (n >= LEAST) & (gain >= 0)
+        alive = np.repeat(ok, symbols)
+        q = np.where(alive, (c + PRIOR * q) / (np.repeat(n, symbols) + PRIOR), q)
+        above = k
+        mine, distinct = keys & _mask(d), context[begin]
+        at = np.minimum(np.searchsorted(distinct, mine >> np.uint64(8)), len(distinct) - 1)
+        on = np.flatnonzero((distinct[at] == mine >> np.uint64(8)) & ok[at])
+        at, mine = at[on], mine[on]
+        own = np.minimum(np.searchsorted(k, mine), len(k) - 1)
+        p[on] = (np.where(k[own] == mine, c[own], 0) + PRIOR * p[on]) / (n[at] + PRIOR)
+    return np.log10(p)
+
+
+def train_blobs(docs: DataFrame, train, text: str = "text") -> tuple[DataFrame, int, tuple]:
+    """Training keys by bucket, their positions, and the shallow contexts' model."""
+    blobs = stored(gather(docs, train, text, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    positions = int(blobs.agg(F.sum("n")).first()[0] or 0)
+    return blobs, positions, Tree([tuple(r) for r in shallow(blobs).collect()], positions).plain()
+
+
+def scored(blocks: DataFrame, blobs: DataFrame, positions: int, model: tuple) -> DataFrame:
+    """For each block and bucket, the log10 probabilities of its keys in order."""
+    shared = blocks.sparkSession.sparkContext.broadcast(model)
+
+    def run(key, asked, trained):
+        held = [_unpacked(x.as_py(), np.uint64) for x in asked.column("grams")]
+        logs = [b""] * len(held)
+        if held:
+            keys, place = np.unique(np.concatenate(held), return_inverse=True)
+            each = log_odds(shared.value, positions, *_merged(trained), keys).astype(np.float32)[place]
+            logs = [_packed(x) for x in np.split(each, np.cumsum([len(h) for h in held])[:-1])]
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "logs": pa.array(logs, pa.binary())})
+
+    asked = blocks.where("grams is not null").select("block", "bucket", "grams")
+    return asked.groupBy("bucket").cogroup(blobs.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(run, "block bigint, bucket int, logs binary")
+
+
+def posted(docs: DataFrame, keep: list[str], train, text: str, buckets: int) -> DataFrame:
+    """Per block one row of its texts (with postings) and a row for each bucket of its words and keys."""
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     columns = [f"_k{i}" for i in range(len(keep))]
-    schema = "block bigint, bucket int, words binary, counts binary, postings binary, rows array<struct<" + "".join(f"{c}:{k}," for c, k in zip(columns, kinds)) + "train:boolean,n_tokens:bigint,score:double>>"
+    schema = "block bigint, bucket int, words binary, counts binary, grams binary, postings binary, body binary, rows array<struct<" + "".join(f"{c}:{k}," for c, k in zip(columns, kinds)) + "train:boolean,n_tokens:bigint>>"
     types = [pa.string() if k == "string" else pa.int64() if k == "bigint" else pa.int32() for k in kinds]
 
     def run(batches):
-        row_type = pa.struct([*zip(columns, types), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("score", pa.float64())])
+        row_type = pa.struct([*zip(columns, types), ("train", pa.bool_()), ("n_tokens", pa.int64())])
         for serial, rows in enumerate(_blocks(batches, len(columns) + 1)):
             block = (TaskContext.get().partitionId() << 24) + serial
             ids: dict[bytes, int] = {}
@@ -274,8 +325,12 @@ def posted(docs: DataFrame, model, keep: list[str], train, text: str, buckets: i
                 word += [ids.setdefault(x, len(ids)) for x in own]
                 count += own.values()
                 doc += [i] * len(own)
-            scores = np.concatenate([score_texts(shared.value, some) for some in _pieces(bodies)])
+            keys = _reduced(np.concatenate([grams(some)[0] for some in _pieces(bodies)]))[0]
+            body = zlib.compress(b"".join(bodies), 1)
             bodies.clear()
+            of = _bucket(keys, buckets)
+            keys = keys[np.argsort(of, kind="stable")]
+            ends = np.searchsorted(np.sort(of), np.arange(buckets + 1))
             listed = list(ids)
             bucket = np.fromiter((xxhash.xxh64_intdigest(x) % buckets for x in listed), np.int64, len(listed))
             by = np.argsort(bucket, kind="stable")
@@ -286,19 +341,22 @@ def posted(docs: DataFrame, model, keep: list[str], train, text: str, buckets: i
             trained = np.zeros(len(listed), np.int64)
             np.add.at(trained, word[trains[doc]], count[trains[doc]])
             cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            some = [b for b in range(buckets) if cut[b] < cut[b + 1] or ends[b] < ends[b + 1]]
             postings = np.array([len(word)], np.int64).tobytes() + word.astype(np.uint32).tobytes() + doc.astype(np.uint16).tobytes() + count.astype(np.uint32).tobytes()
-            told = [{**dict(zip(columns, r)), "train": r[len(columns)], "n_tokens": n, "score": float(x)} for r, n, x in zip(rows, lengths, scores)]
+            postings = zlib.compress(postings, 1)
+            told = [{**dict(zip(columns, r)), "train": r[len(columns)], "n_tokens": n} for r, n in zip(rows, lengths)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block] * (len(some) + 1), pa.int64()),
                     pa.array([*some, None], pa.int32()),
-                    pa.array([*[b"\n".join(listed[k] for k in by[cut[b] : cut[b + 1]]) for b in some], None], pa.binary()),
-                    pa.array([*[trained[cut[b] : cut[b + 1]].tobytes() for b in some], None], pa.binary()),
+                    pa.array([*[b"\n".join(listed[k] for k in by[cut[b] : cut[b + 1]]) or None for b in some], None], pa.binary()),
+                    pa.array([*[trained[cut[b] : cut[b + 1]].tobytes() or None for b in some], None], pa.binary()),
+                    pa.array([*[_packed(keys[ends[b] : ends[b + 1]]) if ends[b] < ends[b + 1] else None for b in some], None], pa.binary()),
                     pa.array([*[None] * len(some), postings], pa.binary()),
+                    pa.array([*[None] * len(some), body], pa.binary()),
                     pa.array([*[None] * len(some), told], pa.list_(row_type)),
                 ],
-                names=["block", "bucket", "words", "counts", "postings", "rows"],
+                names=["block", "bucket", "words", "counts", "grams", "postings", "body", "rows"],
             )
 
     return docs.select(*[docs[c].alias(k) for c, k in zip(keep, columns)], train.alias("_train"), docs[text].alias("_text")).mapInArrow(run, schema)
@@ -327,39 +385,50 @@ def corpus_counts(blocks: DataFrame) -> DataFrame:
             }
         )
 
-    words = blocks.where("bucket is not null").select("block", "bucket", "words", "counts")
+    words = blocks.where("words is not null").select("block", "bucket", "words", "counts")
     return words.groupBy("bucket").applyInArrow(run, "block bigint, bucket int, corpus binary, distinct bigint")
 
 
 def evaluate(docs: DataFrame, train, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of every row with held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    model = train_tree(docs, train, text).plain()
-    blocks = stored(posted(docs, model, keep, train, text, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blobs, positions, model = train_blobs(docs, train, text)
+    blocks = stored(posted(docs, keep, train, text, buckets))
+    logs = stored(scored(blocks, blobs, positions, model)).groupBy(F.col("block").alias("_l")).agg(F.sort_array(F.collect_list(F.struct("bucket", "logs"))).alias("logs"))
     back = stored(corpus_counts(blocks))
-    bodies = blocks.where("bucket is null").select("block", "postings", "rows")
+    bodies = blocks.where("bucket is null").select("block", "postings", "rows", "body")
     ends, words = bodies.select(F.explode("rows").alias("r")).where("r.train").agg(F.count("*"), F.sum("r.n_tokens")).first()
     tokens = int(words or 0)
     distinct = int(back.agg(F.sum("distinct")).first()[0] or 0) + (1 if ends else 0)
     corpus = back.where("block is not null").groupBy(F.col("block").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("bucket", "corpus"))).alias("corpus"))
-    joined = bodies.join(corpus, F.col("block") == F.col("_b"), "left").select("postings", "rows", F.col("corpus.corpus").alias("corpus"))
+    joined = bodies.join(corpus, F.col("block") == F.col("_b"), "left").join(logs, F.col("block") == F.col("_l"), "left").select("postings", "rows", F.col("corpus.corpus").alias("corpus"), "body", F.col("logs.logs").alias("logs"))
     columns = [f"_k{i}" for i in range(len(keep))]
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+
+    def scores(body, logs):
+        bodies = [t + b"\n" for t in zlib.decompress(body).split(b"\n")[:-1]]
+        parts = [(some, *np.unique(position_keys(some), return_inverse=True)) for some in _pieces(bodies)]
+        keys = _reduced(np.concatenate([k for _, k, _ in parts]))[0]
+        each = np.empty(len(keys))
+        each[np.argsort(_bucket(keys, buckets), kind="stable")] = np.concatenate([_unpacked(x, np.float32) for x in logs])
+        return np.concatenate([np.add.reduceat(each[np.searchsorted(keys, k)][place], np.r_[0, np.cumsum([len(t) for t in some])[:-1]]) for some, k, place in parts])
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                postings, rows = batch.column(0)[i].as_py(), batch.column(1)[i].values
+                postings, rows = zlib.decompress(batch.column(0)[i].as_py()), batch.column(1)[i].values
                 n = int(np.frombuffer(postings[:8], np.int64)[0])
                 word = np.frombuffer(postings, np.uint32, n, 8)
                 doc = np.frombuffer(postings, np.uint16, n, 8 + 4 * n)
                 count = np.frombuffer(postings, np.uint32, n, 8 + 6 * n).astype(np.float64)
                 corpus = np.frombuffer(b"".join(batch.column(2)[i].as_py() or []), np.int64)
-                logs = np.bincount(doc, count * np.log10(corpus[word] + 0.5), len(rows)) if n else np.zeros(len(rows))
+                known_logs = np.bincount(doc, count * np.log10(corpus[word] + 0.5), len(rows)) if n else np.zeros(len(rows))
                 known = np.bincount(doc, count * (corpus[word] > 0), len(rows)) if n else np.zeros(len(rows))
                 lengths = np.asarray(rows.field("n_tokens"))
-                base = logs + math.log10(ends + 0.5) - lengths * math.log10(tokens + 0.5 * (distinct + 1))
+                base = known_logs + math.log10(ends + 0.5) - lengths * math.log10(tokens + 0.5 * (distinct + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [*[rows.field(c) for c in columns], pa.array([not t for t in rows.field("train").to_pylist()]), rows.field("n_tokens"), pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(len(rows), tokens, np.int64)), pa.array(base), rows.field("score")],
+                    [*[rows.field(c) for c in columns], pa.array([not t for t in rows.field("train").to_pylist()]), rows.field("n_tokens"), pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(len(rows), tokens, np.int64)), pa.array(base), pa.array(scores(batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))],
                     names=[*columns, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 

@@ -172,6 +172,57 @@ def test_suffix_tree_is_a_distribution():
     assert np.allclose(total, 1, atol=1e-3)
 
 
+def brute_suffix_tree(train, text):
+    """log10 probability of a text by all contexts of the training texts, without any table."""
+    deep, n = suffix_tree.DEPTH, sum(map(len, train))
+    seen = Counter()
+    for t in train:
+        padded = b"\n" * deep + t
+        seen.update((padded[i - d : i], padded[i]) for i in range(deep, len(padded)) for d in range(deep + 1))
+    after = {}
+    for (context, byte), c in seen.items():
+        after.setdefault(context, {})[byte] = c
+    made = {}
+
+    def dist(context):
+        """(retained, function from a byte to its probability)."""
+        if context not in made:
+            own = after.get(context, {})
+            total = sum(own.values())
+            if not context:
+                made[context] = True, lambda b: (own.get(b, 0) + 0.5) / (total + 128)
+            else:
+                kept, below = dist(context[1:])
+                gain = sum(c * math.log(c / total / below(b)) for b, c in own.items()) - len(own) * suffix_tree.DIVERGENCE * math.log(n)
+                kept = kept and total >= suffix_tree.LEAST and gain >= 0
+                made[context] = kept, (lambda b: (own.get(b, 0) + suffix_tree.PRIOR * below(b)) / (total + suffix_tree.PRIOR)) if kept else below
+        return made[context]
+
+    padded = b"\n" * deep + text
+    return sum(math.log10(dist(padded[i - deep : i])[1](padded[i])) for i in range(deep, len(padded)))
+
+
+def test_suffix_tree_scores(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(["abra cadabra", "Hocus pocus", "sesame open"][k] for k in rng.integers(0, 3, 40)) + (" rare zebra" if i % 5 == 0 else "")) for i in range(40)]
+    df = spark.createDataFrame([*rows, (100, "rare zebra hocus \u00e9 sesame"), (101, None)], "doc_id bigint, text string")
+    train = [suffix_tree.normal(t.encode())[1] for i, t in rows if i < 30]
+    for r in suffix_tree.evaluate(df, F.col("doc_id") < 30, ["doc_id"]).collect():
+        text = {**dict(rows), 100: "rare zebra hocus \u00e9 sesame", 101: ""}[r.doc_id]
+        assert r.score == pytest.approx(brute_suffix_tree(train, suffix_tree.normal(text.encode())[1]), rel=1e-4)
+
+
+def test_suffix_tree_keeps_contexts_of_any_share(spark):
+    # each of the passage's contexts is seen 12 times in over 4,000,000 positions
+    rng = np.random.default_rng(6)
+    words = np.array(["".join(map(chr, rng.integers(97, 110, 6))) for _ in range(500)])
+    passage = "zyxwvutsrqponzwzuzs"
+    rows = [(i, " ".join(words[rng.integers(0, 500, 10_000)]) + (" " + passage if i < 12 else "")) for i in range(60)]
+    df = spark.createDataFrame([*rows, (100, passage)], "doc_id bigint, text string")
+    got = suffix_tree.evaluate(df, F.col("doc_id") < 60, ["doc_id"]).where("doc_id = 100").first()
+    assert got.score > -9
+
+
 def test_language(spark, empty):
     rows = [(i, ("the other thing with this " if i % 2 else "der schnelle und ich nicht ") * 8, "en" if i % 2 else "de") for i in range(40)]
     df = spark.createDataFrame([*rows, (90, None, "en"), (91, "123 456", "de"), (92, "the thing", None)], "doc_id bigint, text string, lang string")
