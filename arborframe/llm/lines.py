@@ -10,7 +10,9 @@ A word under which very many sets meet is dealt out as tiles.  A set's nearest c
 with others that it does not settle are searched again, for eight times as many candidates each time, until all
 have been verified, so none is lost.
 
-Edge cases: lines of fewer than LEAST distinct words stay; null texts have no lines and stay null; null ids stand
+Sets of fewer than MEETS words are similar to none but an equal one, so they are collapsed and meet no others.
+
+Edge cases: lines without words stay; null texts have no lines and stay null; null ids stand
 last; rows with an equal id and text are one document and keep the same lines; very long lines are compared whole;
 an empty table gives an empty result; only the named columns are read.
 """
@@ -23,7 +25,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from arborframe.llm.common import stored, table, texts
 
-SIMILARITY, LEAST = 0.8, 5
+SIMILARITY, LEAST = 0.8, 1
+#: Words of the smallest set that can be similar to a larger one: 4 of 5.
+MEETS = 4
 TABLE = 1 << 22
 #: Sets meeting under one word in one tile.
 TILE = 20_000
@@ -203,7 +207,8 @@ def _counts(sets: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(TABLE, np.int64)
         for batch in batches:
-            total += np.bincount(_flat(batch.column(0))[0] % TABLE, minlength=TABLE)
+            flat, cut = _flat(batch.column(0))
+            total += np.bincount(flat[np.repeat(np.diff(cut) >= MEETS, np.diff(cut))] % TABLE, minlength=TABLE)
         parts = np.split(np.minimum(total, 2**32 - 1).astype(np.uint32), slices)
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
 
@@ -234,7 +239,7 @@ def _records(batch, counts: np.ndarray) -> np.ndarray:
     word = (key & _U(0xFFFFFFFF)).astype(np.uint32)
     at = np.arange(len(key)) - begins[owner]
     prefix = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
-    near = np.flatnonzero(at < prefix[owner])
+    near = np.flatnonzero((at < prefix[owner]) & (size[owner] >= MEETS))
     held = counts[word[near] % TABLE].astype(np.int64)
     keep, held = near[held > 1], held[held > 1]  # what no other set holds meets nothing
     owner = owner[keep]

@@ -109,6 +109,12 @@ def test_lines(spark, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_short_lines(spark):
+    texts = ["All rights reserved.\nw w w w w w w\n\nOne two three", "all rights reserved.\nOne two\n\nw w w", "a b c d\n", "e d c b a", "three two one"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc: r.lines for r in lines.removed_lines(df).collect()} == {1: [0, 3], 3: [0], 4: [0]}
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mix(docs, ["doc_id"]).collect()
     assert len(rows) == len(TEXTS) + 2 and all(r.taken <= 3 * r.size for r in rows)
