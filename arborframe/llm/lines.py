@@ -4,7 +4,7 @@ A line is the set of its words (A-Z lower-cased, by 32-bit hash).  Equal sets ar
 order their words by rarity (counts in a fixed table of hashes, broadcast: TABLE entries), and meet under the
 words of their prefixes; length, position and parity-signature filters (each an exact bound on the overlap) leave
 candidates, whose Jaccard similarity is then verified.  A line goes if an equal or similar line stands before it,
-in order of (doc_id, line number); whether that one goes too does not matter.
+in order of (doc_id, line number, text's hash); whether that one goes too does not matter.
 
 A word under which very many sets meet is dealt out as tiles.  A set's nearest candidate is verified first; sets
 with others that it does not settle are searched again, for eight times as many candidates each time, until all
@@ -39,7 +39,7 @@ PIECE, SENT, HELD = 1 << 20, 2_000_000, 1_000_000
 #: sets meet under (8,192 a set, up to so many); what passes in vain is only shuffled.
 FILTER = 1 << 26
 _RECORD = np.dtype([("key", "<u4"), ("at", "<u2"), ("size", "<u4"), ("sign", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("id", "<i8")])
-_HEAD = np.dtype([("id", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<u4")])
+_HEAD = np.dtype([("id", "<i8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("size", "<u4")])
 _U = np.uint64
 #: Words are hashed as polynomials over random byte values modulo 2^64; the inverse moves a hash to the word's start.
 BASE = 0x9E3779B97F4A7C15
@@ -139,7 +139,7 @@ def _flat(column) -> tuple[np.ndarray, np.ndarray]:
 
 def _earliest(head: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One entry for each set, with the place of its first line, by id; its words and their cut."""
-    by = np.lexsort((head["line"], head["doc"], head["id"]))
+    by = np.lexsort((head["tie"], head["line"], head["doc"], head["id"]))
     by = by[np.r_[True, head["id"][by][1:] != head["id"][by][:-1]]] if len(by) else by
     index, cut = _gather(np.r_[0, np.cumsum(head["size"].astype(np.int64))], by)
     return head[by], words[index], cut
@@ -176,7 +176,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
             for part, texts_ in _pieces(batch):
                 owner, line, ids, cut, words = line_sets(texts_, powers)
                 head = np.zeros(len(ids), _HEAD)
-                head["id"], head["doc"], head["line"], head["size"] = ids, part.column(0).to_numpy()[owner], line, np.diff(cut)
+                head["id"], head["doc"], head["tie"], head["line"], head["size"] = ids, part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], line, np.diff(cut)
                 heads.append(head)
                 bodies.append(words)
                 held += len(words)
@@ -190,10 +190,10 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
         head = np.concatenate([np.frombuffer(x.as_py(), _HEAD) for x in data.column("head")])
         head, words, cut = _earliest(head, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in data.column("words")]))
         body = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((cut * 4).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
-        return pa.table({"id": head["id"].copy(), "doc": head["doc"].copy(), "line": head["line"].copy(), "words": body})
+        return pa.table({"id": head["id"].copy(), "doc": head["doc"].copy(), "line": head["line"].copy(), "tie": head["tie"].copy(), "words": body})
 
-    sent = docs.select(_order(docs), docs[text].alias("_t")).mapInArrow(deal, "bucket int, head binary, words binary")
-    return sent.groupBy("bucket").applyInArrow(collapse, "id bigint, doc bigint, line int, words binary")
+    sent = docs.select(_order(docs), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("_t")).mapInArrow(deal, "bucket int, head binary, words binary")
+    return sent.groupBy("bucket").applyInArrow(collapse, "id bigint, doc bigint, line int, tie bigint, words binary")
 
 
 def _order(docs: DataFrame):
@@ -475,7 +475,7 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc, tie (hash of the text) and lines, the numbers of the lines that go, for documents that lose any."""
     sets = stored(_sets(docs, text))
     repeated = repeated_sets(sets)
-    limits = sets.join(repeated.select(F.col("id").alias("_r")), F.col("id") == F.col("_r"), "left").select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), F.col("line").alias("_line"), F.col("_r").isNotNull().alias("all"))
+    limits = sets.join(repeated.select(F.col("id").alias("_r")), F.col("id") == F.col("_r"), "left").select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), F.col("line").alias("_line"), F.col("tie").alias("_tie"), F.col("_r").isNotNull().alias("all"))
 
     def run(batches):
         powers = Powers()
@@ -486,7 +486,7 @@ def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(ties), pa.array(line.astype(np.int32)), pa.array(ids)], names=["doc", "tie", "line", "id"])
 
     lines = docs.select(_order(docs), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("_t")).mapInArrow(run, "doc bigint, tie bigint, line int, id bigint")
-    later = (F.col("doc") > F.col("_doc")) | ((F.col("doc") == F.col("_doc")) & (F.col("line") > F.col("_line")))
+    later = (F.col("doc") > F.col("_doc")) | ((F.col("doc") == F.col("_doc")) & ((F.col("line") > F.col("_line")) | ((F.col("line") == F.col("_line")) & (F.col("tie") > F.col("_tie")))))
     gone = lines.join(limits, F.col("id") == F.col("_id")).where(F.col("all") | later)
     return gone.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 

@@ -115,6 +115,12 @@ def test_short_lines(spark):
     assert {r.doc: r.lines for r in lines.removed_lines(df).collect()} == {1: [0, 3], 3: [0], 4: [0]}
 
 
+def test_lines_of_equal_places(spark):
+    rows = [(None, "one line of plain words\nfirst"), (None, "one line of plain words\nother"), (7, "next line of plain words\n1"), (7, "next line of plain words\n2")]
+    gone = lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id or 0, tuple(r.removed)) for r in gone) == [(0, ()), (0, (0,)), (7, ()), (7, (0,))]
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mix(docs, ["doc_id"]).collect()
     assert len(rows) == len(TEXTS) + 2 and all(r.taken <= 3 * r.size for r in rows)
