@@ -3,7 +3,8 @@ r"""Mixing sources to target weights by a low-discrepancy schedule, in DataFrame
 Every slot i of the schedule is a golden-ratio point (an exact 32-bit Fibonacci step), mapped through the
 cumulative targets to a source; slots are ranked within their source.  Each source's documents stand in the
 order of a hash, as one stream of words, cut into blocks of equally many words; the slot of rank r takes block
-r mod n of its source's n blocks.  Ranks and word offsets come from two-level running sums (within a piece of a
+r mod n of its source's n blocks.  A source of fewer than FEW blocks, for which a slot or a short last block would
+be too coarse, takes its target's words outright: whole rounds of its stream, then its first words.  Ranks and word offsets come from two-level running sums (within a piece of a
 source, then over the pieces), so a source of any size is spread over many tasks.
 
 A text's size is its words `[^\x20\x09-\x0D]+`; null texts have size 0 and are never taken.  Sources stand by
@@ -22,6 +23,7 @@ LIMIT = 3
 #: A block has total / SLOTS words, but no more than BLOCK; pieces are what one task of a running sum orders.
 SLOTS, BLOCK = 1 << 18, 4096
 PIECES = 256
+FEW = 256
 STEP, POINTS = 2654435769, 1 << 32  # 2^32 over the golden ratio, odd: i * STEP mod 2^32 visits every point once
 
 
@@ -113,6 +115,10 @@ def mix(docs: DataFrame, keep: list[str], text: str = "text", source: str = "sou
     taken = pieces.join(used, ["n", "no"]).groupBy(F.col("n").alias("_n"), F.col("start").alias("_at")).agg(F.sum(overlap * F.col("uses")).alias("taken"))
     # a document of words is alone at its offset; one without words is never taken
     out = placed.join(taken, (F.col("n") == F.col("_n")) & (F.col("start") == F.col("_at")) & (F.col("size") > 0), "left")
+    small = (F.col("block") > 1) & (F.col("source_size") < FEW * F.col("block"))
+    goal, whole = F.round("target").cast("bigint"), F.greatest("source_size", F.lit(1))
+    outright = F.floor(goal / whole).cast("bigint") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), goal % whole) - F.col("start"))
+    out = out.withColumn("taken", F.when(small, outright).otherwise(F.col("taken")))
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], F.col("size").alias("size"), "source_size", F.col("target").cast("double").alias("target"), F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 

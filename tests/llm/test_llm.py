@@ -128,6 +128,17 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty, ["doc_id"]).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    # over 2^20 words a block has 4 of them
+    small = [(100 + n, "b " * n, f"s{n}") for n in (1, 3, 5, 30)]
+    df = spark.createDataFrame([*[(i, "a " * 55_000, "s0") for i in range(20)], *small, (200, "c " * 7, "s3")], "doc_id bigint, text string, source string")
+    got = {}
+    for r in mixing.mix(df, ["doc_id", "source"]).collect():
+        got.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert got["s0"][1] == pytest.approx(got["s0"][0], rel=0.01)
+    assert all(taken == round(target) for source, (target, taken) in got.items() if source != "s0")
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(300, 16)) * rng.exponential(size=(300, 1))
