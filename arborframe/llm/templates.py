@@ -1,13 +1,13 @@
 """Main text of HTML pages by removal of site templates.
 
 A page is read into a tree that forgives missing end tags.  Every element subtree is hashed; per host, Spark
-counts the pages that hold each hash, and subtrees on many of the host's pages (LEAST of them and SHARE of all)
-are its template.  A page's text is what its article (or main part, or else body) keeps after the template,
+counts the pages of different text that hold each hash, and subtrees on many of the host's pages (LEAST of them and
+SHARE of all, copies of a page counting once) are its template.  A page's text is what its article (or main part, or else body) keeps after the template,
 elements of menus, headers, footers, asides, forms, scripts and the like, and elements named as such by class,
 id or role are taken out.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; a null or odd url belongs to the
-host named by an empty string; repeated rows count as pages of their own; cut-off tags and comments end with the
+host named by an empty string; copies of a page each get its text; cut-off tags and comments end with the
 page; an empty table gives an empty result; only the named columns are read.
 """
 
@@ -25,6 +25,8 @@ from arborframe.llm.common import stored, table
 LEAST, SHARE = 5, 0.3
 #: Template hashes that may be broadcast; with more, they are joined by host.
 BROADCAST = 200_000
+#: A template that holds no element, hashed or not.
+_NONE = frozenset((None,))
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -166,20 +168,26 @@ def host(url):
 
 
 def site_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host and its template's subtree hashes.  Hash 0 stands for the page itself, so it counts the host's pages."""
+    """host and its template's subtree hashes.  Hash 0 stands for the page itself, so it counts the host's pages.
+
+    Pages whose main text before any template is equal are copies and count once, so no article becomes a template by
+    its own copies.
+    """
 
     def run(batches):
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, contents = [], [], []
             for h, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 body = body.as_py()
-                found = [0, *hashed(parse(body))] if body else [0]
+                root = parse(body or "")
+                found = [0, *hashed(root)]
+                contents += [xxhash.xxh64_intdigest(main_text(root, _NONE).encode("utf-8", "surrogatepass")) - (1 << 63)] * len(found)
                 hosts += [h] * len(found)
                 hashes += found
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "hash", "content"])
 
-    seen = pages.select(host(pages[url]).alias("host"), pages[html].alias("html")).mapInArrow(run, "host string, hash bigint")
-    counts = seen.groupBy("host", "hash").count().where(F.col("count") >= LEAST)
+    seen = pages.select(host(pages[url]).alias("host"), pages[html].alias("html")).mapInArrow(run, "host string, hash bigint, content bigint")
+    counts = seen.groupBy("host", "hash").agg(F.count_distinct("content").alias("count")).where(F.col("count") >= LEAST)
     whole = counts.where("hash = 0").select("host", F.col("count").alias("pages"))
     often = counts.where("hash <> 0").join(whole, "host").where(F.col("count") >= SHARE * F.col("pages"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
@@ -207,7 +215,7 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "ht
                     hashed(root)
                     out.append(main_text(root, frozenset(template)))
                 else:
-                    out.append(main_text(root, frozenset((None,))))
+                    out.append(main_text(root, _NONE))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*columns, "text"])
 
     out = now.mapInArrow(run, kept + "text string")

@@ -166,6 +166,16 @@ def test_templates(spark):
     assert templates.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+def test_templates_of_copies(spark):
+    article = "<article><h1>Own head</h1><p>Own first.</p><p>Own last.</p></article>"
+    rows = [(i, f"http://c.example/{i}", f"<body><div>site {i}</div>{article}</body>") for i in range(6)]
+    rows += [(6 + i, f"http://c.example/o{i}", f"<body><article><h1>Other {i}</h1><p>Text {i}.</p><div>Sign up here</div></article></body>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in templates.extract(df, ["page_id"]).collect()}
+    assert all(got[i] == "Own head Own first. Own last." for i in range(6))
+    assert got[8] == "Other 2 Text 2."
+
+
 def test_suffix_tree(spark, docs, empty):
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
     rows = suffix_tree.evaluate(docs, train, ["doc_id"]).collect()
