@@ -178,16 +178,17 @@ def links(fps: DataFrame, part: int = PART) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns `keep` of every row with fp and component_id, the smallest id that links reach."""
+    """Columns `keep` of every row with fp, component_id, the smallest id that links reach, and root, the
+    component's smallest fingerprint."""
     at = f"_k{keep.index(doc_id)}"
     marked = stored(fingerprints(docs, keep, text))
     nodes = materialize(marked.groupBy("fp").agg(F.min(at).alias("least")))
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.select(F.col("fp").alias("_fp"), "root").join(named, "root").drop("root")
+    of = rooted.select(F.col("fp").alias("_fp"), "root").join(named, "root")
     out = marked.join(of, F.col("fp") == F.col("_fp"))
-    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "fp", "component_id")
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "fp", "component_id", "root")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -196,11 +197,12 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the row with the smallest id stays (one of them, if it is repeated)."""
-    body = docs.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
+    """Pipeline stage: of each group the row with the smallest id stays (null ids last; one row, if it is repeated)."""
+    # xxhash64 passes over nulls, so where they stand is hashed too
+    body = docs.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]))
     found = near_duplicates(body, ["doc_id", "_h"])
-    stay = found.groupBy("component_id", "doc_id").agg(F.min("_h").alias("_h")).where(F.col("component_id").eqNullSafe(F.col("doc_id")))
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hash"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("r"))
+    stay = first.select(F.col("r.doc_id").alias("_id"), F.col("r._h").alias("_hash"))
     kept = body.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
-    # identical rows have an equal hash: one of them stays
-    return kept.select(*docs.columns).dropDuplicates(["doc_id"])
+    # only identical rows share id and hash: one of them stays
+    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)

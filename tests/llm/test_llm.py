@@ -64,6 +64,13 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_duplicates(empty, ["doc_id"]).count() == 0
 
 
+def test_near_duplicates_stage(spark):
+    a, b, c = ("red green blue black white", "one two three four five six", "north south east west up down")
+    rows = [(None, a, "en"), (None, b, "en"), (None, a, "de"), (5, c, "en"), (5, "to be or not to be that", None), (9, c, "en"), (7, b, "en"), (7, b, "en"), (8, None, "x"), (None, "x", None)]
+    got = simhash.stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, a), (7, b), (5, c), (5, "to be or not to be that"), (8, None), (None, "x")])
+
+
 def test_simhash_links(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
