@@ -25,3 +25,14 @@ def test_query(spark, name):
         pytest.skip("needs the keys of a larger table")
     want = con.execute(queries.SQL[name])
     assert rows(df.columns, df.collect()) == rows([c[0] for c in want.description], want.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+def test_pointer_chain(spark, monkeypatch):
+    read = []
+    chase = queries.links.chase
+    monkeypatch.setattr(queries.links, "chase", lambda spark, nodes, *a: read.append(nodes) or chase(spark, nodes, *a))
+    df = queries.QUERIES["pointer_chain"](spark, DIR)
+    want = duckdb.connect().execute(queries.SQL["pointer_chain"])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in want.description], want.fetchall())
+    assert read[0].count() == spark.read.parquet(f"{DIR}/orders.parquet").count()
