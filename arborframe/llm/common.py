@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space as `[^\x20\x09-\x0D]+` leaves it out; `bytes.split()` splits at exactly these.
@@ -33,16 +36,63 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _file_system(spark: SparkSession, where: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Like materialize(), as a Parquet table in the shared folder: columnar, so later readers prune columns."""
-    where = os.path.join(checkpoint_dir(df.sparkSession), f"t-{uuid.uuid4().hex}")
-    df.write.parquet(where)
+    """Like materialize(), as a Parquet table in the shared folder: columnar, so later readers prune columns.  It is
+    deleted by discard(), or when the session's driver ends."""
     spark = df.sparkSession
+    where = os.path.join(checkpoint_dir(spark), f"t-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(where)
+    files, path = _file_system(spark, where)
+    files.deleteOnExit(path)
     del df
     # shuffle files of what is stored now would else stay until the driver's heap fills
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.parquet(where)
+    out = spark.read.parquet(where)
+    out._stored_at = where
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again."""
+    for df in frames:
+        files, path = _file_system(df.sparkSession, df._stored_at)
+        files.delete(path, True)
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the rows' bytes (of files, their size)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """An array by byte planes, compressed: sorted keys and small numbers shrink to a few bytes each."""
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+
+
+def unpacked(block: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def settle_memory() -> None:
+    """Gives what a worker has freed back to the machine, as it will stay for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its memory stays
+        pass
+
+
+def anonymous(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by place, so that no name of theirs clashes with an operator's, and the new names."""
+    names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:

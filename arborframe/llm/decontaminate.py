@@ -17,7 +17,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arborframe.llm.common import texts
+from arborframe.llm.common import anonymous, table, texts
 
 WINDOW = 8
 #: Patterns that one pass holds in memory; a larger benchmark is searched in further passes.
@@ -166,8 +166,6 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def op6(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of matches() over all documents."""
-    from arborframe.llm.common import table
-
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated")
@@ -175,8 +173,8 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents (two items or more) go; the rest keep all their columns."""
-    from arborframe.llm.common import table
-
-    found = matches(docs.withColumn("_searched", F.col("text")), table(spark, sf_dir, "benchmark"), text="_searched", keep=docs.columns)
-    return found.where("n_items < 2").select(*docs.columns)
+    """Pipeline stage: contaminated documents (two items or more) go; the rest keep all their columns, whatever their
+    names.  Null and wordless texts stay, repeated rows stay or go together, an empty table gives an empty result."""
+    body, names = anonymous(docs)
+    found = matches(body, table(spark, sf_dir, "benchmark"), text=names["text"], keep=body.columns)
+    return found.where("n_items < 2").select(body.columns).toDF(*docs.columns)

@@ -1,29 +1,34 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words (A-Z lower-cased, by 32-bit hash).  Equal sets are collapsed first.  Distinct sets
-order their words by rarity (counts in a fixed table of hashes, broadcast: TABLE entries), and meet under the
+A line is the set of its words, A-Z lower-cased.  Lines of equal sets are collapsed first, by 128-bit hash.  Distinct
+sets order their words by rarity (counts in a fixed table of hashes, broadcast: TABLE entries), and meet under the
 words of their prefixes; length, position and parity-signature filters (each an exact bound on the overlap) leave
-candidates, whose Jaccard similarity is then verified.  A line goes if an equal or similar line stands before it,
-in order of (doc_id, line number, text's hash); whether that one goes too does not matter.
+candidates, whose Jaccard similarity is then verified on the words themselves.  A line goes if an equal or similar
+line stands before it, in order of (doc_id, line number, text's hash; of similar lines in equal places, the set's
+place in its table); whether that one goes too does not matter.
 
-A word under which very many sets meet is dealt out as tiles.  A set's nearest candidate is verified first; sets
-with others that it does not settle are searched again, for eight times as many candidates each time, until all
-have been verified, so none is lost.
+A set's nearest candidate is verified first, then its others; where a set has more than were listed and none
+settles it, a further search lists eight times as many, until all have been verified, so none is lost.  Rows travel
+as packed blocks in buckets whose number grows with the data; a worker holds one bucket at a time, and a word under
+which very many sets meet is dealt out as tiles.
 
 Sets of fewer than MEETS words are similar to none but an equal one, so they are collapsed and meet no others.
 
 Edge cases: lines without words stay; null texts have no lines and stay null; null ids stand
 last; rows with an equal id and text are one document and keep the same lines; very long lines are compared whole;
-an empty table gives an empty result; only the named columns are read.
+an empty table gives an empty result; only the named columns are read, and columns carried along may have any name.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from arborframe.llm.common import stored, table, texts
+from arborframe.llm.common import discard, packed, planned_bytes, settle_memory, stored, table, texts, unpacked
 
 SIMILARITY, LEAST = 0.8, 1
 #: Words of the smallest set that can be similar to a larger one: 4 of 5.
@@ -31,19 +36,26 @@ MEETS = 4
 TABLE = 1 << 22
 #: Sets meeting under one word in one tile.
 TILE = 20_000
-#: Unsettled sets that one further search takes.
-AGAIN = 500_000
-#: Bytes of text that are split at once, words of sets that are sent at once, and pairs that are held at once.
-PIECE, SENT, HELD = 1 << 20, 2_000_000, 1_000_000
+#: Candidates of a set that one search lists, how many times as many if its nearest may well not be similar, and how
+#: many times as many the next search lists.
+FEW, WIDE, GROWTH = 8, 32, 8
+#: Bytes of text that are split at once, bytes of lines and records that are sent at once, pairs that are held at once.
+PIECE, SENT, RECORDS, HELD = 1 << 18, 12_000_000, 300_000, 1_000_000
+#: Slices in which tables and bitmaps are put together.
+SLICES = 64
+#: Bytes of input for each bucket.
+BUCKET = 4_000_000
 #: Bits of the filters for sets that are in some pair (8 an id, up to so many) and for the words and sizes that unsettled
 #: sets meet under (8,192 a set, up to so many); what passes in vain is only shuffled.
 FILTER = 1 << 26
 _RECORD = np.dtype([("key", "<u4"), ("at", "<u2"), ("size", "<u4"), ("sign", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("id", "<i8")])
-_HEAD = np.dtype([("id", "<i8"), ("doc", "<i8"), ("tie", "<i8"), ("line", "<i4"), ("size", "<u4")])
+_PLACE = [("doc", "<i8"), ("tie", "<i8"), ("line", "<i4")]
+_HEAD = np.dtype([("a", "<u8"), ("b", "<u8"), *_PLACE, ("bytes", "<i4")])
+_GONE = np.dtype(_PLACE)
 _U = np.uint64
-#: Words are hashed as polynomials over random byte values modulo 2^64; the inverse moves a hash to the word's start.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Words are hashed eight bytes at a time, those of more than LONG bytes by xxh64; the seeds give independent hashes, of
+#: which the first stands for a word in the search and both for a set's identity.
+SEEDS, LONG = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -52,61 +64,65 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(31)
 
 
-def _byte_values() -> np.ndarray:
-    values = _mix(np.arange(1, 257, dtype=np.uint64) * _U(BASE))
-    values[65:91] = values[97:123]
-    return values
-
-
-_VALUES = _byte_values()
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-class Powers:
-    """Powers of BASE and of its inverse; a worker makes them once and extends them for longer pieces."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * PIECE)
-            for name, x in (("up", BASE), ("down", INVERSE)):
-                steps = np.full(n, x, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-def line_sets(bodies: list[bytes | None], powers: Powers):
-    """(text's index, line number, id of the set, where its words begin) for lines that take part, and all words'
-    hashes; a set's hashes are sorted and end where the next one's begin."""
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray, seeds) -> list[np.ndarray]:
+    """Hashes of words in data, which ends in eight bytes more."""
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    first = eights[starts] & _LOW[np.minimum(sizes, 8)]
+    out = [_mix(first * _U(seed | 1) + sizes.astype(np.uint64)) for seed in seeds]
+    left = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    for at in range(8, LONG, 8):
+        left = left[sizes[left] > at]
+        if not len(left):
+            break
+        x = eights[starts[left] + at] & _LOW[np.minimum(sizes[left] - at, 8)]
+        for h, seed in zip(out, seeds):
+            h[left] = _mix((h[left] ^ x) * _U(seed | 1))
+    for i in np.flatnonzero(sizes > LONG):
+        word = data[starts[i] : starts[i] + sizes[i]]
+        for h, seed in zip(out, seeds):
+            h[i] = xxhash.xxh64_intdigest(word, seed)
+    return out
+
+
+def line_sets(bodies: list[bytes | None], identity: bool = True, levels: np.ndarray | None = None):
+    """(text's index, line number, id's two halves, where its words begin) for lines that take part, and all words'
+    hashes; a line's distinct hashes, in order of rarity if levels are given, end where the next one's begin.  Without
+    identity the halves are None."""
     bodies = [t or b"" for t in bodies]
-    raw = np.frombuffer(b"\n".join(bodies) + b"\n", np.uint8)
-    up, down = powers.upto(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * up[: len(raw)], out=total[1:])
+    data = b"\n".join([*bodies, bytes(8)]).lower()
+    raw = np.frombuffer(data, np.uint8)[:-8]
     space = _SPACE[raw]
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])  # the piece ends in a newline
-    h = _mix((total[ends] - total[starts]) * down[starts]) >> _U(32)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edges = np.r_[0, edges] if len(raw) and not space[0] else edges  # the texts end in a newline
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    hashes = _word_hashes(data, starts, sizes, SEEDS[: 2 if identity else 1])
     new = np.flatnonzero(raw == 10)
-    key = np.sort(np.searchsorted(new, starts).astype(np.uint64) << _U(32) | h)
-    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    line = (key >> _U(32)).astype(np.int64)
-    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(key) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[begin, len(key)])
-    keep = np.repeat(count >= LEAST, count)
-    line, begin, words = line[begin][count >= LEAST], None, (key[keep] & _U(0xFFFFFFFF)).astype(np.uint32)
-    count = count[count >= LEAST]
-    cut = np.r_[0, np.cumsum(count)]
-    ids = np.add.reduceat(_mix(words.astype(np.uint64) + _U(BASE)), cut[:-1]) if len(line) else np.zeros(0, np.uint64)
-    ids = _mix(ids + count.astype(np.uint64)).view(np.int64)
+    line = np.repeat(np.arange(len(new)), np.diff(np.r_[0, np.searchsorted(starts, new)]))
+    room = _U(max(1, len(new).bit_length()))  # bits of a line's number; the others sort its words
+    key = line.astype(np.uint64) << (_U(64) - room)
+    if levels is None:
+        key |= hashes[0] >> room
+    else:
+        key |= levels[hashes[0] % _U(TABLE)].astype(np.uint64) << (_U(54) - room) | hashes[0] >> (room + _U(10))
+    by = np.argsort(key)
+    line, words = line[by], hashes[0][by]
+    fresh = np.r_[True, (line[1:] != line[:-1]) | (words[1:] != words[:-1])][: len(by)]
+    line, words = line[fresh], words[fresh]
+    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
+    cut = np.r_[begin, len(line)]
+    one = two = None
+    if identity:
+        count = np.diff(cut).astype(np.uint64)
+        one, two = (_mix(np.add.reduceat(_mix(h + _U(SEEDS[0])), begin) + count) if len(begin) else np.zeros(0, np.uint64) for h in (words, hashes[1][by][fresh]))
     # the number of a text's first line: newlines before it, each text being closed by one
     at = np.cumsum([0] + [len(t) + 1 for t in bodies])[:-1]
     first = np.searchsorted(new, at)
-    owner = np.searchsorted(first, line, "right") - 1
-    return owner, line - first[owner], ids, cut, words
+    owner = np.searchsorted(first, line[begin], "right") - 1
+    return owner, line[begin] - first[owner], (one, two), cut, words
 
 
 def _pieces(batch):
@@ -121,164 +137,230 @@ def _pieces(batch):
         yield batch.slice(begin), bodies[begin:]
 
 
-def _gather(cut: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indexes of the elements of the runs `which` (run k being cut[k] to cut[k + 1]), and the new cut."""
-    n = (cut[1:] - cut[:-1])[which]
-    new = np.r_[0, np.cumsum(n)]
-    return np.repeat(cut[:-1][which] - new[:-1], n) + np.arange(new[-1]), new
+def _earliest(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of each set's first line, in order of the sets' ids, and the places of the other lines."""
+    by = np.lexsort((head["tie"], head["line"], head["doc"], head["b"], head["a"]))
+    now = head[by]
+    fresh = np.r_[True, (now["a"][1:] != now["a"][:-1]) | (now["b"][1:] != now["b"][:-1])][: len(by)]
+    first = now[fresh][np.cumsum(fresh) - 1]
+    other = (now["doc"] != first["doc"]) | (now["line"] != first["line"]) | (now["tie"] != first["tie"])  # else a row repeated
+    gone = np.zeros(int(other.sum()), _GONE)
+    for n in _GONE.names:
+        gone[n] = now[n][other]
+    return by[fresh], gone
 
 
-def _flat(column) -> tuple[np.ndarray, np.ndarray]:
-    """A binary column of hashes as one array, with the cut."""
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    at = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    body = column.buffers()[2]
-    words = np.frombuffer(body, np.uint8)[at[0] : at[-1]].view(np.uint32) if body is not None and at[-1] > at[0] else np.zeros(0, np.uint32)
-    return words, (at - at[0]) // 4
+def _bucket_count(df: DataFrame) -> int:
+    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(2 * shuffles, planned_bytes(df) // BUCKET), 64 * shuffles)
 
 
-def _earliest(head: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One entry for each set, with the place of its first line, by id; its words and their cut."""
-    by = np.lexsort((head["tie"], head["line"], head["doc"], head["id"]))
-    by = by[np.r_[True, head["id"][by][1:] != head["id"][by][:-1]]] if len(by) else by
-    index, cut = _gather(np.r_[0, np.cumsum(head["size"].astype(np.int64))], by)
-    return head[by], words[index], cut
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    """Blocks of a bucket one after the other in one task."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
-def _dealt(bucket: np.ndarray, count: int):
-    """For each bucket that occurs, the indexes of its entries."""
-    by = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[by], np.arange(count + 1))
-    for b in np.flatnonzero(cut[1:] > cut[:-1]):
-        yield int(b), by[cut[b] : cut[b + 1]]
+def _bucketwise(batches):
+    """Lists of the rows (without the bucket) of each bucket."""
+    held, now = [], None
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
+        for bucket, *row in zip(batch.column(0).to_pylist(), *columns):
+            if bucket != now and held:
+                yield held
+                held = []
+            now = bucket
+            held.append(row)
+    if held:
+        yield held
 
 
-def _buckets(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _order(docs: DataFrame):
+    return F.coalesce(docs["doc_id"].try_cast("bigint"), F.lit(2**63 - 1)).alias("doc")
 
 
 def _sets(docs: DataFrame, text: str) -> DataFrame:
-    """Distinct sets with the place of their first line.  Equal sets are collapsed before and after the shuffle."""
-    buckets = _buckets(docs)
+    """Distinct sets (id, place of their first line, its text), the places of lines equal to an earlier one (without
+    id and text), and slices (numbered by `line`) of a table with the number of sets that hold a word.  Equal sets are
+    collapsed before and after the shuffle."""
+    buckets = _bucket_count(docs)
 
     def deal(batches):
-        powers, heads, bodies, held = Powers(), [], [], 0
+        zip_, serial = zstandard.ZstdCompressor(1), TaskContext.get().partitionId()
+        heads, lines, held = [], [], 0
 
         def out():
-            head, words, cut = _earliest(np.concatenate(heads), np.concatenate(bodies))
-            found = list(_dealt((_mix(head["id"].view(np.uint64)) % _U(buckets)).astype(np.int64), buckets))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in found], pa.int32()), pa.array([head[i].tobytes() for _, i in found], pa.binary()), pa.array([words[_gather(cut, i)[0]].tobytes() for _, i in found], pa.binary())],
-                names=["bucket", "head", "words"],
-            )
+            head = np.concatenate(heads)
+            by, gone = _earliest(head)
+            # the bucket grows with the id
+            bucket = ((head["a"][by] >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            cut = np.searchsorted(bucket, np.arange(buckets + 1))
+            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            runs = [by[cut[b] : cut[b + 1]] for b in some]
+            numbers, blocks = [*some], [packed(head[r]) for r in runs]
+            bodies = [zip_.compress(b"".join([lines[i] for i in r])) for r in runs]
+            if len(gone):
+                numbers.append(serial % buckets)
+                blocks.append(packed(gone))
+                bodies.append(None)
+            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary()), pa.array(bodies, pa.binary())], names=["bucket", "head", "body"])
 
         for batch in batches:
-            for part, texts_ in _pieces(batch):
-                owner, line, ids, cut, words = line_sets(texts_, powers)
-                head = np.zeros(len(ids), _HEAD)
-                head["id"], head["doc"], head["tie"], head["line"], head["size"] = ids, part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], line, np.diff(cut)
+            for part, bodies in _pieces(batch):
+                owner, line, (one, two), _, _ = line_sets(bodies)
+                split = [t.split(b"\n") if t else () for t in bodies]
+                now = [split[o][k] for o, k in zip(owner.tolist(), line.tolist())]
+                head = np.zeros(len(now), _HEAD)
+                head["a"], head["b"], head["doc"], head["tie"], head["line"] = one, two, part.column(0).to_numpy()[owner], part.column(1).to_numpy()[owner], line
+                head["bytes"] = [len(x) for x in now]
                 heads.append(head)
-                bodies.append(words)
-                held += len(words)
+                lines += now
+                held += int(head["bytes"].sum())
                 if held > SENT:
                     yield out()
-                    heads, bodies, held = [], [], 0
-        if held:
+                    heads, lines, held = [], [], 0
+                    serial += 7919
+        if heads:
             yield out()
-
-    def collapse(key, data):
-        head = np.concatenate([np.frombuffer(x.as_py(), _HEAD) for x in data.column("head")])
-        head, words, cut = _earliest(head, np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in data.column("words")]))
-        body = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer((cut * 4).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
-        return pa.table({"id": head["id"].copy(), "doc": head["doc"].copy(), "line": head["line"].copy(), "tie": head["tie"].copy(), "words": body})
-
-    sent = docs.select(_order(docs), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("_t")).mapInArrow(deal, "bucket int, head binary, words binary")
-    return sent.groupBy("bucket").applyInArrow(collapse, "id bigint, doc bigint, line int, tie bigint, words binary")
-
-
-def _order(docs: DataFrame):
-    return F.coalesce(docs["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("doc")
-
-
-def _counts(sets: DataFrame) -> np.ndarray:
-    """Sets that hold a word, by the word's entry in the table."""
-    slices = 64
-
-    def count(batches):
-        total = np.zeros(TABLE, np.int64)
+        settle_memory()
+
+    def collapse(batches):
+        unzip = zstandard.ZstdDecompressor()
+        number = TaskContext.get().partitionId() << 33
+        counts = np.zeros(TABLE, np.uint32)
+
+        def joined(heads, lines):
+            head = np.concatenate(heads)
+            by, gone = _earliest(head)
+            return [head[by]], [lines[i] for i in by.tolist()], gone
+
+        def rows(head, gone, lines):
+            nonlocal number
+            n, m = len(head), len(gone)
+            ids = pa.array([*range(number, number + n), *[None] * m], pa.int64())
+            number += n
+            places = [pa.array(np.concatenate((head[x], gone[x]))) for x in ("doc", "tie", "line")]
+            return pa.RecordBatch.from_arrays([ids, *places, pa.array([*lines, *[None] * m], pa.binary()), pa.nulls(n + m, pa.binary())], names=["id", "doc", "tie", "line", "body", "counts"])
+
+        for held in _bucketwise(batches):
+            heads, lines, size = [np.zeros(0, _HEAD)], [], 0
+            for head, body in held:
+                if body is None:
+                    yield rows(np.zeros(0, _HEAD), unpacked(head, _GONE), [])
+                    continue
+                head, body = unpacked(head, _HEAD), unzip.decompress(body)
+                at = np.r_[0, np.cumsum(head["bytes"], dtype=np.int64)].tolist()
+                heads.append(head)
+                lines += [body[x:y] for x, y in zip(at, at[1:])]
+                size += len(body)
+                if size > SENT:  # many blocks of one bucket: copies go before more are read
+                    heads, lines, gone = joined(heads, lines)
+                    yield rows(np.zeros(0, _HEAD), gone, [])
+                    size = sum(map(len, lines)) // 2
+            if lines:
+                (head,), lines, gone = joined(heads, lines)
+                for k in range(0, len(head), 1024):
+                    _, _, _, cut, words = line_sets(lines[k : k + 1024], False)
+                    size = np.diff(cut)
+                    entry, n = np.unique((words[np.repeat(size >= MEETS, size)] % _U(TABLE)).astype(np.int64), return_counts=True)
+                    counts[entry] += n.astype(np.uint32)
+                    yield rows(head[k : k + 1024], gone[:0], lines[k : k + 1024])
+                yield rows(head[:0], gone, [])
+        some = [k for k, part in enumerate(np.split(counts, SLICES)) if part.any()]
+        none, parts = pa.nulls(len(some), pa.int64()), pa.array([packed(np.split(counts, SLICES)[k]) for k in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(some, pa.int32()), pa.nulls(len(some), pa.binary()), parts], names=["id", "doc", "tie", "line", "body", "counts"])
+        settle_memory()
+
+    sent = docs.select(_order(docs), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("_t")).mapInArrow(deal, "bucket int, head binary, body binary")
+    return _by_bucket(sent).mapInArrow(collapse, "id bigint, doc bigint, tie bigint, line int, body binary, counts binary")
+
+
+def _joined(parts: DataFrame, size: int, kind, join) -> np.ndarray:
+    """One array from its slices (number, packed part), several of a number being joined as they arrive: a task holds
+    no more than one array, nor does the driver."""
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            flat, cut = _flat(batch.column(0))
-            total += np.bincount(flat[np.repeat(np.diff(cut) >= MEETS, np.diff(cut))] % TABLE, minlength=TABLE)
-        parts = np.split(np.minimum(total, 2**32 - 1).astype(np.uint32), slices)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
-
-    def add(key, data):
-        total = np.zeros(TABLE // slices, np.int64)
-        for x in data.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint32)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    rows = sets.select("words").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
-    out = np.zeros((slices, TABLE // slices), np.uint32)
-    for r in rows:
-        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint32)
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = unpacked(part.as_py(), kind)
+                held[k] = join(held[k], part) if k in held else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([packed(x) for x in held.values()], pa.binary())], names=["slice", "part"])
+
+    out = np.zeros((SLICES, size // SLICES), kind)
+    for r in parts.repartition(parts.columns[0]).mapInArrow(merge, "slice int, part binary").collect():
+        out[r[0]] = unpacked(bytes(r[1]), kind)
     return out.ravel()
 
 
-def _records(batch, counts: np.ndarray) -> np.ndarray:
-    """Prefix records of a batch of sets (id, doc, line, words)."""
-    flat, cut = _flat(batch.column(3))
-    begins, size = cut[:-1], np.diff(cut)
-    owner = np.repeat(np.arange(len(size)), size)
-    spot = _mix(flat.astype(np.uint64)) >> _U(57)
+def _counts(held: DataFrame) -> np.ndarray:
+    """Sets that hold a word, by the word's entry in the table."""
+    parts = held.where("counts is not null").select("line", "counts")
+    return _joined(parts, TABLE, np.uint32, lambda x, y: np.minimum(x.astype(np.int64) + y, 2**32 - 1).astype(np.uint32))
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Rarity on a scale of 10 bits; 0 for words that no other set holds."""
+    return np.floor(30 * np.log2(np.maximum(counts, 1))).astype(np.uint16)
+
+
+def _records(ids, docs, lines, cut: np.ndarray, words: np.ndarray, counts: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Prefix records of sets given by their words in one order of all: rarer first, then by hash."""
+    size = np.diff(cut)
+    large = size >= MEETS
+    if not large.all():
+        words = words[np.repeat(large, size)]
+        ids, docs, lines, size = ids[large], docs[large], lines[large], size[large]
+    if not len(size):
+        return np.zeros(0, _RECORD)
+    begins = np.r_[0, np.cumsum(size)[:-1]]
+    spot = _mix(words) >> _U(57)
     bit = _U(1) << (spot & _U(63))
     sign = [np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), begins) for half in (spot < 64, spot >= 64)]
-    # one order of all words: rarer first (counts above 18 bits are alike), then by hash
-    rarity = np.minimum(counts[flat % TABLE], (1 << 18) - 1).astype(np.uint64)
-    key = np.sort(owner.astype(np.uint64) << _U(50) | rarity << _U(32) | flat)
-    word = (key & _U(0xFFFFFFFF)).astype(np.uint32)
-    at = np.arange(len(key)) - begins[owner]
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(words)) - begins[owner]
     prefix = size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1
-    near = np.flatnonzero((at < prefix[owner]) & (size[owner] >= MEETS))
-    held = counts[word[near] % TABLE].astype(np.int64)
-    keep, held = near[held > 1], held[held > 1]  # what no other set holds meets nothing
-    owner = owner[keep]
-    out = np.zeros(len(keep), _RECORD)
-    out["key"], out["at"], out["size"], out["sign"], out["more"] = word[keep], np.minimum(at[keep], 65535), size[owner], sign[0][owner], sign[1][owner]
-    for k, name in enumerate(("id", "doc", "line")):
-        out[name] = batch.column(k).to_numpy()[owner]
-    parts = -(-held // TILE)
+    near = np.flatnonzero(at < prefix[owner])
+    near = near[levels[words[near] % _U(TABLE)] > 0]  # what no other set holds meets nothing
+    owner = owner[near]
+    out = np.zeros(len(near), _RECORD)
+    out["key"], out["at"], out["size"], out["sign"], out["more"] = words[near] >> _U(32), np.minimum(at[near], 65535), size[owner], sign[0][owner], sign[1][owner]
+    out["id"], out["doc"], out["line"] = ids[owner], docs[owner], lines[owner]
+    parts = -(-counts[words[near] % _U(TABLE)].astype(np.int64) // TILE)
     if (parts == 1).all():
         return out
     # words of many sets: a record goes to every tile of its own part
     one, c = out[parts > 1], parts[parts > 1]
     other = np.concatenate([np.arange(n) for n in c])
     more, c = np.repeat(one, c), np.repeat(c, c)
-    own = (_mix(more["id"].view(np.uint64) if more["id"].flags.c_contiguous else more["id"].astype(np.uint64)) % c.astype(np.uint64)).astype(np.int64)
+    own = (_mix(more["id"].astype(np.uint64)) % c.astype(np.uint64)).astype(np.int64)
     tile = np.minimum(own, other) * c + np.maximum(own, other) + 1
     more["key"] = (_mix(more["key"].astype(np.uint64) + (tile.astype(np.uint64) << _U(32))) >> _U(32)).astype(np.uint32)
     return np.concatenate((out[parts == 1], more))
 
 
-def _few(a, b, differ, few):
-    """The `few` nearest partners of each b, their differences, and whether b has others."""
+def _few(a, b, differ, sure, few):
+    """The nearest partners of each b, their differences, whether they are surely similar, and whether b has others:
+    `few` of them where the nearest is well within the bound, else WIDE times as many."""
     if not len(b):
-        return a, b, differ, np.zeros(0, bool)
+        return a, b, differ, sure, np.zeros(0, bool)
     by = np.lexsort((a, differ, b))
     by = by[np.r_[True, (b[by][1:] != b[by][:-1]) | (a[by][1:] != a[by][:-1])]]
-    a, b, differ = a[by], b[by], differ[by]
+    a, b, differ, sure = a[by], b[by], differ[by], sure[by]
     first = np.searchsorted(b, b)
-    more = np.searchsorted(b, b, "right") - first > few
-    within = np.arange(len(b)) - first < few
-    return a[within], b[within], differ[within], more[within]
+    most = np.where(sure[first], few, few * WIDE)
+    more = np.searchsorted(b, b, "right") - first > most
+    within = np.arange(len(b)) - first < most
+    return a[within], b[within], differ[within], sure[within], more[within]
 
 
-def _meet(r: np.ndarray, few: int, wanted: np.ndarray | None):
-    """Candidates among records of equal key: (a, b, differ, more), a standing before b."""
+def _meet(r: np.ndarray, few: int, wanted):
+    """Candidates among records of equal key: (a, b, differ, more), a standing before b; wanted says which ids may
+    be b."""
     # larger groups first, and the sets of a group by size
     _, group, n = np.unique(r["key"], return_inverse=True, return_counts=True)
     meets = n > 1
-    want = np.ones(len(r), bool) if wanted is None else np.isin(r["id"], wanted)
+    want = np.ones(len(r), bool) if wanted is None else wanted(r["id"])
     if wanted is not None:
         meets &= np.bincount(group, want, len(n)) > 0
     on = meets[group]
@@ -297,8 +379,7 @@ def _meet(r: np.ndarray, few: int, wanted: np.ndarray | None):
     held, total = [], 0
 
     def fold():
-        a, b, differ = (np.concatenate(x) for x in zip(*held))
-        return _few(a, b, differ, few + 1)[:3]
+        return _few(*(np.concatenate(x) for x in zip(*held)), few + 1)[:4]
 
     for d in range(1, int(n[0]) if len(n) else 0):
         m = int(np.searchsorted(-n, -d))  # records of groups of more than d
@@ -308,48 +389,51 @@ def _meet(r: np.ndarray, few: int, wanted: np.ndarray | None):
         j = i + d
         both, differ = size[i] + size[j], differ[i].astype(np.int64)
         need = np.ceil(SIMILARITY / (1 + SIMILARITY) * both - 1e-9)
-        reach = np.minimum(size[i] - at[i], size[j] - at[j]) + np.minimum(at[i], at[j])
+        # a pair need only be seen at its first common word, so no word before it is common
+        reach = np.minimum(size[i] - at[i], size[j] - at[j])
         ok = (size[i] >= SIMILARITY * size[j] - 1e-9) & (reach >= need) & (both - differ >= 2 * need)
-        i, j, differ = i[ok], j[ok], differ[ok]
+        i, j, differ, sure = i[ok], j[ok], differ[ok], (2 * differ <= both - 2 * need)[ok]
         swap = rank[i] > rank[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
         ok = want[b] & (ids[a] != ids[b])
         if ok.any():
-            held.append((ids[a[ok]], ids[b[ok]], differ[ok]))
+            held.append((ids[a[ok]], ids[b[ok]], differ[ok], sure[ok]))
             total += int(ok.sum())
             if total > HELD:
                 held, total = [fold()], 0
     if not held:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
-    return _few(*(np.concatenate(x) for x in zip(*held)), few)
+    a, b, differ, _, more = _few(*(np.concatenate(x) for x in zip(*held)), few)
+    return a, b, differ, more
+
+
+def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
 
 
 def _bitmap(rows: DataFrame, spots, bits: int) -> np.ndarray:
-    """Packed bits, set at what spots(batch) gives for the batches of rows; merged in slices, not on the driver."""
-    slices = 64
+    """Packed bits, set at what spots(batch) gives for the batches of rows."""
 
-    def mark(batches):
+    def make(batches):
         seen = np.zeros(bits, bool)
         for batch in batches:
             seen[spots(batch)] = True
-        parts = np.split(np.packbits(seen), slices)
-        some = [k for k in range(slices) if parts[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], names=["slice", "bits"])
-
-    def merge(key, data):
-        total = np.zeros(bits // 8 // slices, np.uint8)
-        for x in data.column("bits"):
-            total |= np.frombuffer(x.as_py(), np.uint8)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros((slices, bits // 8 // slices), np.uint8)
-    for r in rows.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
-        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
-    return out.ravel()
+        parts = np.split(np.packbits(seen), SLICES)
+        some = [k for k in range(SLICES) if parts[k].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(parts[k]) for k in some], pa.binary())], names=["slice", "part"])
+        settle_memory()
+
+    return _joined(rows.mapInArrow(make, "slice int, part binary"), bits // 8, np.uint8, np.bitwise_or)
+
 
+def _id_spot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(ids.astype(np.uint64)) % _U(bits)).astype(np.int64)
 
-def _is_set(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bitmap that holds all of the ids, and few others."""
+    bits = min(FILTER, 1 << max(16, (8 * ids.count()).bit_length()))
+    return _bitmap(ids, lambda batch: _id_spot(batch.column(0).to_numpy(), bits), bits)
 
 
 def _classes(size: np.ndarray) -> np.ndarray:
@@ -361,143 +445,167 @@ def _spot(key: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(key.astype(np.uint64) << _U(32) | level.astype(np.uint64)) % _U(bits)).astype(np.int64)
 
 
-def _meeting(sets: DataFrame, counts, wanted) -> np.ndarray:
+def _recorded(batch, counts, levels):
+    """Records of the sets (id, doc, line, body) of a batch, piece by piece."""
+    for part, bodies in _pieces(batch):
+        owner, _, _, cut, words = line_sets(bodies, False, levels)
+        yield _records(*(part.column(k).to_numpy()[owner] for k in range(3)), cut, words, counts, levels)
+
+
+def _meeting(sets: DataFrame, counts, wanted, number: int) -> np.ndarray:
     """A bitmap of the keys and sizes with which the wanted sets meet others."""
-    bits = min(FILTER, 1 << max(22, (8192 * len(wanted.value)).bit_length()))
+    bits = min(FILTER, 1 << max(22, (8192 * number).bit_length()))
 
     def spots(batch):
-        mine = batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted.value)))
-        if not mine.num_rows:
-            return np.zeros(0, np.int64)
-        r = _records(mine, counts.value)
-        scale = _classes(r["size"]) + 2  # from 0
-        low, high = np.floor(scale - 2 - 1e-6).astype(np.int64), np.floor(scale + 2 + 1e-6).astype(np.int64)
-        return np.concatenate([_spot(r["key"], np.minimum(low + k, high), bits) for k in range(6)])
+        mine = batch.filter(pa.array(_is_set(wanted.value, _id_spot(batch.column(0).to_numpy(), 8 * len(wanted.value)))))
+        out, levels = [np.zeros(0, np.int64)], _levels(counts.value) if mine.num_rows else None
+        for r in _recorded(mine, counts.value, levels):
+            scale = _classes(r["size"]) + 2  # from 0
+            low, high = np.floor(scale - 2 - 1e-6).astype(np.int64), np.floor(scale + 2 + 1e-6).astype(np.int64)
+            out += [_spot(r["key"], np.minimum(low + k, high), bits) for k in range(6)]
+        return np.concatenate(out)
 
-    return _bitmap(sets.select("id", "doc", "line", "words"), spots, bits)
+    return _bitmap(sets.select("id", "doc", "line", "body"), spots, bits)
 
 
-def _candidates(sets: DataFrame, shared, few: int, only: np.ndarray | None = None) -> DataFrame:
-    """Pairs of set ids, a standing before b (one of `only`, if given), with their differences and whether b has
-    others.  `shared` is the broadcast table of counts."""
+def _candidates(sets: DataFrame, counts, few: int, buckets: int, only: DataFrame | None = None) -> DataFrame:
+    """Pairs of set ids, a standing before b, with their differences and whether b has others; with `only`, for the
+    b of its ids (and for some others).  `counts` is the broadcast table of counts."""
     context = sets.sparkSession.sparkContext
-    wanted = context.broadcast(only)
-    meeting = context.broadcast(None if only is None else _meeting(sets, shared, wanted))
-    buckets = _buckets(sets)
+    wanted = context.broadcast(None if only is None else _id_filter(only))
+    meeting = context.broadcast(None if only is None else _meeting(sets, counts, wanted, only.count()))
 
     def deal(batches):
-        held, size = [], 0
+        held, size, levels = [], 0, _levels(counts.value)
 
         def out():
             r = np.concatenate(held)
-            found = list(_dealt((_mix(r["key"].astype(np.uint64)) % _U(buckets)).astype(np.int64), buckets))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([r[i].tobytes() for _, i in found], pa.binary())], names=["bucket", "records"])
+            # the bucket grows with the key's hash; sorted records pack well
+            spot = _mix(r["key"].astype(np.uint64)) >> _U(32)
+            r = r[np.argsort(spot << _U(16) | np.minimum(r["size"], 65535).astype(np.uint64), kind="stable")]
+            cut = np.searchsorted((_mix(r["key"].astype(np.uint64)) >> _U(32)) * _U(buckets) >> _U(32), np.arange(buckets + 1, dtype=np.uint64))
+            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(r[cut[b] : cut[b + 1]]) for b in some], pa.binary())], names=["bucket", "records"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                r = _records(batch.slice(at, 8192), shared.value)
+            for r in _recorded(batch, counts.value, levels):
                 if meeting.value is not None:
                     level = np.floor(_classes(r["size"]) + 2)
                     r = r[_is_set(meeting.value, _spot(r["key"], level, 8 * len(meeting.value)))]
                 held.append(r)
                 size += len(r)
-                if size > 300_000:
+                if size > RECORDS:
                     yield out()
                     held, size = [], 0
         if size:
             yield out()
+        settle_memory()
 
-    def meet(key, data):
-        a, b, differ, more = _meet(np.concatenate([np.frombuffer(x.as_py(), _RECORD) for x in data.column("records")]), few, wanted.value)
-        return pa.table({"a": pa.array(a), "b": pa.array(b), "differ": pa.array(differ), "more": pa.array(more)})
-
-    return sets.select("id", "doc", "line", "words").mapInArrow(deal, "bucket int, records binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint, differ bigint, more boolean")
-
+    def meet(batches):
+        only_ = None if wanted.value is None else lambda ids: _is_set(wanted.value, _id_spot(ids, 8 * len(wanted.value)))
+        for held in _bucketwise(batches):
+            a, b, differ, more = _meet(np.concatenate([unpacked(x, _RECORD) for (x,) in held]), few, only_)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(differ.astype(np.int32)), pa.array(more)], names=["a", "b", "differ", "more"])
+        settle_memory()
 
-def _among(ids: DataFrame, sets: DataFrame) -> DataFrame:
-    """id and words of the sets whose id is among ids, and of a few others: a Bloom filter before the shuffle."""
-    bits = min(FILTER, 1 << max(16, (8 * ids.count()).bit_length()))
+    sent = sets.select("id", "doc", "line", "body").mapInArrow(deal, "bucket int, records binary")
+    return _by_bucket(sent).mapInArrow(meet, "a bigint, b bigint, differ int, more boolean")
 
-    def spots(batch):
-        return (_mix(batch.column(0).to_numpy().view(np.uint64)) % _U(bits)).astype(np.int64)
 
-    shared = sets.sparkSession.sparkContext.broadcast(_bitmap(ids, spots, bits))
+def _listed(pairs: DataFrame, few: int) -> DataFrame:
+    """For each b its candidates in order of difference, and whether there are more."""
+    c = F.sort_array(F.collect_set(F.struct("differ", "a")))
+    return pairs.groupBy("b").agg(c.alias("c"), F.max("more").alias("more")).select("b", F.transform("c", lambda x: x["a"]).alias("c"), "more")
 
-    def keep(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_is_set(shared.value, spots(batch))))
 
-    return sets.select("id", "words").mapInArrow(keep, "id bigint, words binary")
+def _words(line: bytes) -> set[bytes]:
+    return set(line.lower().split())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Sets b of the pairs (a, b) whose similarity reaches the threshold."""
+    """Ids b of the pairs (a, b) whose words reach the similarity.  Only lines that are in pairs are shuffled."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    shared = sets.sparkSession.sparkContext.broadcast(_id_filter(ends))
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_is_set(shared.value, _id_spot(batch.column(0).to_numpy(), 8 * len(shared.value)))))
 
     def run(batches):
         for batch in batches:
             out = []
-            for b, x, y in zip(batch.column(0).to_pylist(), texts(batch.column(1)), texts(batch.column(2))):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                common = len(np.intersect1d(x, y, assume_unique=True))
+            for b, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                x, y = _words(x.as_py()), _words(y.as_py())
+                common = len(x & y)
                 if common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9:
                     out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+        settle_memory()
 
-    # only the words of sets that are in pairs are shuffled
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("_id"))
-    held = ends.join(_among(ends.select("_id"), sets), F.col("_id") == F.col("id"))
-    both = held.groupBy("a", "b").agg(F.max(F.when(F.col("id") == F.col("a"), F.col("words"))).alias("x"), F.max(F.when(F.col("id") == F.col("b"), F.col("words"))).alias("y"))
+    held = sets.select("id", "body").mapInArrow(keep, "id bigint, body binary")
+    first = pairs.join(held.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").select("b", "x")
+    both = first.join(held.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
     return both.select("b", "x", "y").mapInArrow(run, "id bigint").distinct()
 
 
-def repeated_sets(sets: DataFrame, again: int = AGAIN) -> DataFrame:
-    """Ids of the sets that are similar to an earlier one."""
-    shared = sets.sparkSession.sparkContext.broadcast(_counts(sets))
-    nearest = _candidates(sets, shared, 1).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("n"), (F.max("more") | (F.min("a") < F.max("a"))).alias("more"))
-    found = stored(nearest.select("b", "n.a", "more"))
-    settled = stored(_verified(found.select("a", "b"), sets))
-    found = found.where("more").select(F.col("b").alias("id"))
+def repeated_sets(held: DataFrame, buckets: int, few: int = FEW) -> DataFrame:
+    """Ids of the sets of _sets() that are similar to an earlier one."""
+    sets = held.where("id is not null").select("id", "doc", "line", "body")
+    counts = sets.sparkSession.sparkContext.broadcast(_counts(held))
+    found = stored(_listed(_candidates(sets, counts, few, buckets), few))
+    settled = stored(_verified(found.select("b", F.col("c")[0].alias("a")), sets))
     while True:
-        found = stored(found.join(settled, "id", "left_anti"))
-        some = np.array(sorted(r[0] for r in found.limit(again).collect()), np.int64)  # at most `again` ids
-        if not len(some):
+        open_ = found.where((F.size("c") > 1) | F.col("more")).join(settled, F.col("b") == F.col("id"), "left_anti")
+        rest = stored(open_.select("b", F.explode(F.slice("c", 2, F.size("c"))).alias("a"))) if few == FEW else stored(open_.select("b", F.explode("c").alias("a")))
+        if not rest.isEmpty():
+            settled = stored(settled.unionByName(_verified(rest, sets)).distinct())
+        discard(rest)
+        wanted = stored(found.where("more").select(F.col("b").alias("id")).join(settled, "id", "left_anti"))
+        if wanted.isEmpty():
+            discard(found, wanted)
             return settled
-        done, few = sets.sparkSession.createDataFrame([(int(i),) for i in some], "id bigint"), 8
-        while len(some):
-            pairs = stored(_candidates(sets, shared, few, some))
-            settled = stored(settled.unionByName(_verified(stored(pairs.select("a", "b").distinct()), sets)).distinct())
-            rest = pairs.where("more").select(F.col("b").alias("id")).distinct().join(settled, "id", "left_anti")
-            some, few = np.array(sorted(r[0] for r in rest.collect()), np.int64), few * 8  # some of the ids of before
-        found = found.join(F.broadcast(done), "id", "left_anti")
+        few *= GROWTH
+        again = _listed(_candidates(sets, counts, few, buckets, wanted), few)
+        found, before = stored(again.join(wanted, F.col("b") == F.col("id"), "left_semi")), found
+        discard(before, wanted)
 
 
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc, tie (hash of the text) and lines, the numbers of the lines that go, for documents that lose any."""
-    sets = stored(_sets(docs, text))
-    repeated = repeated_sets(sets)
-    limits = sets.join(repeated.select(F.col("id").alias("_r")), F.col("id") == F.col("_r"), "left").select(F.col("id").alias("_id"), F.col("doc").alias("_doc"), F.col("line").alias("_line"), F.col("tie").alias("_tie"), F.col("_r").isNotNull().alias("all"))
-
-    def run(batches):
-        powers = Powers()
-        for batch in batches:
-            for part, bodies in _pieces(batch):
-                owner, line, ids, _, _ = line_sets(bodies, powers)
-                docs_, ties = (part.column(k).to_numpy()[owner] for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(docs_), pa.array(ties), pa.array(line.astype(np.int32)), pa.array(ids)], names=["doc", "tie", "line", "id"])
-
-    lines = docs.select(_order(docs), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("_t")).mapInArrow(run, "doc bigint, tie bigint, line int, id bigint")
-    later = (F.col("doc") > F.col("_doc")) | ((F.col("doc") == F.col("_doc")) & ((F.col("line") > F.col("_line")) | ((F.col("line") == F.col("_line")) & (F.col("tie") > F.col("_tie")))))
-    gone = lines.join(limits, F.col("id") == F.col("_id")).where(F.col("all") | later)
+    held = stored(_sets(docs, text))
+    repeated = repeated_sets(held, 4 * _bucket_count(docs)).withColumnRenamed("id", "_r")
+    similar = held.where("id is not null").select("id", "doc", "tie", "line").join(repeated, F.col("id") == F.col("_r"), "left_semi").select("doc", "tie", "line")
+    gone = similar.unionByName(held.where("id is null and counts is null").select("doc", "tie", "line"))
     return gone.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs with the text less its repeated lines, and removed, their numbers (from 0)."""
-    gone = removed_lines(docs, text).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("lines").alias("removed"))
-    out = docs.join(gone, (_order(docs) == F.col("_doc")) & (F.xxhash64(docs[text]) == F.col("_tie")), "left")
-    kept = F.concat_ws("\n", F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("removed"), i)))
-    body = F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept)
-    return out.select(*[body.alias(c) if c == text else F.col(c) for c in docs.columns], F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    """All columns of docs with the text less its repeated lines, and removed, their numbers (from 0), which
+    replaces a column of that name."""
+    names, at = docs.columns, docs.columns.index(text)
+    columns = [f"_k{i}" for i in range(len(names))]
+    gone = removed_lines(docs, text).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("lines").alias("_lines"))
+    body = docs.select(*[docs[c].alias(k) for c, k in zip(names, columns)], _order(docs).alias("_at"), F.xxhash64(docs[text]).alias("_hash"))
+    out = body.join(gone, (F.col("_at") == F.col("_doc")) & (F.col("_hash") == F.col("_tie")), "left").select(*columns, "_lines")
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept, lines = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            for i, some in enumerate(lines):
+                if some and kept[i] is not None:
+                    some = set(some)
+                    kept[i] = "\n".join([x for k, x in enumerate(kept[i].split("\n")) if k not in some])
+            arrays = batch.columns[:-1]
+            arrays[at] = pa.array(kept, batch.column(at).type)
+            removed = pa.array([x or [] for x in lines], batch.column(batch.num_columns - 1).type)
+            yield pa.RecordBatch.from_arrays([*arrays, removed], names=[*columns, "_lines"])
+        settle_memory()
+
+    schema = T.StructType([T.StructField(k, docs.schema[c].dataType) for c, k in zip(names, columns)] + [T.StructField("_lines", T.ArrayType(T.IntegerType()))])
+    out = out.mapInArrow(run, schema)
+    return out.select(*[F.col(k).alias(c) for c, k in zip(names, columns) if c != "removed"], F.col("_lines").alias("removed"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
@@ -510,7 +618,15 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated lines go, and with them documents of which no word is left."""
-    out = dedup(docs)
+    """Pipeline stage: repeated lines go, and with them documents of which no word is left.
+
+    Null and wordless texts stay; rows with an equal id and text lose the same lines, so they stay or go together;
+    null ids stand last; an empty table gives an empty result; all columns are kept, whatever their names.
+    """
+    names = docs.columns
+    columns = [f"_k{i}" for i in range(len(names))]
+    body = docs.select(*[docs[c].alias(c if c in ("doc_id", "text") else k) for c, k in zip(names, columns)])
+    out = dedup(body)
     emptied = (F.size("removed") > 0) & (F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")) == 0)
-    return out.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
+    kept = out.where(~F.coalesce(emptied, F.lit(False)))
+    return kept.select(*[F.col(c if c in ("doc_id", "text") else k).alias(c) for c, k in zip(names, columns)])

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from arborframe.llm.common import components, materialize, stored, table, texts
+from arborframe.llm.common import anonymous, components, materialize, settle_memory, stored, table, texts
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (offset, width) of the ring's segments.
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
             for at in range(0, batch.num_rows, 512):
                 fps += map(fingerprint, texts(body.slice(at, 512)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, np.uint64).view(np.int64))], names=[*columns, "fp"])
+        settle_memory()
 
     return docs.select(*[docs[c].alias(k) for c, k in zip(keep, columns)], docs[text].alias("_text")).mapInArrow(run, kept + "fp bigint")
 
@@ -197,12 +198,18 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group the row with the smallest id stays (null ids last; one row, if it is repeated)."""
+    """Pipeline stage: of each group the row with the smallest id stays (null ids last; one row, if it is repeated).
+
+    Groups are told apart by their smallest fingerprint, so null and repeated ids join none.  Null and wordless texts
+    are one group; an empty table gives an empty result; all columns are kept, whatever their names.
+    """
+    body, names = anonymous(docs)
+    doc_id = names["doc_id"]
     # xxhash64 passes over nulls, so where they stand is hashed too
-    body = docs.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in docs.columns], *[F.col(c).isNull() for c in docs.columns]))
-    found = near_duplicates(body, ["doc_id", "_h"])
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("r"))
-    stay = first.select(F.col("r.doc_id").alias("_id"), F.col("r._h").alias("_hash"))
-    kept = body.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    body = body.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in body.columns], *[F.col(c).isNull() for c in body.columns]))
+    found = near_duplicates(body, [doc_id, "_h"], doc_id, names["text"])
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), "_h")).alias("r"))
+    stay = first.select(F.col("r.id").alias("_id"), F.col("r._h").alias("_hash"))
+    kept = body.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
     # only identical rows share id and hash: one of them stays
-    return kept.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    return kept.dropDuplicates([doc_id, "_h"]).select(list(names.values())).toDF(*docs.columns)

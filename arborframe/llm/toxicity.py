@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from arborframe.llm.common import remainder, table, texts
+from arborframe.llm.common import anonymous, remainder, settle_memory, table, texts
 from arborframe.llm.decontaminate import words
 
 BITS = 22
@@ -36,7 +36,7 @@ class _Hashes(dict):
     """64-bit hashes of words; emptied when it has grown, so a worker's memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         x = self[word] = xxhash.xxh64_intdigest(word)
         return x
@@ -124,6 +124,7 @@ def scores(docs: DataFrame, model, keep: list[str], text: str = "text") -> DataF
                         out[i] = base + float(weight[f].sum(dtype=np.float64))
             out = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*columns, "score"])
+        settle_memory()
 
     out = docs.select(*[docs[c].alias(k) for c, k in zip(keep, columns)], docs[text].alias("_text")).mapInArrow(run, kept + "score double")
     return out.select(*[F.col(k).alias(c) for k, c in zip(columns, keep)], "score")
@@ -141,7 +142,12 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go; the rest keep all their columns."""
+    """Pipeline stage: documents predicted toxic go; the rest keep all their columns, whatever their names.
+
+    Rows of null or empty text stay (the intercept's score is under 0.5), null ids are scored like others, repeated
+    rows stay or go together, and an empty table gives an empty result.
+    """
     model = train(docs, table(spark, sf_dir, "labels"), train_rows=_train_rows)
-    found = scores(docs.withColumn("_scored", F.col("text")), model, docs.columns, text="_scored")
-    return found.where("score < 0.5").select(*docs.columns)
+    body, names = anonymous(docs)
+    found = scores(body, model, body.columns, text=names["text"])
+    return found.where("score < 0.5").drop("score").toDF(*docs.columns)
