@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space as `[^\x20\x09-\x0D]+` leaves it out; `bytes.split()` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Slices in which tables and bitmaps are put together.
+SLICES = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +72,17 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def bucket_count(df: DataFrame, size: int) -> int:
+    """Buckets of about `size` bytes of what df reads, but no more than 64 for each shuffle partition."""
+    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(2 * shuffles, planned_bytes(df) // size), 64 * shuffles)
+
+
+def by_bucket(rows: DataFrame) -> DataFrame:
+    """Blocks of a bucket one after the other in one task."""
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
 def packed(values: np.ndarray) -> bytes:
     """An array by byte planes, compressed: sorted keys and small numbers shrink to a few bytes each."""
     return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
@@ -89,6 +102,24 @@ def settle_memory() -> None:
         pass
 
 
+def joined(parts: DataFrame, size: int, kind, join) -> np.ndarray:
+    """One array from its slices (number, packed part), several of a number being joined as they arrive: a task holds
+    no more than one array, nor does the driver."""
+
+    def merge(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                part = unpacked(part.as_py(), kind)
+                held[k] = join(held[k], part) if k in held else part
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([packed(x) for x in held.values()], pa.binary())], names=["slice", "part"])
+
+    out = np.zeros((SLICES, size // SLICES), kind)
+    for r in parts.repartition(parts.columns[0]).mapInArrow(merge, "slice int, part binary").collect():
+        out[r[0]] = unpacked(bytes(r[1]), kind)
+    return out.ravel()
+
+
 def anonymous(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns named by place, so that no name of theirs clashes with an operator's, and the new names."""
     names = {c: f"_d{i}" for i, c in enumerate(docs.columns)}

@@ -23,12 +23,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from arborframe.llm.common import discard, packed, planned_bytes, settle_memory, stored, table, texts, unpacked
+from arborframe.llm.common import SLICES, bucket_count, by_bucket, discard, joined, packed, settle_memory, stored, table, texts, unpacked
+from arborframe.llm.words import SEEDS, hashes, mix, spans
 
 SIMILARITY, LEAST = 0.8, 1
 #: Words of the smallest set that can be similar to a larger one: 4 of 5.
@@ -41,8 +41,6 @@ TILE = 20_000
 FEW, WIDE, GROWTH = 8, 32, 8
 #: Bytes of text that are split at once, bytes of lines and records that are sent at once, pairs that are held at once.
 PIECE, SENT, RECORDS, HELD = 1 << 18, 12_000_000, 300_000, 1_000_000
-#: Slices in which tables and bitmaps are put together.
-SLICES = 64
 #: Bytes of input for each bucket.
 BUCKET = 4_000_000
 #: Bits of the filters for sets that are in some pair (8 an id, up to so many) and for the words and sizes that unsettled
@@ -53,39 +51,6 @@ _PLACE = [("doc", "<i8"), ("tie", "<i8"), ("line", "<i4")]
 _HEAD = np.dtype([("a", "<u8"), ("b", "<u8"), *_PLACE, ("bytes", "<i4")])
 _GONE = np.dtype(_PLACE)
 _U = np.uint64
-#: Words are hashed eight bytes at a time, those of more than LONG bytes by xxh64; the seeds give independent hashes, of
-#: which the first stands for a word in the search and both for a set's identity.
-SEEDS, LONG = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 64
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> _U(30)) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> _U(27)) * _U(0x94D049BB133111EB)
-    return x ^ x >> _U(31)
-
-
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
-
-
-def _word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray, seeds) -> list[np.ndarray]:
-    """Hashes of words in data, which ends in eight bytes more."""
-    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-    first = eights[starts] & _LOW[np.minimum(sizes, 8)]
-    out = [_mix(first * _U(seed | 1) + sizes.astype(np.uint64)) for seed in seeds]
-    left = np.flatnonzero((sizes > 8) & (sizes <= LONG))
-    for at in range(8, LONG, 8):
-        left = left[sizes[left] > at]
-        if not len(left):
-            break
-        x = eights[starts[left] + at] & _LOW[np.minimum(sizes[left] - at, 8)]
-        for h, seed in zip(out, seeds):
-            h[left] = _mix((h[left] ^ x) * _U(seed | 1))
-    for i in np.flatnonzero(sizes > LONG):
-        word = data[starts[i] : starts[i] + sizes[i]]
-        for h, seed in zip(out, seeds):
-            h[i] = xxhash.xxh64_intdigest(word, seed)
-    return out
 
 
 def line_sets(bodies: list[bytes | None], identity: bool = True, levels: np.ndarray | None = None):
@@ -95,21 +60,18 @@ def line_sets(bodies: list[bytes | None], identity: bool = True, levels: np.ndar
     bodies = [t or b"" for t in bodies]
     data = b"\n".join([*bodies, bytes(8)]).lower()
     raw = np.frombuffer(data, np.uint8)[:-8]
-    space = _SPACE[raw]
-    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    edges = np.r_[0, edges] if len(raw) and not space[0] else edges  # the texts end in a newline
-    starts, sizes = edges[::2], edges[1::2] - edges[::2]
-    hashes = _word_hashes(data, starts, sizes, SEEDS[: 2 if identity else 1])
+    starts, sizes = spans(raw)
+    hashed = hashes(data, starts, sizes, SEEDS[: 2 if identity else 1])
     new = np.flatnonzero(raw == 10)
     line = np.repeat(np.arange(len(new)), np.diff(np.r_[0, np.searchsorted(starts, new)]))
     room = _U(max(1, len(new).bit_length()))  # bits of a line's number; the others sort its words
     key = line.astype(np.uint64) << (_U(64) - room)
     if levels is None:
-        key |= hashes[0] >> room
+        key |= hashed[0] >> room
     else:
-        key |= levels[hashes[0] % _U(TABLE)].astype(np.uint64) << (_U(54) - room) | hashes[0] >> (room + _U(10))
+        key |= levels[hashed[0] % _U(TABLE)].astype(np.uint64) << (_U(54) - room) | hashed[0] >> (room + _U(10))
     by = np.argsort(key)
-    line, words = line[by], hashes[0][by]
+    line, words = line[by], hashed[0][by]
     fresh = np.r_[True, (line[1:] != line[:-1]) | (words[1:] != words[:-1])][: len(by)]
     line, words = line[fresh], words[fresh]
     begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]][: len(line)])
@@ -117,7 +79,7 @@ def line_sets(bodies: list[bytes | None], identity: bool = True, levels: np.ndar
     one = two = None
     if identity:
         count = np.diff(cut).astype(np.uint64)
-        one, two = (_mix(np.add.reduceat(_mix(h + _U(SEEDS[0])), begin) + count) if len(begin) else np.zeros(0, np.uint64) for h in (words, hashes[1][by][fresh]))
+        one, two = (mix(np.add.reduceat(mix(h + _U(SEEDS[0])), begin) + count) if len(begin) else np.zeros(0, np.uint64) for h in (words, hashed[1][by][fresh]))
     # the number of a text's first line: newlines before it, each text being closed by one
     at = np.cumsum([0] + [len(t) + 1 for t in bodies])[:-1]
     first = np.searchsorted(new, at)
@@ -150,16 +112,6 @@ def _earliest(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by[fresh], gone
 
 
-def _bucket_count(df: DataFrame) -> int:
-    shuffles = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(2 * shuffles, planned_bytes(df) // BUCKET), 64 * shuffles)
-
-
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    """Blocks of a bucket one after the other in one task."""
-    return rows.repartition("bucket").sortWithinPartitions("bucket")
-
-
 def _bucketwise(batches):
     """Lists of the rows (without the bucket) of each bucket."""
     held, now = [], None
@@ -183,7 +135,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
     """Distinct sets (id, place of their first line, its text), the places of lines equal to an earlier one (without
     id and text), and slices (numbered by `line`) of a table with the number of sets that hold a word.  Equal sets are
     collapsed before and after the shuffle."""
-    buckets = _bucket_count(docs)
+    buckets = bucket_count(docs, BUCKET)
 
     def deal(batches):
         zip_, serial = zstandard.ZstdCompressor(1), TaskContext.get().partitionId()
@@ -229,7 +181,7 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 33
         counts = np.zeros(TABLE, np.uint32)
 
-        def joined(heads, lines):
+        def united(heads, lines):
             head = np.concatenate(heads)
             by, gone = _earliest(head)
             return [head[by]], [lines[i] for i in by.tolist()], gone
@@ -254,11 +206,11 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
                 lines += [body[x:y] for x, y in zip(at, at[1:])]
                 size += len(body)
                 if size > SENT:  # many blocks of one bucket: copies go before more are read
-                    heads, lines, gone = joined(heads, lines)
+                    heads, lines, gone = united(heads, lines)
                     yield rows(np.zeros(0, _HEAD), gone, [])
                     size = sum(map(len, lines)) // 2
             if lines:
-                (head,), lines, gone = joined(heads, lines)
+                (head,), lines, gone = united(heads, lines)
                 for k in range(0, len(head), 1024):
                     _, _, _, cut, words = line_sets(lines[k : k + 1024], False)
                     size = np.diff(cut)
@@ -272,31 +224,13 @@ def _sets(docs: DataFrame, text: str) -> DataFrame:
         settle_memory()
 
     sent = docs.select(_order(docs), F.xxhash64(docs[text]).alias("tie"), docs[text].alias("_t")).mapInArrow(deal, "bucket int, head binary, body binary")
-    return _by_bucket(sent).mapInArrow(collapse, "id bigint, doc bigint, tie bigint, line int, body binary, counts binary")
-
-
-def _joined(parts: DataFrame, size: int, kind, join) -> np.ndarray:
-    """One array from its slices (number, packed part), several of a number being joined as they arrive: a task holds
-    no more than one array, nor does the driver."""
-
-    def merge(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, part in zip(batch.column(0).to_pylist(), batch.column(1)):
-                part = unpacked(part.as_py(), kind)
-                held[k] = join(held[k], part) if k in held else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([packed(x) for x in held.values()], pa.binary())], names=["slice", "part"])
-
-    out = np.zeros((SLICES, size // SLICES), kind)
-    for r in parts.repartition(parts.columns[0]).mapInArrow(merge, "slice int, part binary").collect():
-        out[r[0]] = unpacked(bytes(r[1]), kind)
-    return out.ravel()
+    return by_bucket(sent).mapInArrow(collapse, "id bigint, doc bigint, tie bigint, line int, body binary, counts binary")
 
 
 def _counts(held: DataFrame) -> np.ndarray:
     """Sets that hold a word, by the word's entry in the table."""
     parts = held.where("counts is not null").select("line", "counts")
-    return _joined(parts, TABLE, np.uint32, lambda x, y: np.minimum(x.astype(np.int64) + y, 2**32 - 1).astype(np.uint32))
+    return joined(parts, TABLE, np.uint32, lambda x, y: np.minimum(x.astype(np.int64) + y, 2**32 - 1).astype(np.uint32))
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -314,7 +248,7 @@ def _records(ids, docs, lines, cut: np.ndarray, words: np.ndarray, counts: np.nd
     if not len(size):
         return np.zeros(0, _RECORD)
     begins = np.r_[0, np.cumsum(size)[:-1]]
-    spot = _mix(words) >> _U(57)
+    spot = mix(words) >> _U(57)
     bit = _U(1) << (spot & _U(63))
     sign = [np.bitwise_xor.reduceat(np.where(half, bit, _U(0)), begins) for half in (spot < 64, spot >= 64)]
     owner = np.repeat(np.arange(len(size)), size)
@@ -333,9 +267,9 @@ def _records(ids, docs, lines, cut: np.ndarray, words: np.ndarray, counts: np.nd
     one, c = out[parts > 1], parts[parts > 1]
     other = np.concatenate([np.arange(n) for n in c])
     more, c = np.repeat(one, c), np.repeat(c, c)
-    own = (_mix(more["id"].astype(np.uint64)) % c.astype(np.uint64)).astype(np.int64)
+    own = (mix(more["id"].astype(np.uint64)) % c.astype(np.uint64)).astype(np.int64)
     tile = np.minimum(own, other) * c + np.maximum(own, other) + 1
-    more["key"] = (_mix(more["key"].astype(np.uint64) + (tile.astype(np.uint64) << _U(32))) >> _U(32)).astype(np.uint32)
+    more["key"] = (mix(more["key"].astype(np.uint64) + (tile.astype(np.uint64) << _U(32))) >> _U(32)).astype(np.uint32)
     return np.concatenate((out[parts == 1], more))
 
 
@@ -423,11 +357,11 @@ def _bitmap(rows: DataFrame, spots, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(parts[k]) for k in some], pa.binary())], names=["slice", "part"])
         settle_memory()
 
-    return _joined(rows.mapInArrow(make, "slice int, part binary"), bits // 8, np.uint8, np.bitwise_or)
+    return joined(rows.mapInArrow(make, "slice int, part binary"), bits // 8, np.uint8, np.bitwise_or)
 
 
 def _id_spot(ids: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(ids.astype(np.uint64)) % _U(bits)).astype(np.int64)
+    return (mix(ids.astype(np.uint64)) % _U(bits)).astype(np.int64)
 
 
 def _id_filter(ids: DataFrame) -> np.ndarray:
@@ -442,7 +376,7 @@ def _classes(size: np.ndarray) -> np.ndarray:
 
 
 def _spot(key: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
-    return (_mix(key.astype(np.uint64) << _U(32) | level.astype(np.uint64)) % _U(bits)).astype(np.int64)
+    return (mix(key.astype(np.uint64) << _U(32) | level.astype(np.uint64)) % _U(bits)).astype(np.int64)
 
 
 def _recorded(batch, counts, levels):
@@ -481,9 +415,9 @@ def _candidates(sets: DataFrame, counts, few: int, buckets: int, only: DataFrame
         def out():
             r = np.concatenate(held)
             # the bucket grows with the key's hash; sorted records pack well
-            spot = _mix(r["key"].astype(np.uint64)) >> _U(32)
+            spot = mix(r["key"].astype(np.uint64)) >> _U(32)
             r = r[np.argsort(spot << _U(16) | np.minimum(r["size"], 65535).astype(np.uint64), kind="stable")]
-            cut = np.searchsorted((_mix(r["key"].astype(np.uint64)) >> _U(32)) * _U(buckets) >> _U(32), np.arange(buckets + 1, dtype=np.uint64))
+            cut = np.searchsorted((mix(r["key"].astype(np.uint64)) >> _U(32)) * _U(buckets) >> _U(32), np.arange(buckets + 1, dtype=np.uint64))
             some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(r[cut[b] : cut[b + 1]]) for b in some], pa.binary())], names=["bucket", "records"])
 
@@ -509,7 +443,7 @@ def _candidates(sets: DataFrame, counts, few: int, buckets: int, only: DataFrame
         settle_memory()
 
     sent = sets.select("id", "doc", "line", "body").mapInArrow(deal, "bucket int, records binary")
-    return _by_bucket(sent).mapInArrow(meet, "a bigint, b bigint, differ int, more boolean")
+    return by_bucket(sent).mapInArrow(meet, "a bigint, b bigint, differ int, more boolean")
 
 
 def _listed(pairs: DataFrame, few: int) -> DataFrame:
@@ -573,7 +507,7 @@ def repeated_sets(held: DataFrame, buckets: int, few: int = FEW) -> DataFrame:
 def removed_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc, tie (hash of the text) and lines, the numbers of the lines that go, for documents that lose any."""
     held = stored(_sets(docs, text))
-    repeated = repeated_sets(held, 4 * _bucket_count(docs)).withColumnRenamed("id", "_r")
+    repeated = repeated_sets(held, 4 * bucket_count(docs, BUCKET)).withColumnRenamed("id", "_r")
     similar = held.where("id is not null").select("id", "doc", "tie", "line").join(repeated, F.col("id") == F.col("_r"), "left_semi").select("doc", "tie", "line")
     gone = similar.unionByName(held.where("id is null and counts is null").select("doc", "tie", "line"))
     return gone.groupBy("doc", "tie").agg(F.sort_array(F.collect_set("line")).alias("lines"))

@@ -6,12 +6,13 @@ after it over all training texts.  A context seen LEAST times or more is retaine
 diverges enough from its suffix's, which must be retained too; nothing else bounds the model, so it grows with the
 corpus.  Distributions are smoothed with the suffix's; a byte is scored by its longest retained suffix.
 
-Only contexts of up to SHALLOW bytes (bounded by the bytes there are) are broadcast.  Deeper ones stay in buckets of
-their three nearest bytes, where they are whole: a block of texts sends its distinct (context, next byte) keys to
-the buckets, gets their log probabilities back, and applies them to its own positions.
+Only contexts of up to SHALLOW bytes (bounded by the bytes there are) are broadcast, with a bitmap of fixed size that
+tells which deeper ones may be retained.  The deeper ones are decided on where they are counted and stay there, in
+buckets of their three nearest bytes: a block of texts sends its distinct (longest maybe retained context, next byte)
+keys to the buckets, gets their log probabilities back, and applies them to its own positions.
 
-The unigram base needs each word's training count beside each text.  Words travel in blocks: a block of texts
-sends its distinct words with their counts, gets the corpus counts back, and applies them to its own postings, so
+The unigram base needs each word's training count beside each text.  Words travel in blocks, too: a block of texts
+sends its distinct words with their counts, gets the corpus counts back, and applies them to its own words, so
 a word of any frequency is one entry a block.
 
 Edge cases: a null or wordless text is one end token; null ids are training rows if crc32 of the empty text says
@@ -22,22 +23,24 @@ repeated rows are scored alike and each count; very long texts are read whole; o
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from arborframe.llm.common import remainder, stored, table, texts
+from arborframe.llm.common import SLICES, bucket_count, by_bucket, discard, joined, packed, remainder, settle_memory, stored, table, texts, unpacked
+from arborframe.llm.words import SEEDS, hashes, inverse, spans
 
 DEPTH, SHALLOW, LEAST = 6, 2, 5
 #: Nats that retaining a context must gain, for each symbol seen after it, times half the log of all positions.
 DIVERGENCE, PRIOR = 0.5, 4.0
 #: Bytes of text in a block, and bytes that are counted or scored at once.
 BLOCK, PIECE = 6_000_000, 2_000_000
+#: Bytes of input for each bucket, and the most bits of the bitmap of retained contexts (16 a context, up to so many).
+BUCKET, FILTER = 2_000_000, 1 << 26
 _PAD = b"\n" * DEPTH
 
 
@@ -63,11 +66,11 @@ def _blocks(batches, columns: int, most: int = BLOCK):
         yield rows
 
 
-def _pieces(bodies: list[bytes]):
+def _pieces(bodies: list[bytes], most: int = PIECE):
     at = 0
     while at < len(bodies):
         end, size = at, 0
-        while end < len(bodies) and size < PIECE:
+        while end < len(bodies) and size < most:
             size += len(bodies[end])
             end += 1
         yield bodies[at:end]
@@ -89,16 +92,16 @@ def _reduced(keys: np.ndarray, counts: np.ndarray | None = None):
 
 def position_keys(bodies: list[bytes]) -> np.ndarray:
     """The (context, next byte) key of every position of normalized texts, nearest context byte highest."""
-    data = np.frombuffer(_PAD + _PAD.join(bodies), np.uint8)
-    inside = np.ones(len(data), bool)
-    lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    begins = np.cumsum(np.concatenate(([0], lengths[:-1] + DEPTH)))
-    for j in range(DEPTH):
-        inside[begins + j] = False
-    key = data[DEPTH:].astype(np.uint64)
+    data = b"\n\n" + _PAD + _PAD.join(bodies)
+    # read backwards, the eight bytes after a byte are its context, nearest first
+    back, n = data[::-1], len(data)
+    context = np.ndarray((n - 7,), ">u8", back, strides=(1,))[1 : n - 7][::-1].astype(np.uint64)
+    key = context & np.uint64(0xFFFFFFFFFFFF0000) | np.frombuffer(data, np.uint8)[8:]
+    inside = np.ones(n, bool)
+    begins = np.cumsum([8] + [len(t) + DEPTH for t in bodies[:-1]])[1:]
     for j in range(1, DEPTH + 1):
-        key |= data[DEPTH - j : len(data) - j].astype(np.uint64) << np.uint64(64 - 8 * j)
-    return key[inside[DEPTH:]]
+        inside[begins - j] = False
+    return key[inside[8:]]
 
 
 def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +109,6 @@ def grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return _reduced(position_keys(bodies))
 
 
-def _packed(values: np.ndarray) -> bytes:
-    """An array by byte planes, compressed: sorted keys and small counts shrink to a few bytes each."""
-    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
-
-
-def _unpacked(packed: bytes, kind) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
-
-
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys >> np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
@@ -126,55 +119,70 @@ def _mask(depth: int) -> np.uint64:
 
 
 def gather(docs: DataFrame, train, text: str, buckets: int) -> DataFrame:
-    """Blobs of keys and counts by bucket of the three nearest context bytes, of all training texts."""
+    """Keys and counts by bucket of the three nearest context bytes, of all training texts: a row for each bucket."""
 
     def run(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for rows in _blocks(batches, 0, PIECE):
-            k, c = grams([normal(t)[1] for (t,) in rows])
-            keys, counts = _reduced(np.concatenate((keys, k)), np.concatenate((counts, c)))
-        bucket = _bucket(keys, buckets)
-        by = np.argsort(bucket, kind="stable")
-        keys, counts, bucket = keys[by], counts[by], bucket[by]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1))
-        some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(some, pa.int32()),
-                pa.array([_packed(keys[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
-                pa.array([_packed(counts[cut[b] : cut[b + 1]].astype(np.uint32)) for b in some], pa.binary()),
-                pa.array([int(counts[cut[b] : cut[b + 1]].sum()) for b in some], pa.int64()),
-            ],
-            names=["bucket", "keys", "counts", "n"],
-        )
 
-    return docs.where(train).select(F.col(text)).mapInArrow(run, "bucket int, keys binary, counts binary, n bigint")
+        def out():
+            bucket = _bucket(keys, buckets)
+            by = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+            runs = [by[cut[b] : cut[b + 1]] for b in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(keys[r]) for r in runs], pa.binary()), pa.array([packed(counts[r]) for r in runs], pa.binary())], names=["bucket", "keys", "counts"])
 
+        held, size = [], 0
+        for rows in _blocks(batches, 0, PIECE):
+            held.append(grams([normal(t)[1] for (t,) in rows]))
+            size += len(held[-1][0])
+            if size > 2 * PIECE:
+                keys, counts = _reduced(*(np.concatenate(x) for x in zip((keys, counts), *held)))
+                held, size = [], 0
+            if len(keys) > 4 * PIECE:
+                yield out()
+                keys, counts = keys[:0], counts[:0]
+        keys, counts = _reduced(*(np.concatenate(x) for x in zip((keys, counts), *held)))
+        if len(keys):
+            yield out()
+        settle_memory()
+
+    def merge(batches):
+        bucket, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([packed(keys)], pa.binary()), pa.array([packed(counts)], pa.binary()), pa.array([int(counts.sum())], pa.int64())], names=["bucket", "keys", "counts", "n"])
 
-def _merged(data) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a bucket's blobs."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i in range(0, data.num_rows, 16):  # a few blobs at a time
-        part = data.slice(i, 16)
-        keys, counts = _reduced(
-            np.concatenate([keys, *[_unpacked(x.as_py(), np.uint64) for x in part.column("keys")]]),
-            np.concatenate([counts, *[_unpacked(x.as_py(), np.uint32).astype(np.int64) for x in part.column("counts")]]),
-        )
-    return keys, counts
+        for batch in batches:
+            for b, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if b != bucket:
+                    if bucket is not None:
+                        yield out()
+                    bucket, keys, counts = b, keys[:0], counts[:0]
+                keys, counts = _reduced(np.concatenate((keys, unpacked(k.as_py(), np.uint64))), np.concatenate((counts, unpacked(c.as_py(), np.int64))))
+        if bucket is not None:
+            yield out()
+        settle_memory()
+
+    sent = docs.where(train).select(docs[text].alias("_text")).mapInArrow(run, "bucket int, keys binary, counts binary")
+    return by_bucket(sent).mapInArrow(merge, "bucket int, keys binary, counts binary, n bigint")
 
 
-def shallow(blobs: DataFrame) -> DataFrame:
+def shallow(merged: DataFrame) -> DataFrame:
     """(depth, context, next, count) of depths up to SHALLOW, summed over the buckets."""
 
-    def run(key, data):
-        keys, counts = _merged(data)
-        out = []
-        for d in range(1, SHALLOW + 1):
-            k, c = _reduced(keys & _mask(d), counts)
-            out.append((np.full(len(k), d), k >> np.uint64(8), k & np.uint64(255), c))
-        return pa.table({n: pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i, n in enumerate(("depth", "context", "next", "count"))})
-
-    part = blobs.select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(run, "depth bigint, context bigint, next bigint, count bigint")
+    def run(batches):
+        for batch in batches:
+            for k, c in zip(batch.column(0), batch.column(1)):
+                keys, counts = unpacked(k.as_py(), np.uint64), unpacked(c.as_py(), np.int64)
+                out = []
+                for d in range(1, SHALLOW + 1):
+                    k, c = _reduced(keys & _mask(d), counts)
+                    out.append((np.full(len(k), d), k >> np.uint64(8), k & np.uint64(255), c))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out]).astype(np.int64)) for i in range(4)], names=["depth", "context", "next", "count"])
+        settle_memory()
+
+    part = merged.select("keys", "counts").mapInArrow(run, "depth bigint, context bigint, next bigint, count bigint")
     return part.groupBy("depth", "context", "next").agg(F.sum("count").alias("count"))
 
 
@@ -253,111 +261,182 @@ def _shallow_odds(model: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return 10.0 ** log[state, kind[(keys & np.uint64(255)).astype(np.int64)]].astype(np.float64), level[state] == SHALLOW
 
 
-def log_odds(model: tuple, positions: int, seen: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """log10 probability of each key's next byte, from the training keys `seen` (sorted) of its bucket."""
+def _contexts(k: np.ndarray, c: np.ndarray):
+    """Of sorted keys of one depth: each context, where its keys begin, its count, and the number of its next bytes."""
+    context = k >> np.uint64(8)
+    begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]][: len(k)])
+    total = np.add.reduceat(c, begin) if len(begin) else np.zeros(0, np.int64)
+    return context[begin], begin, total, np.diff(np.r_[begin, len(k)])
+
+
+def retained(model: tuple, positions: int, seen: np.ndarray, counts: np.ndarray):
+    """For each depth beyond SHALLOW the keys and counts of the retained contexts of a bucket, from all its keys."""
     cost = DIVERGENCE * math.log(max(positions, 2))
-    p, _ = _shallow_odds(model, keys)
     above, _ = _reduced(seen & _mask(SHALLOW), counts)
     q, alive = _shallow_odds(model, above)
-    for d in range(SHALLOW + 1, DEPTH + 1) if len(seen) else ():
+    for d in range(SHALLOW + 1, DEPTH + 1):
         k, c = _reduced(seen & _mask(d), counts)
         at = np.searchsorted(above, k & _mask(d - 1))
         q, alive = q[at], alive[at]  # by the suffix
-        context = k >> np.uint64(8)
-        begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        n, symbols = np.add.reduceat(c, begin), np.diff(np.r_[begin, len(k)])
-        gain = np.add.reduceat(c * np.log(c / np.repeat(n, symbols) / q), begin) - cost * symbols
-        ok = alive[begin] & (n >= LEAST) & (gain >= 0)
-        alive = np.repeat(ok, symbols)
+        _, begin, n, symbols = _contexts(k, c)
+        gain = np.add.reduceat(c * np.log(c / np.repeat(n, symbols) / q), begin) - cost * symbols if len(begin) else n
+        alive = np.repeat(alive[begin] & (n >= LEAST) & (gain >= 0), symbols)
         q = np.where(alive, (c + PRIOR * q) / (np.repeat(n, symbols) + PRIOR), q)
+        yield k[alive], c[alive]
         above = k
-        mine, distinct = keys & _mask(d), context[begin]
+
+
+def log_odds(model: tuple, kept: list, keys: np.ndarray) -> np.ndarray:
+    """log10 probability of each key's next byte by its longest retained suffix; a key holds its depth, and `kept` the
+    retained() of its bucket."""
+    depth, keys = keys >> np.uint64(8) & np.uint64(255), keys & ~np.uint64(0xFF00)
+    p, _ = _shallow_odds(model, keys)
+    for d, (k, c) in enumerate(kept, SHALLOW + 1):
+        distinct, _, n, _ = _contexts(k, c)
+        if not len(distinct):
+            break
+        mine = keys & _mask(d)
         at = np.minimum(np.searchsorted(distinct, mine >> np.uint64(8)), len(distinct) - 1)
-        on = np.flatnonzero((distinct[at] == mine >> np.uint64(8)) & ok[at])
+        on = np.flatnonzero((distinct[at] == mine >> np.uint64(8)) & (depth >= d))
         at, mine = at[on], mine[on]
         own = np.minimum(np.searchsorted(k, mine), len(k) - 1)
         p[on] = (np.where(k[own] == mine, c[own], 0) + PRIOR * p[on]) / (n[at] + PRIOR)
     return np.log10(p)
 
 
-def train_blobs(docs: DataFrame, train, text: str = "text") -> tuple[DataFrame, int, tuple]:
-    """Training keys by bucket, their positions, and the shallow contexts' model."""
-    blobs = stored(gather(docs, train, text, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    positions = int(blobs.agg(F.sum("n")).first()[0] or 0)
-    return blobs, positions, Tree([tuple(r) for r in shallow(blobs).collect()], positions).plain()
-
-
-def scored(blocks: DataFrame, blobs: DataFrame, positions: int, model: tuple) -> DataFrame:
-    """For each block and bucket, the log10 probabilities of its keys in order."""
-    shared = blocks.sparkSession.sparkContext.broadcast(model)
-
-    def run(key, asked, trained):
-        held = [_unpacked(x.as_py(), np.uint64) for x in asked.column("grams")]
-        logs = [b""] * len(held)
-        if held:
-            keys, place = np.unique(np.concatenate(held), return_inverse=True)
-            each = log_odds(shared.value, positions, *_merged(trained), keys).astype(np.float32)[place]
-            logs = [_packed(x) for x in np.split(each, np.cumsum([len(h) for h in held])[:-1])]
-        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "logs": pa.array(logs, pa.binary())})
-
-    asked = blocks.where("grams is not null").select("block", "bucket", "grams")
-    return asked.groupBy("bucket").cogroup(blobs.select("bucket", "keys", "counts").groupBy("bucket")).applyInArrow(run, "block bigint, bucket int, logs binary")
-
-
-def posted(docs: DataFrame, keep: list[str], train, text: str, buckets: int) -> DataFrame:
-    """Per block one row of its texts (with postings) and a row for each bucket of its words and keys."""
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+def _spots(context: np.ndarray, depth: int, bits: int) -> np.ndarray:
+    """Places in the bitmap of contexts (keys less their next byte) of one depth."""
+    x = (context ^ context >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15 + 2 * depth)
+    return ((x ^ x >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def tagged(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Keys cut to the longest context that may be retained, with its depth."""
+    out = keys & _mask(SHALLOW) | np.uint64(SHALLOW << 8)
+    on = np.arange(len(keys))
+    for d in range(SHALLOW + 1, DEPTH + 1):
+        spot = _spots((keys & _mask(d)) >> np.uint64(8), d, 8 * len(bits))
+        may = np.flatnonzero(bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1)
+        on, keys = on[may], keys[may]
+        out[on] = keys & _mask(d) | np.uint64(d << 8)
+    return out
+
+
+class Model:
+    """The deeper contexts as a stored table by bucket, the shallow ones' automaton, and the bitmap of retained ones."""
+
+    def __init__(self, docs: DataFrame, train, text: str, buckets: int):
+        merged = stored(gather(docs, train, text, buckets))
+        positions = int(merged.agg(F.sum("n")).first()[0] or 0)
+        rows = shallow(merged).toArrow()
+        self.shallow = Tree(zip(*[c.to_pylist() for c in rows.columns]), positions).plain()
+        shared = docs.sparkSession.sparkContext.broadcast(self.shallow)
+        names = [f"{x}{d}" for d in range(SHALLOW + 1, DEPTH + 1) for x in ("k", "c")]
+
+        def keep(batches):
+            for batch in batches:
+                for b, k, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                    found = list(retained(shared.value, positions, unpacked(k.as_py(), np.uint64), unpacked(c.as_py(), np.int64)))
+                    n = sum(len(_contexts(*x)[0]) for x in found)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n], pa.int64()), *[pa.array([packed(x)], pa.binary()) for pair in found for x in pair]], names=["bucket", "contexts", *names])
+            settle_memory()
+
+        self.table = stored(merged.select("bucket", "keys", "counts").mapInArrow(keep, "bucket int, contexts bigint, " + ", ".join(f"{n} binary" for n in names)))
+        discard(merged)
+        self.contexts = int(self.table.agg(F.sum("contexts")).first()[0] or 0)
+        bits = min(FILTER, 1 << max(20, (16 * self.contexts).bit_length()))
+
+        def mark(batches):
+            seen = np.zeros(bits, bool)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    for d in range(SHALLOW + 1, DEPTH + 1):
+                        keys = unpacked(batch.column(d - SHALLOW - 1)[i].as_py(), np.uint64)
+                        seen[_spots(keys >> np.uint64(8), d, bits)] = True
+            parts = np.split(np.packbits(seen), SLICES)
+            some = [k for k in range(SLICES) if parts[k].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([packed(parts[k]) for k in some], pa.binary())], names=["slice", "part"])
+            settle_memory()
+
+        self.bits = joined(self.table.select(names[::2]).mapInArrow(mark, "slice int, part binary"), bits // 8, np.uint8, np.bitwise_or)
+
+    def answers(self, blocks: DataFrame) -> DataFrame:
+        """For each block and bucket, the log10 probabilities of its keys in order."""
+        shared = blocks.sparkSession.sparkContext.broadcast(self.shallow)
+
+        def run(key, asked, trained):
+            held = [unpacked(x.as_py(), np.uint64) for x in asked.column("grams")]
+            logs = [b""] * len(held)
+            if held:
+                keys, place = np.unique(np.concatenate(held), return_inverse=True)
+                row = [trained.column(i)[0].as_py() for i in range(trained.num_columns)] if trained.num_rows else []
+                kept = [(unpacked(k, np.uint64), unpacked(c, np.int64)) for k, c in zip(row[::2], row[1::2])]
+                each = log_odds(shared.value, kept, keys).astype(np.float32)[place]
+                logs = [packed(x) for x in np.split(each, np.cumsum([len(h) for h in held])[:-1])]
+            settle_memory()
+            return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "logs": pa.array(logs, pa.binary())})
+
+        asked = blocks.where("grams is not null").select("block", "bucket", "grams")
+        trained = self.table.drop("contexts").withColumnRenamed("bucket", "_bucket")
+        return asked.groupBy("bucket").cogroup(trained.groupBy("_bucket")).applyInArrow(_without_key(run), "block bigint, bucket int, logs binary")
+
+
+def _without_key(run):
+    return lambda key, asked, trained: run(key, asked, trained.drop_columns(["_bucket"]))
+
+
+def _worded(body: bytes):
+    """Of a body's words: their starts and sizes, where the distinct ones occur and their hashes, in order of the
+    hash, and each word's place among them."""
+    data = body + bytes(8)
+    starts, sizes = spans(np.frombuffer(data, np.uint8)[:-8])
+    (h,) = hashes(data, starts, sizes, SEEDS[:1])
+    first, place = inverse(h)
+    return starts, sizes, first, h[first], place
+
+
+def posted(docs: DataFrame, keep: list[str], train, text: str, buckets: int, bits: np.ndarray) -> DataFrame:
+    """Per block one row of its texts and a row for each bucket of its words and keys."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
     columns = [f"_k{i}" for i in range(len(keep))]
-    schema = "block bigint, bucket int, words binary, counts binary, grams binary, postings binary, body binary, rows array<struct<" + "".join(f"{c}:{k}," for c, k in zip(columns, kinds)) + "train:boolean,n_tokens:bigint>>"
-    types = [pa.string() if k == "string" else pa.int64() if k == "bigint" else pa.int32() for k in kinds]
+    kept = T.StructType([T.StructField(k, docs.schema[c].dataType) for c, k in zip(keep, columns)] + [T.StructField("train", T.BooleanType()), T.StructField("n_tokens", T.LongType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("bucket", T.IntegerType()), *[T.StructField(n, T.BinaryType()) for n in ("words", "counts", "grams", "body")], T.StructField("rows", T.ArrayType(kept))])
+    rows_type = pa.list_(to_arrow_type(kept))
 
     def run(batches):
-        row_type = pa.struct([*zip(columns, types), ("train", pa.bool_()), ("n_tokens", pa.int64())])
+        zip_ = zstandard.ZstdCompressor(3)
         for serial, rows in enumerate(_blocks(batches, len(columns) + 1)):
             block = (TaskContext.get().partitionId() << 24) + serial
-            ids: dict[bytes, int] = {}
-            word, doc, count, bodies, lengths = [], [], [], [], []
-            for i, row in enumerate(rows):
-                w, body = normal(row[-1])
-                bodies.append(body)
-                lengths.append(len(w) + 1)
-                own = Counter(w)
-                word += [ids.setdefault(x, len(ids)) for x in own]
-                count += own.values()
-                doc += [i] * len(own)
-            keys = _reduced(np.concatenate([grams(some)[0] for some in _pieces(bodies)]))[0]
-            body = zlib.compress(b"".join(bodies), 1)
-            bodies.clear()
+            bodies = [normal(r[-1])[1] for r in rows]
+            whole = b"".join(bodies)
+            starts, sizes, first, h, place = _worded(whole)
+            counts = np.diff(np.searchsorted(starts, np.cumsum([0] + [len(t) for t in bodies])))
+            lengths = (counts + 1).tolist()
+            listed = [whole[a : a + n] for a, n in zip(starts[first].tolist(), sizes[first].tolist())]
+            # the bucket grows with the hash
+            cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+            trained = np.bincount(place[np.repeat([bool(r[len(columns)]) for r in rows], counts)], minlength=len(listed))
+            keys = _reduced(np.concatenate([_reduced(tagged(grams(some)[0], shared.value))[0] for some in _pieces(bodies)]))[0]
+            keys = keys[(keys >> np.uint64(8) & np.uint64(255)) > SHALLOW]  # the others need no bucket
             of = _bucket(keys, buckets)
             keys = keys[np.argsort(of, kind="stable")]
             ends = np.searchsorted(np.sort(of), np.arange(buckets + 1))
-            listed = list(ids)
-            bucket = np.fromiter((xxhash.xxh64_intdigest(x) % buckets for x in listed), np.int64, len(listed))
-            by = np.argsort(bucket, kind="stable")
-            place = np.empty(len(by), np.int64)
-            place[by] = np.arange(len(by))
-            word, doc, count = place[np.array(word, np.int64)], np.array(doc, np.int64), np.array(count, np.int64)
-            trains = np.array([r[len(columns)] for r in rows], bool)
-            trained = np.zeros(len(listed), np.int64)
-            np.add.at(trained, word[trains[doc]], count[trains[doc]])
-            cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+            body = zip_.compress(whole)
             some = [b for b in range(buckets) if cut[b] < cut[b + 1] or ends[b] < ends[b + 1]]
-            postings = np.array([len(word)], np.int64).tobytes() + word.astype(np.uint32).tobytes() + doc.astype(np.uint16).tobytes() + count.astype(np.uint32).tobytes()
-            postings = zlib.compress(postings, 1)
             told = [{**dict(zip(columns, r)), "train": r[len(columns)], "n_tokens": n} for r, n in zip(rows, lengths)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block] * (len(some) + 1), pa.int64()),
                     pa.array([*some, None], pa.int32()),
-                    pa.array([*[b"\n".join(listed[k] for k in by[cut[b] : cut[b + 1]]) or None for b in some], None], pa.binary()),
-                    pa.array([*[trained[cut[b] : cut[b + 1]].tobytes() or None for b in some], None], pa.binary()),
-                    pa.array([*[_packed(keys[ends[b] : ends[b + 1]]) if ends[b] < ends[b + 1] else None for b in some], None], pa.binary()),
-                    pa.array([*[None] * len(some), postings], pa.binary()),
+                    pa.array([*[b"\n".join(listed[cut[b] : cut[b + 1]]) or None for b in some], None], pa.binary()),
+                    pa.array([*[packed(trained[cut[b] : cut[b + 1]]) if cut[b] < cut[b + 1] else None for b in some], None], pa.binary()),
+                    pa.array([*[packed(keys[ends[b] : ends[b + 1]]) if ends[b] < ends[b + 1] else None for b in some], None], pa.binary()),
                     pa.array([*[None] * len(some), body], pa.binary()),
-                    pa.array([*[None] * len(some), told], pa.list_(row_type)),
+                    pa.array([*[None] * len(some), told], rows_type),
                 ],
-                names=["block", "bucket", "words", "counts", "grams", "postings", "body", "rows"],
+                names=["block", "bucket", "words", "counts", "grams", "body", "rows"],
             )
+        settle_memory()
 
     return docs.select(*[docs[c].alias(k) for c, k in zip(keep, columns)], train.alias("_train"), docs[text].alias("_text")).mapInArrow(run, schema)
 
@@ -373,14 +452,14 @@ def corpus_counts(blocks: DataFrame) -> DataFrame:
             place = np.array([ids.setdefault(x, len(ids)) for x in w.as_py().split(b"\n")], np.int64)
             if len(ids) > len(totals):
                 totals = np.concatenate((totals, np.zeros(len(ids), np.int64)))
-            totals[place] += np.frombuffer(c.as_py(), np.int64)  # a block holds a word once
+            totals[place] += unpacked(c.as_py(), np.int64)  # a block holds a word once
             places.append(place)
         n = data.num_rows
         return pa.table(
             {
                 "block": pa.array([*data.column("block").to_pylist(), None], pa.int64()),
                 "bucket": pa.array([*data.column("bucket").to_pylist(), None], pa.int32()),
-                "corpus": pa.array([*[totals[p].tobytes() for p in places], None], pa.binary()),
+                "corpus": pa.array([*[packed(totals[p]) for p in places], None], pa.binary()),
                 "distinct": pa.array([*[0] * n, int((totals > 0).sum())], pa.int64()),
             }
         )
@@ -392,48 +471,60 @@ def corpus_counts(blocks: DataFrame) -> DataFrame:
 def evaluate(docs: DataFrame, train, keep: list[str], text: str = "text") -> DataFrame:
     """Columns `keep` of every row with held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blobs, positions, model = train_blobs(docs, train, text)
-    blocks = stored(posted(docs, keep, train, text, buckets))
-    logs = stored(scored(blocks, blobs, positions, model)).groupBy(F.col("block").alias("_l")).agg(F.sort_array(F.collect_list(F.struct("bucket", "logs"))).alias("logs"))
+    buckets = bucket_count(docs, BUCKET)
+    model = Model(docs, train, text, buckets)
+    blocks = stored(posted(docs, keep, train, text, buckets, model.bits))
+    logs = stored(model.answers(blocks))
     back = stored(corpus_counts(blocks))
-    bodies = blocks.where("bucket is null").select("block", "postings", "rows", "body")
+    bodies = blocks.where("bucket is null").select("block", "rows", "body")
     ends, words = bodies.select(F.explode("rows").alias("r")).where("r.train").agg(F.count("*"), F.sum("r.n_tokens")).first()
     tokens = int(words or 0)
     distinct = int(back.agg(F.sum("distinct")).first()[0] or 0) + (1 if ends else 0)
-    corpus = back.where("block is not null").groupBy(F.col("block").alias("_b")).agg(F.sort_array(F.collect_list(F.struct("bucket", "corpus"))).alias("corpus"))
-    joined = bodies.join(corpus, F.col("block") == F.col("_b"), "left").join(logs, F.col("block") == F.col("_l"), "left").select("postings", "rows", F.col("corpus.corpus").alias("corpus"), "body", F.col("logs.logs").alias("logs"))
+    listed = lambda df, column: df.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", column))).alias("x")).select(F.col("block").alias(f"_{column}"), F.col(f"x.{column}").alias(column))
+    corpus = listed(back.where("block is not null"), "corpus")
+    whole = bodies.join(corpus, F.col("block") == F.col("_corpus"), "left").join(listed(logs, "logs"), F.col("block") == F.col("_logs"), "left").select("rows", "corpus", "body", "logs")
     columns = [f"_k{i}" for i in range(len(keep))]
-    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
-
-    def scores(body, logs):
-        bodies = [t + b"\n" for t in zlib.decompress(body).split(b"\n")[:-1]]
-        parts = [(some, *np.unique(position_keys(some), return_inverse=True)) for some in _pieces(bodies)]
+    shared = spark.sparkContext.broadcast((model.shallow, model.bits))
+
+    def scores(bodies, logs):
+        tables, bits = shared.value
+        parts = []
+        for some in _pieces(bodies, PIECE // 4):
+            k = position_keys(some)
+            first, place = inverse(k)
+            parts.append((some, tagged(k[first], bits), place))
         keys = _reduced(np.concatenate([k for _, k, _ in parts]))[0]
+        deep = (keys >> np.uint64(8) & np.uint64(255)) > SHALLOW
         each = np.empty(len(keys))
-        each[np.argsort(_bucket(keys, buckets), kind="stable")] = np.concatenate([_unpacked(x, np.float32) for x in logs])
+        each[~deep] = np.log10(_shallow_odds(tables, keys[~deep])[0])
+        answered = np.empty(int(deep.sum()))
+        answered[np.argsort(_bucket(keys[deep], buckets), kind="stable")] = np.concatenate([np.zeros(0, np.float32), *[unpacked(x, np.float32) for x in logs or ()]])
+        each[deep] = answered
         return np.concatenate([np.add.reduceat(each[np.searchsorted(keys, k)][place], np.r_[0, np.cumsum([len(t) for t in some])[:-1]]) for some, k, place in parts])
 
     def run(batches):
+        unzip = zstandard.ZstdDecompressor()
         for batch in batches:
             for i in range(batch.num_rows):
-                postings, rows = zlib.decompress(batch.column(0)[i].as_py()), batch.column(1)[i].values
-                n = int(np.frombuffer(postings[:8], np.int64)[0])
-                word = np.frombuffer(postings, np.uint32, n, 8)
-                doc = np.frombuffer(postings, np.uint16, n, 8 + 4 * n)
-                count = np.frombuffer(postings, np.uint32, n, 8 + 6 * n).astype(np.float64)
-                corpus = np.frombuffer(b"".join(batch.column(2)[i].as_py() or []), np.int64)
-                known_logs = np.bincount(doc, count * np.log10(corpus[word] + 0.5), len(rows)) if n else np.zeros(len(rows))
-                known = np.bincount(doc, count * (corpus[word] > 0), len(rows)) if n else np.zeros(len(rows))
+                rows, body = batch.column(0)[i].values, unzip.decompress(batch.column(2)[i].as_py())
                 lengths = np.asarray(rows.field("n_tokens"))
-                base = known_logs + math.log10(ends + 0.5) - lengths * math.log10(tokens + 0.5 * (distinct + 1))
+                place = _worded(body)[-1]
+                doc = np.repeat(np.arange(len(rows)), lengths - 1)
+                corpus = np.concatenate([np.zeros(0, np.int64), *[unpacked(x, np.int64) for x in batch.column(1)[i].as_py() or ()]])[place]
+                known = np.bincount(doc, corpus > 0, len(rows))
+                base = np.bincount(doc, np.log10(corpus + 0.5), len(rows)) + math.log10(ends + 0.5) - lengths * math.log10(tokens + 0.5 * (distinct + 1))
+                bodies = [t + b"\n" for t in body.split(b"\n")[:-1]]
+                del body
                 yield pa.RecordBatch.from_arrays(
-                    [*[rows.field(c) for c in columns], pa.array([not t for t in rows.field("train").to_pylist()]), rows.field("n_tokens"), pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(len(rows), tokens, np.int64)), pa.array(base), pa.array(scores(batch.column(3)[i].as_py(), batch.column(4)[i].as_py()))],
+                    [*[rows.field(c) for c in columns], pa.array([not t for t in rows.field("train").to_pylist()]), rows.field("n_tokens"), pa.array((known + (ends > 0)).astype(np.int64)), pa.array(np.full(len(rows), tokens, np.int64)), pa.array(base), pa.array(scores(bodies, batch.column(3)[i].as_py()))],
                     names=[*columns, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+        settle_memory()
 
-    out = joined.mapInArrow(run, "".join(f"{c} {k}, " for c, k in zip(columns, kinds)) + "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    return out.select(*[F.col(k).alias(c) for k, c in zip(columns, keep)], "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    kinds = [T.StructField(k, docs.schema[c].dataType) for c, k in zip(keep, columns)]
+    told = [T.StructField(n, t()) for n, t in (("held_out", T.BooleanType), ("n_tokens", T.LongType), ("n_known", T.LongType), ("train_tokens", T.LongType), ("base_score", T.DoubleType), ("score", T.DoubleType))]
+    out = whole.mapInArrow(run, T.StructType([*kinds, *told]))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(columns, keep)], *[f.name for f in told])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
