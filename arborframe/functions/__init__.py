@@ -1,5 +1,5 @@
-"""User functions as Spark columns: symbolic tracing, then translation of the source, then an Arrow UDF."""
+"""User functions as Spark columns: translation of the source, then symbols, then an Arrow UDF."""
 
-from arborframe.functions.translate import Untranslatable, compiled
+from arborframe.functions.translate import Untranslatable, behave, compiled, required
 
-__all__ = ["Untranslatable", "compiled"]
+__all__ = ["Untranslatable", "behave", "compiled", "required"]

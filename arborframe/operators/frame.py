@@ -3,19 +3,35 @@
 from __future__ import annotations
 
 import functools
+import logging
 import math
+import pickle
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
-from arborframe.functions.translate import Maybe, Tally, Untranslatable, column, compiled
-from arborframe.plans.paths import inner, pruned, rebuilt, resolve, rewritten, through_lists, type_at
+from arborframe.functions.translate import Maybe, Tally, Untranslatable, column, compiled, typed
+from arborframe.plans.paths import inner, narrowed_type, pruned, rebuilt, resolve, rewritten, through_lists, type_at
+from arborframe.plans.places import placed
+
+_log = logging.getLogger(__name__)
+#: Items on which a function that stays Python is tried to learn the type of its results, and partial tallies that one
+#: task combines.
+TRIED, COMBINED = 100, 512
 
 
 class NestedFrame:
     """Operators are lazy and return a new frame; map and reduce give a DataFrame and a value."""
 
-    def __init__(self, df: DataFrame, names: dict[tuple[str, ...], str] | None = None):
-        self.df, self.names = df, dict(names or {})
+    def __init__(self, df: DataFrame, names: dict[tuple[str, ...], str] | None = None, scan=None):
+        """scan: reads the same rows by a narrower schema, so that keep, drop and project leave the rest unread."""
+        self.df, self.names, self.scan = df, dict(names or {}), scan
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> NestedFrame:
+        """A frame of a stored Parquet table, of which only the fields that are kept are read."""
+        return cls(spark.read.parquet(path), scan=lambda schema: spark.read.schema(schema).parquet(path))
 
     # -- helpers ---------------------------------------------------------------------------------------------
 
@@ -49,8 +65,27 @@ class NestedFrame:
         args = args if isinstance(args, (tuple, list)) else (args,)
         if not callable(fcn):
             raise Untranslatable(str(fcn))
+        _log.warning("%s has no column form and stays Python", getattr(fcn, "__name__", fcn))
         return F.udf(lambda *x: fcn(*x, *args), kind, useArrow=True)
 
+    def _python(self, fcn, path, change, kind) -> NestedFrame:
+        """The last resort at a path: change(value there) in Python, `kind` being the top column's type after it."""
+        top, dtype = path[0], self.df.schema[path[0]].dataType
+        if not callable(fcn):
+            raise Untranslatable(str(fcn))
+        _log.warning("%s has no column form and stays Python", getattr(fcn, "__name__", fcn))
+
+        def walk(value, dtype, path):
+            if value is None:
+                return None
+            if not path:
+                return change(value)
+            if isinstance(dtype, T.ArrayType):
+                return [walk(x, dtype.elementType, path) for x in value]
+            return tuple(walk(value[f.name], f.dataType, path[1:]) if f.name == path[0] else value[f.name] for f in dtype.fields)
+
+        return self._new(self.df.withColumn(top, F.udf(lambda value: walk(value, dtype, path[1:]), kind, useArrow=True)(F.col(f"`{top}`"))))
+
     # -- recastings ------------------------------------------------------------------------------------------
 
     def fieldname(self, newname: str, at: str) -> NestedFrame:
@@ -88,23 +123,29 @@ class NestedFrame:
         found = set(resolve(self.df.schema, *patterns))
         return lambda path: True if path in found else (None if any(p[: len(path)] == path for p in found) else False)
 
+    def _narrowed(self, keep, unwrap=False) -> NestedFrame:
+        if self.scan is not None and (schema := narrowed_type(self.df.schema, keep)) is not None:
+            out = NestedFrame(self.scan(schema), self.names, self.scan)
+            return out._new(out._pruned(keep, unwrap)) if unwrap else out
+        return self._new(self._pruned(keep, unwrap))
+
     def keep(self, *paths: str) -> NestedFrame:
-        return self if () in resolve(self.df.schema, *paths) else self._new(self._pruned(self._chosen(paths)))
+        return self if () in resolve(self.df.schema, *paths) else self._narrowed(self._chosen(paths))
 
     def drop(self, *paths: str) -> NestedFrame:
         found = set(resolve(self.df.schema, *paths))
         if () in found:
             raise TypeError("nothing is left")
         keep = lambda path: False if path in found else (None if any(p[: len(path)] == path for p in found) else True)
-        return self._new(self._pruned(keep)) if found else self
+        return self._narrowed(keep) if found else self
 
     def project(self, at: str) -> NestedFrame:
         """Keeps what matches and unwraps records of a single field; a single column takes the last step's name."""
         found = resolve(self.df.schema, at)
         if not found:
             raise TypeError(f"no node at {at!r}")
-        df = self._pruned(self._chosen([at]), unwrap=True)
-        return self._new(df.toDF(found[0][-1]) if len(df.columns) == 1 else df)
+        out = self._narrowed(self._chosen([at]), unwrap=True)
+        return self._new(out.df.toDF(found[0][-1]) if len(out.df.columns) == 1 else out.df)
 
     def split(self, *paths: str):
         """Moves fields out of a list of records into lists beside it.  Fields of the rows themselves become frames
@@ -169,10 +210,18 @@ class NestedFrame:
 
         return self._parent_fields(path, change)
 
-    def index(self, fieldname: str, at: str) -> NestedFrame:
-        """Gives each item its position in its list."""
+    def index(self, fieldname: str, at: str = "") -> NestedFrame:
+        """Gives each item its position in its list; at the top, each row its place: of rows of files by file and
+        place there, of others in the order of Spark's partitions, which need then be the same each time."""
         path = self._one(at)
-        return self._rewrite(path, lambda col, dtype: F.transform(col, lambda x, i: x.withField(fieldname, i)))
+        if path:
+            return self._rewrite(path, lambda col, dtype: F.transform(col, lambda x, i: x.withField(fieldname, i)))
+        names = [c for c in self.df.columns if c != fieldname]
+        try:
+            df, order = self.df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")), ["_file", "_row"]
+        except AnalysisException:  # not rows of files
+            df, order = self.df.withColumn("_row", F.monotonically_increasing_id()), ["_row"]
+        return self._new(placed(df, order, "_place").select(*names, F.col("_place").alias(fieldname)))
 
     def tomask(self, at: str, low, high=None) -> NestedFrame:
         """Makes values null that equal low (NaN too), or that lie in [low, high] (NaN never does)."""
@@ -212,10 +261,10 @@ class NestedFrame:
             raise TypeError("filter is of lists")
         test = self._function(fcn, args, type_at(self.df.schema, path))
         try:
-            return self._rewrite(path, lambda col, dtype: F.filter(col, lambda x: column(test(x))))
+            return self._rewrite(path, lambda col, dtype: F.filter(col, lambda x: column(test(typed(x, dtype.elementType)))))
         except Untranslatable:
             more = args if isinstance(args, (tuple, list)) else (args,)
-            return self._rewrite(path, lambda col, dtype: F.udf(lambda a: None if a is None else [x for x in a if fcn(x, *more)], dtype, useArrow=True)(col))
+            return self._python(fcn, path, lambda a: [x for x in a if fcn(x, *more)], self.df.schema[path[0]].dataType)
 
     def define(self, fieldname: str, fcn, args=(), at: str = "", fieldtype: str = "double") -> NestedFrame:
         """Adds or replaces a field by a function of its record; fieldtype is only for functions that stay Python."""
@@ -226,23 +275,42 @@ class NestedFrame:
                 return self._new(self.df.withColumn(fieldname, column(value(_Row(self.df)))))
             except Untranslatable:
                 return self._new(self.df.withColumn(fieldname, self._udf(fcn, args, fieldtype)(F.struct("*"))))
+        if not isinstance(inner(type_at(self.df.schema, path)), T.StructType):
+            raise TypeError("only a record has fields")
         try:
-            return self._rewrite(path, lambda col, dtype: through_lists(col, dtype, lambda x, _: x.withField(fieldname, column(value(x)))))
+            return self._rewrite(path, lambda col, dtype: through_lists(col, dtype, lambda x, t: x.withField(fieldname, column(value(typed(x, t))))))
         except Untranslatable:
-            dtype = type_at(self.df.schema, path)
-            if not (isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType)):
-                raise
             more = args if isinstance(args, (tuple, list)) else (args,)
-            made = F.udf(lambda a: None if a is None else [None if x is None else fcn(x, *more) for x in a], f"array<{fieldtype}>", useArrow=True)
-            return self._rewrite(path, lambda col, _: F.zip_with(col, made(col), lambda x, v: x.withField(fieldname, v)))
+            made = T._parse_datatype_string(fieldtype)
+
+            def change(x):
+                if isinstance(x, list):
+                    return [None if y is None else change(y) for y in x]
+                y = fcn(x, *more)
+                return tuple(y if n == fieldname else x[n] for n in x.__fields__) + (() if fieldname in x.__fields__ else (y,))
+
+            def grown(dtype, path):
+                if isinstance(dtype, T.ArrayType):
+                    return T.ArrayType(grown(dtype.elementType, path), dtype.containsNull)
+                if path:
+                    return T.StructType([T.StructField(f.name, grown(f.dataType, path[1:]) if f.name == path[0] else f.dataType, f.nullable) for f in dtype.fields])
+                there = [T.StructField(f.name, made if f.name == fieldname else f.dataType) for f in dtype.fields]
+                return T.StructType(there + ([] if fieldname in dtype.names else [T.StructField(fieldname, made)]))
+
+            return self._python(fcn, path, change, grown(self.df.schema[path[0]].dataType, path[1:]))
 
     # -- actions ---------------------------------------------------------------------------------------------
 
     def _items(self, at: str) -> tuple[DataFrame, Column | _Row, T.DataType]:
         """One row an item of the list at the path, across all parents."""
         path = self._one(at)
-        if not path:
-            return self.df, _Row(self.df) if len(self.df.columns) > 1 else F.col(self.df.columns[0]), self.df.schema if len(self.df.columns) > 1 else self.df.schema[0].dataType
+        if not path and len(self.df.columns) > 1:
+            return self.df, _Row(self.df), self.df.schema
+        if not path:  # items that are not records; the column's name stands for them, too
+            (name,) = self.df.columns
+            item = typed(F.col(f"`{name}`"), self.df.schema[0].dataType)
+            item.__dict__["_arbor_name"] = name
+            return self.df, item, self.df.schema[0].dataType
         df, col, dtype = self.df, None, self.df.schema
         for step in path:
             col = F.col(f"`{step}`") if col is None else col[step]
@@ -252,26 +320,70 @@ class NestedFrame:
                 col, dtype = F.col("_item"), dtype.elementType
         return df, col, dtype
 
-    def map(self, fcn, args=(), at: str = "", names: list[str] | None = None) -> DataFrame:
-        """A flat table of fcn's results; where it is None there is no row."""
+    def map(self, fcn, args=(), at: str = "", names: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+        """A flat table of fcn's results; where it is None there is no row.
+
+        types are only for functions that stay Python; without them, the first items tell.
+        """
         df, item, dtype = self._items(at)
-        value = self._function(fcn, args, dtype)(item)
-        fields = names or getattr(value, "_fields", None)
+        try:
+            value = self._function(fcn, args, dtype)(typed(item, dtype))
+        except Untranslatable:
+            return self._map_python(fcn, args, df, item, names, types)
         if isinstance(value, Maybe):
             df = df.where(value.condition)
         if isinstance(value, tuple):
-            return df.select(*[column(v).alias((fields or [f"f{i}" for i in range(len(value))])[i]) for i, v in enumerate(value)])
-        return df.select(column(value).alias((fields or ["f0"])[0])).where(F.col((fields or ["f0"])[0]).isNotNull())
+            fields = names or getattr(value, "_fields", None) or [f"f{i}" for i in range(len(value))]
+            return df.select(*[column(v).alias(n) for n, v in zip(fields, value)])
+        name = (names or ["f0"])[0]
+        return df.select(column(value).alias(name)).where(F.col(name).isNotNull())
 
-    def reduce(self, tally, fcn, args=(), at: str = "", combiner=None):
+    def _map_python(self, fcn, args, df, item, names, types) -> DataFrame:
+        args = args if isinstance(args, (tuple, list)) else (args,)
+        if not callable(fcn):
+            raise Untranslatable(str(fcn))
+        whole = item if isinstance(item, Column) else F.struct(*[F.col(f"`{n}`") for n in df.columns])
+        tried = [] if types and names else [y for r in df.select(whole).limit(TRIED).collect() if (y := fcn(r[0], *args)) is not None]
+        if not tried and not types:
+            raise TypeError("the first items give no result that tells its type")
+        flat = not (isinstance(tried[0], tuple) if tried else len(names) > 1)
+        rows = [(y,) if flat else tuple(y) for y in tried]
+        fields = names or getattr(tried[0] if tried else None, "_fields", None) or [f"f{i}" for i in range(len(rows[0]))]
+        kinds = [T._parse_datatype_string(t) for t in types] if types else [_kind([r[i] for r in rows]) for i in range(len(fields))]
+        kind = T.StructType([T.StructField(n, t) for n, t in zip(fields, kinds)])
+
+        def run(x):
+            y = fcn(x, *args)
+            return None if y is None else (y,) if flat else tuple(y)
+
+        made = df.select(self._udf(run, (), kind)(whole).alias("_made"))
+        return made.where("_made is not null").select("_made.*")
+
+    def reduces(self, folds: dict, at: str = "") -> dict:
+        """The folds name -> (tally, fcn) by +, min or max over the same items, as one aggregation."""
+        df, item, dtype = self._items(at)
+        made = {n: self._function(fcn, (), dtype)(typed(item, dtype), Tally()) for n, (_, fcn) in folds.items()}
+        if any(not isinstance(m, Tally) or m.kind is None for m in made.values()):
+            raise Untranslatable("these folds need a combiner")
+        got = df.agg(*[getattr(F, m.kind)(column(m.value)).alias(n) for n, m in made.items()]).first()
+        out = {}
+        for n, (tally, _) in folds.items():
+            joined = {"sum": lambda a, b: a + b, "min": min, "max": max}[made[n].kind]
+            out[n] = tally if got[n] is None else joined(tally, got[n])
+        return out
+
+    def reduce(self, tally, fcn, args=(), at: str = "", combiner=None, zero=None):
         """The fold of fcn(item, tally) over all items.
 
         Folds by +, min or max run as one aggregation, the first tally counted once.  Any other fold needs
-        `combiner`, a function of two partial tallies: partitions fold apart and theirs are combined in order.
+        `combiner`, a function of two partial tallies, which are combined in order of the partitions.  All but the
+        first fold from `zero`, which must change no tally that it is combined with; if it is not given, 0, 1, an
+        empty tally of the same kind or the tally itself are tried, and without one a ValueError is raised, so that the result
+        never depends on the number of partitions.
         """
         df, item, dtype = self._items(at)
         if combiner is None:
-            made = self._function(fcn, args, dtype)(item, Tally())
+            made = self._function(fcn, args, dtype)(typed(item, dtype), Tally())
             if not isinstance(made, Tally) or made.kind is None:
                 raise Untranslatable("this fold needs a combiner")
             got = df.agg(getattr(F, made.kind)(column(made.value)).alias("t")).first()[0]
@@ -279,33 +391,86 @@ class NestedFrame:
                 return tally
             return tally + got if made.kind == "sum" else {"min": min, "max": max}[made.kind](tally, got)
         more = args if isinstance(args, (tuple, list)) else (args,)
-        rows = df.select(item if isinstance(item, Column) else F.struct(*[F.col(f"`{n}`") for n in df.columns]))
-
-        def fold(part):
-            out, some = tally, False
-            for r in part:
-                out, some = fcn(r[0], out, *more), True
+        zero = _neutral(tally, combiner) if zero is None else zero
+        rows = df.select((item if isinstance(item, Column) else F.struct(*[F.col(f"`{n}`") for n in df.columns])).alias("_item"))
+        start = cloudpickle.dumps(zero)
+
+        def fold(batches):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            out, some = pickle.loads(start), False
+            for batch in batches:
+                for x in batch.column(0).to_pylist():
+                    out, some = fcn(_rowed(x), out, *more), True
             if some:
-                yield out
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([cloudpickle.dumps(out)], pa.binary())], names=["part", "tally"])
+
+        def join(batches):
+            import pyarrow as pa
+
+            held = {}
+            for batch in batches:
+                for part, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    x, group = pickle.loads(x.as_py()), part // COMBINED
+                    held[group] = combiner(held[group], x) if group in held else x
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([cloudpickle.dumps(x) for x in held.values()], pa.binary())], names=["part", "tally"])
+
+        # neighbours are combined on executors, so that few partials reach the driver
+        parts = rows.mapInArrow(fold, "part int, tally binary").repartition(F.floor(F.col("part") / COMBINED)).sortWithinPartitions("part").mapInArrow(join, "part int, tally binary")
+        out = tally
+        for r in sorted(parts.collect()):
+            out = combiner(out, pickle.loads(bytes(r[1])))
+        return out
+
+
+def _neutral(tally, combiner):
+    def same(a, b):
+        try:
+            return bool(a == b)
+        except (ValueError, TypeError):  # arrays
+            return bool((a == b).all())
+
+    copy = lambda x: pickle.loads(cloudpickle.dumps(x))  # noqa: E731  a combiner may change what it is given
+    for make in (lambda: type(tally)(), lambda: type(tally)(1), lambda: copy(tally)):
+        try:
+            zero = make()
+            if all(same(combiner(copy(a), copy(b)), want) for a, b, want in ((zero, tally, tally), (tally, zero, tally), (zero, zero, zero))):
+                return zero
+        except Exception:  # the kind has no such value, or the combiner does not take it
+            continue
+    raise ValueError("give a zero that changes no tally when combined with it")
+
+
+def _rowed(x):
+    """Arrow's dicts as rows, whose fields are attributes and keys."""
+    if isinstance(x, dict):
+        return Row(**{n: _rowed(v) for n, v in x.items()})
+    return [_rowed(v) for v in x] if isinstance(x, list) else x
 
-        return _combined(rows.rdd.mapPartitions(fold), combiner, tally)
 
+def _kind(values: list) -> T.DataType:
+    """The Spark type of Python results."""
+    from arborframe.schema import infer
 
-def _combined(parts, combiner, tally):
-    """Partials are combined as a tree on executors."""
-    return tally if parts.isEmpty() else parts.treeReduce(combiner)
+    some = [v.item() if hasattr(v, "item") and not isinstance(v, (list, tuple)) else v for v in values if v is not None]
+    if not some:
+        raise TypeError("the first items give no result that tells its type")
+    if all(isinstance(v, int) and not isinstance(v, bool) for v in some):
+        return T.LongType()
+    return infer(some).parts[0].spark()
 
 
 class _Row:
     """The top-level record: attributes and keys are columns."""
 
     def __init__(self, df: DataFrame):
-        self._names = df.columns
+        self._names, self._schema = df.columns, df.schema
 
     def __getitem__(self, name: str) -> Column:
         if name not in self._names:
             raise Untranslatable(name)
-        return F.col(f"`{name}`")
+        return typed(F.col(f"`{name}`"), self._schema[name].dataType)
 
     def __getattr__(self, name: str) -> Column:
         if name.startswith("_"):

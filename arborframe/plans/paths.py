@@ -72,6 +72,22 @@ def narrowed(col: Column, dtype: T.DataType, fields: list[str]) -> tuple[Column,
     return F.arrays_zip(*[col[f.name].alias(f.name) for f in kept]), new
 
 
+def narrowed_type(dtype: T.DataType, keep, path=()):
+    """The type with only the leaves for which keep(path) is True or None to look below; None if nothing is left."""
+    if isinstance(dtype, T.ArrayType):
+        inside = narrowed_type(dtype.elementType, keep, path)
+        return None if inside is None else T.ArrayType(inside, dtype.containsNull)
+    if not isinstance(dtype, T.StructType):
+        return None
+    fields = []
+    for f in dtype.fields:
+        said = keep((*path, f.name))
+        t = f.dataType if said else narrowed_type(f.dataType, keep, (*path, f.name)) if said is None else None
+        if t is not None:
+            fields.append(T.StructField(f.name, t, f.nullable, f.metadata))
+    return T.StructType(fields) if fields else None
+
+
 def pruned(col: Column, dtype: T.DataType, keep, path=(), unwrap: bool = False):
     """(column, type) with only the leaves for which keep(path) is True or None to look below; (None, None) if
     nothing is left."""

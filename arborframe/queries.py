@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from arborframe.functions.translate import slice_
+from arborframe.functions.translate import behave, slice_
 from arborframe.operators import links
 from arborframe.operators.frame import NestedFrame
 from arborframe.sources.readers import group_by_prefix, nest, with_position
@@ -114,9 +114,8 @@ def map_named(spark, d):
 @query("select round(100 + sum(l_quantity), 2) as total, min(l_discount) as least from lineitem")
 def reduce_nested(spark, d):
     frame = order_items(spark, d, ["l_quantity", "l_discount"])
-    total = frame.reduce(100.0, lambda x, t: x.l_quantity + t, at="items")
-    least = frame.reduce(1.0, lambda x, t: min(x.l_discount, t), at="items")
-    return spark.createDataFrame([(round(total, 2), least)], "total double, least double")
+    got = frame.reduces({"total": (100.0, lambda x, t: x.l_quantity + t), "least": (1.0, lambda x, t: min(x.l_discount, t))}, at="items")
+    return spark.createDataFrame([(round(got["total"], 2), got["least"])], "total double, least double")
 
 
 @query("select l_orderkey as o_orderkey, l_quantity from lineitem")
@@ -168,7 +167,8 @@ def pointer_build(spark, d):
     return links.deref(rows, "_pos", target.withColumnRenamed("_pos", "_target"), "_target", ["o_orderpriority"]).drop("_pos")
 
 
-@query("""with recursive p(depth, node) as (select 0, 1::bigint union all select depth + 1, (node * 7 + 3) % 1000 from p where depth < 20) select * from p""")
+@query("""with recursive p(depth, node) as (select 0, 1::bigint union all select depth + 1, (o_orderkey * 7 + 3) % 1000 from p join orders on o_orderkey = node where depth < 20)
+    select * from p""")
 def pointer_chain(spark, d):
     nodes = table(spark, d, "orders").select("o_orderkey", ((F.col("o_orderkey") * 7 + 3) % 1000).alias("next"))
     return links.chase(spark, nodes, "o_orderkey", "next", 1, 20)
@@ -254,3 +254,143 @@ def chain(spark, d):
     out = order_items(spark, d, ["l_quantity", "l_extendedprice", "l_discount"]).filter("l_quantity > 25", at="items").define("revenue", "l_extendedprice * (1 - l_discount)", at="items")
     rows = out.df.select("o_orderkey", F.explode("items.revenue").alias("r"))
     return rows.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("revenue"))
+
+
+@query("select l_quantity + l_linenumber as f0 from lineitem where l_linenumber % 2 <> 0")
+def map_scalar(spark, d):
+    rows = NestedFrame(table(spark, d, "lineitem").select("l_quantity", "l_linenumber"))
+    return rows.map(lambda x: x.l_quantity + x.l_linenumber if x.l_linenumber % 2 != 0 else None)
+
+
+@query("select l_partkey as part, (l_linenumber * (l_linenumber + 1) // 2)::bigint as steps from lineitem where l_linenumber <> 3")
+def map_python(spark, d):
+    def steps(x):
+        total = 0
+        for i in range(x.l_linenumber + 1):
+            total += i
+        return (x.l_partkey, total) if x.l_linenumber != 3 else None
+
+    return order_items(spark, d, ["l_linenumber", "l_partkey"]).map(steps, at="items", names=["part", "steps"])
+
+
+@query("select l_orderkey as o_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_linenumber in (2, 3, 5, 7)")
+def filter_python(spark, d):
+    def prime(x):
+        n = x.l_linenumber
+        while n > 1:
+            n -= 1
+            if n > 1 and x.l_linenumber % n == 0:
+                return False
+        return x.l_linenumber > 1
+
+    return exploded(order_items(spark, d, _items("")).filter(prime, at="items"), "o_orderkey")
+
+
+@query("select l_orderkey as o_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 3 as rest from lineitem")
+def define_python(spark, d):
+    def rest(x):
+        n = x.l_linenumber
+        while n >= 3:
+            n -= 3
+        return n
+
+    held = order_items(spark, d, _items("")).df.select("o_orderkey", F.struct("items").alias("deep"))
+    return NestedFrame(held).define("rest", rest, at="deep/items", fieldtype="int").df.select("o_orderkey", F.inline("deep.items"))
+
+
+@query("select l_orderkey as o_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_linenumber > 1 and l_linenumber < 4")
+def filter_same_line(spark, d):
+    """Two functions of one parameter on one line."""
+    return exploded(order_items(spark, d, _items("")).filter(lambda x: x.l_linenumber > 1, at="items").filter(lambda x: x.l_linenumber < 4, at="items"), "o_orderkey")
+
+
+@query("select event_id from events where ((-event_id % 3) + 3) % 3 = 2")
+def filter_statements(spark, d):
+    """A function of several statements has Python's remainder."""
+
+    def two(x):
+        y = -x.event_id % 3
+        return y == 2
+
+    return NestedFrame(table(spark, d, "events").select("event_id")).filter(two).df
+
+
+@query("""select event_id, floor(-event_id / 7)::bigint as quotient, event_id + 9007199254740993 as huge, (event_id - 50) * (event_id - 50) as square,
+    (-event_id % 7 + 7) % 7 as rest from events""")
+def exact_integers(spark, d):
+    rows = NestedFrame(table(spark, d, "events").select("event_id"))
+    rows = rows.define("quotient", "-event_id // 7").define("huge", "(event_id + 9007199254740993) // 1").define("square", "(event_id - 50) ** 2")
+    return rows.define("rest", "-event_id % 7").df
+
+
+@query("""select event_id, round(sqrt(abs(value)), 6) as a, round(exp(value / 1000), 6) as b, round(ln(abs(value) + 1), 6) as c, round(log10(abs(value) + 1), 6) as d,
+    round(sin(value) + cos(value) + atan2(value, 2), 6) as e, ceil(value)::bigint as f, trunc(value)::bigint as g, round(degrees(value), 4) as h from events""")
+def math_functions(spark, d):
+    rows = NestedFrame(table(spark, d, "events").select("event_id", "value"))
+    for name, text in {"a": "sqrt(abs(value))", "b": "exp(value / 1000)", "c": "log(abs(value) + 1)", "d": "log10(abs(value) + 1)", "e": "sin(value) + cos(value) + atan2(value, 2)", "f": "ceil(value)", "g": "trunc(value)", "h": "degrees(value)"}.items():
+        rows = rows.define(name, text)
+    return NestedFrame(rows.df.drop("value")).df.select("event_id", *[F.round(c, 4 if c == "h" else 6).alias(c) for c in "abcdeh"], "f", "g")
+
+
+@query("""select o_orderkey, coalesce(sum(l_linenumber), 0)::bigint as total, coalesce(max(l_linenumber), -1) as most, coalesce(bool_or(l_linenumber > 4), false) as some,
+    coalesce(bool_and(l_linenumber > 1), true) as whole from orders left join lineitem on o_orderkey = l_orderkey group by 1""")
+def list_functions(spark, d):
+    numbers = order_items(spark, d, ["l_linenumber"]).df.select("o_orderkey", F.col("items.l_linenumber").alias("l"))
+    frame = NestedFrame(numbers).define("total", "sum(l)").define("most", lambda r: max(r.l) if len(r.l) > 0 else -1)
+    return frame.define("some", lambda r: any(x > 4 for x in r.l)).define("whole", lambda r: all([x > 1 for x in r.l])).df.drop("l")
+
+
+@query("""select conv_id, (2 * count(*) + 1)::int as n, (3 * count(*))::int as m, bool_or(role = 'tool') is not null as last from conversations group by 1""")
+def list_concat(spark, d):
+    frame = NestedFrame(turns(spark, d).df.select("conv_id", F.col("turns.role").alias("roles"), F.array(F.lit("end")).alias("tail")))
+    frame = frame.define("n", lambda r: len(r.roles + r.roles + r.tail)).define("m", "len(roles * 3)").define("last", "(roles + tail)[-1] == 'end'")
+    return frame.df.drop("roles", "tail")
+
+
+@query("select conv_id, string_agg(role, '+' order by turn) as said from conversations where turn % 2 = 0 group by 1")
+def comprehension(spark, d):
+    frame = turns(spark, d).define("said", lambda r: [t.role for t in r.turns if t.turn % 2 == 0])
+    return frame.df.select("conv_id", F.concat_ws("+", "said").alias("said")).where("said <> ''")
+
+
+@query("select event_id, event_id % 3 = 0 and user_id = 7 as seven, event_id % 3 <> 0 or user_id = user_id as same from events")
+def union_equal(spark, d):
+    u = links.union((F.col("event_id") % 3 == 0, F.col("user_id")), (F.lit(True), F.col("event_type")))
+    rows = table(spark, d, "events").select("event_id", u.alias("u"))
+    dtype = rows.schema["u"].dataType
+    u = F.col("u")
+    return rows.select("event_id", links.equal(u, dtype, F.lit(7).cast("bigint"), T.LongType()).alias("seven"), links.equal(u, dtype, u, dtype).alias("same"))
+
+
+@query("select o_orderkey, (row_number() over (order by o_orderkey) - 1)::bigint as at from orders")
+def index_top(spark, d):
+    return NestedFrame(table(spark, d, "orders").select("o_orderkey")).index("at").df
+
+
+@query("select string_agg(c_mktsegment, ',' order by c_mktsegment) as segments, sum(n)::bigint as n from (select c_mktsegment, count(*) as n from customer group by 1)")
+def reduce_combiner(spark, d):
+    """A fold with no column form: a tally of kinds, combined in order of the partitions."""
+
+    def seen(x, tally):
+        return {**tally, x.c_mktsegment: tally.get(x.c_mktsegment, 0) + 1}
+
+    def join(a, b):
+        return {k: a.get(k, 0) + b.get(k, 0) for k in {*a, *b}}
+
+    got = NestedFrame(table(spark, d, "customer").select("c_custkey", "c_mktsegment")).reduce({}, seen, combiner=join)
+    return spark.createDataFrame([(",".join(sorted(got)), sum(got.values()))], "segments string, n bigint")
+
+
+@query("""with recursive p(depth, node) as (select 0, 0::bigint union all select depth + 1, (o_orderkey + 1)::bigint from p join orders on o_orderkey = node where depth < 150)
+    select * from p""")
+def pointer_chain_long(spark, d):
+    nodes = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") + 1).alias("next"))
+    return links.chase(spark, nodes, "o_orderkey", "next", 0, 150)
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) as net from lineitem where l_extendedprice * (1 - l_discount) > 50000")
+def record_behavior(spark, d):
+    """Records of a price and a discount know their net price."""
+    behave(["l_extendedprice", "l_discount"], net=lambda r: r.l_extendedprice * (1 - r.l_discount))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.struct("l_extendedprice", "l_discount").alias("p"))
+    return NestedFrame(rows).filter(lambda r: r.p.net > 50000).define("net", lambda r: r.p.net).df.drop("p")
