@@ -2,9 +2,14 @@
 
 A page is read into a tree that forgives missing end tags.  Every element subtree is hashed; per host, Spark
 counts the pages of different text that hold each hash, and subtrees on many of the host's pages (LEAST of them and
-SHARE of all, copies of a page counting once) are its template.  A page's text is what its article (or main part, or else body) keeps after the template,
-elements of menus, headers, footers, asides, forms, scripts and the like, and elements named as such by class,
-id or role are taken out.
+SHARE of all, copies of a page counting once) are its template.  A page's text is what its article (or main part, or
+else body) keeps after the template, elements of menus, headers, footers, asides, forms, scripts and the like, and
+elements named as such by class, id or role are taken out.
+
+What an article says is never taken out for being said elsewhere: in an article or main part only recurring elements
+without paragraphs, headings, lists, quotes or tables in them (bare notices) count as template, and there a name must
+consist of such words altogether.  On a page without one, a recurring paragraph or heading stays if it stands in an element that does
+not recur.
 
 Edge cases: a null or empty page, or one without text, gives an empty text; a null or odd url belongs to the
 host named by an empty string; copies of a page each get its text; cut-off tags and comments end with the
@@ -18,9 +23,9 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from arborframe.llm.common import stored, table
+from arborframe.llm.common import settle_memory, stored, table
 
 LEAST, SHARE = 5, 0.3
 #: Template hashes that may be broadcast; with more, they are joined by host.
@@ -36,6 +41,11 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 STOPS = frozenset("ul ol dl table tr article section div body main menu select".split())
 NAMED = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|widget|cookies?|consent|notice|banner|ads?|advert|adverts|advertisement|sponsor(?:ed)?|promo|promotion|comments?|disqus|replies|related|recommended|share|sharing|social|newsletter|subscribe|subscription|signup|login|search|popup|modal|overlay|pagination|pager|toolbar)(?:$|[\s_-])|^(?:navigation|banner|contentinfo|complementary|search|dialog|alertdialog|form)$", re.I)
+#: Elements that hold what a text says.
+CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figure table tr td th".split())
+#: In articles: words of names for what is no part of them, and words that may go with them.
+JUNK = frozenset("nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget cookie cookies consent notice banner ad ads advert adverts advertisement sponsor sponsored promo promotion comment comments disqus replies related recommended share sharing social newsletter subscribe subscription signup login search popup modal overlay pagination pager toolbar".split())
+WITH = frozenset("site page main top bottom left right global primary secondary wrap wrapper container inner outer area block box section bar panel list item items links link posts post articles button buttons form icons icon header text title".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
@@ -115,13 +125,39 @@ def hashed(root: Node) -> set[int]:
     return out
 
 
+def _named(name: str) -> bool:
+    """Whether a name says, and says only, that the element is no part of the article."""
+    words = [w for w in re.split(r"[-_]+", name.lower()) if w and not w.isdigit()]
+    return any(w in JUNK for w in words) and all(w in JUNK or w in WITH for w in words)
+
+
 def _junk(node: Node, inside: bool) -> bool:
     # an article's own header holds its title
     if node.tag in DROP and not (node.tag == "header" and inside):
         return True
-    if node.attributes and node.tag not in ("html", "body", "main", "article"):
-        return any(m[0].lower() == "hidden" or NAMED.search(m[1] or m[2] or m[3]) for m in _NAMES.findall(node.attributes))
-    return node.tag == "article" and any(re.search(r"comment|repl(?:y|ies)|related|teaser|promo|advert", m[1] or m[2] or m[3], re.I) for m in _NAMES.findall(node.attributes))
+    if not node.attributes or node.tag in ("html", "body", "main"):
+        return False
+    names = [(m[0].lower(), m[1] or m[2] or m[3]) for m in _NAMES.findall(node.attributes)]
+    if node.tag == "article":
+        return any(re.search(r"comment|repl(?:y|ies)|related|teaser|promo|advert", x, re.I) for _, x in names)
+    if any(kind == "hidden" for kind, _ in names):
+        return True
+    if inside:
+        return any(map(_named, (w for kind, x in names for w in (x.split() if kind == "class" else [x]))))
+    return any(NAMED.search(x) for _, x in names)
+
+
+def _holds_content(node: Node) -> bool:
+    return any(n.tag in CONTENT for n in _post_order(node))
+
+
+def _recurring(node: Node, parent: Node, inside: bool, template) -> bool:
+    """Whether the node goes as a part of the site's template."""
+    if node.hash not in template:
+        return False
+    if inside:
+        return node.tag not in INLINE and parent.tag not in CONTENT and not _holds_content(node)
+    return node.tag not in CONTENT or parent.tag in ("", "html", "body") or parent.hash in template
 
 
 def _parts(root: Node, template: frozenset) -> list[Node]:
@@ -130,7 +166,8 @@ def _parts(root: Node, template: frozenset) -> list[Node]:
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.hash in template or _junk(node, False):
+        # an article that recurs is an article all the same; copies of it say so
+        if _junk(node, False) or node.tag not in ("article", "main") and node.hash in template and not any(n.tag in ("article", "main") for n in _post_order(node)):
             continue
         if node.tag == "article":
             found["article"].append(node)
@@ -145,21 +182,19 @@ def main_text(root: Node, template=frozenset()) -> str:
     out: list[str] = []
     for part in _parts(root, template):
         inside = part.tag in ("article", "main")
-        todo: list = [part]
+        todo: list = [(part, part)]
         while todo:
-            node = todo.pop()
+            node, parent = todo.pop()
             if isinstance(node, str):
                 out.append(entities.unescape(node) if "&" in node else node)
                 continue
-            if node is not part and (node.hash in template or _junk(node, inside)):
+            if node is not part and (_junk(node, inside) or _recurring(node, parent, inside, template)):
                 out.append(" ")
                 continue
-            if node.tag in INLINE:
-                todo.extend(reversed(node.children))
-            else:
+            if node.tag not in INLINE:
                 out.append(" ")
-                todo.append(" ")
-                todo.extend(reversed(node.children))
+                todo.append((" ", node))
+            todo.extend((c, node) for c in reversed(node.children))
     return " ".join("".join(out).split())
 
 
@@ -198,27 +233,35 @@ def extract(pages: DataFrame, keep: list[str], url: str = "url", html: str = "ht
     found = stored(site_templates(pages, url, html))
     small = (found.agg(F.sum(F.size("template"))).first()[0] or 0) <= BROADCAST
     columns = [f"_k{i}" for i in range(len(keep))]
-    kept = "".join(f"{k} {pages.schema[c].dataType.simpleString()}, " for c, k in zip(keep, columns))
-    now = pages.select(*[pages[c].alias(k) for c, k in zip(keep, columns)], pages[html].alias("_html"), host(pages[url]).alias("_host"))
-    now = now.join(F.broadcast(found) if small else found, F.col("_host") == F.col("host"), "left").select(*columns, "_html", "template")
+    now = pages.select(*[pages[c].alias(k) for c, k in zip(keep, columns)], host(pages[url]).alias("_host"), pages[html].alias("_html"))
+    if small:  # BROADCAST hashes at most
+        held = pages.sparkSession.sparkContext.broadcast({r["host"]: frozenset(r["template"]) for r in found.collect()})
+    else:
+        now = now.join(found, F.col("_host") == F.col("host"), "left").select(*columns, "template", "_html")
 
     def run(batches):
         for batch in batches:
-            out = []
-            for body, template in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
-                body, template = body.as_py(), template.as_py()
+            out, last = [], (None, _NONE)
+            for at, body in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
+                body = body.as_py()
                 if not body:
                     out.append("")
                     continue
+                if small:
+                    template = held.value.get(at.as_py())
+                else:
+                    if last[0] != at:  # rows of a host come one after another
+                        last = at, frozenset(at.as_py() or ())
+                    template = last[1]
                 root = parse(body)
                 if template:
                     hashed(root)
-                    out.append(main_text(root, frozenset(template)))
-                else:
-                    out.append(main_text(root, _NONE))
+                out.append(main_text(root, template or _NONE))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], names=[*columns, "text"])
+        settle_memory()
 
-    out = now.mapInArrow(run, kept + "text string")
+    schema = T.StructType([T.StructField(k, pages.schema[c].dataType) for c, k in zip(keep, columns)] + [T.StructField("text", T.StringType())])
+    out = now.mapInArrow(run, schema)
     return out.select(*[F.col(k).alias(c) for k, c in zip(columns, keep)], "text")
 
 

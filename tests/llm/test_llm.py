@@ -168,7 +168,7 @@ def test_templates(spark):
     rows += [(10 + i, f"http://b.example/{i}", f"<div>shared banner</div><div>own {i}</div>") for i in range(6)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     got = {r.page_id: r.text for r in templates.extract(df, ["page_id"]).collect()}
-    assert got[3] == "Body 3 two"  # what all pages share is template
+    assert got[3] == "Head Body 3 two last bold"  # what all articles share stands in them all the same
     assert got[3] and got[8] == "" and got[9] == "plain < text" and got[12] == "own 2"
     assert templates.extract(df.limit(0), ["page_id"]).count() == 0
 
@@ -183,6 +183,48 @@ def test_templates_of_copies(spark):
     assert got[8] == "Other 2 Text 2."
 
 
+def test_templates_leave_what_articles_say(spark):
+    shared = "<p>A sentence that six articles of twelve hold.</p>"
+    page = "<body><div><p>Site words</p></div><article><h1>Title {0}</h1><p>Own {0}.</p>{1}<div class='related-work'>Work {0}</div><div id='search results'>Found {0}</div><div class='ad-box'>Buy</div><div class='social-share'>x</div></article></body>"
+    rows = [(i, f"http://d.example/{i}", page.format(i, shared if i % 2 else "")) for i in range(12)]
+    # six equal pages of one host, without an article
+    rows += [(20 + i, "http://e.example/", "<body><h1>Same</h1><p>All of it.</p></body>") for i in range(6)]
+    # a recurring paragraph among others, on pages without an article
+    rows += [(30 + i, f"http://f.example/{i}", f"<body><div>Menu words</div><div class='x'><p>Own {i}.</p><p>Said by all.</p></div></body>") for i in range(8)]
+    rows += [(50, "http://g.example/", "<p>" + "long " * 60_000 + "</p>"), (50, "http://g.example/", "<p>" + "long " * 60_000 + "</p>")]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, _html string")
+    found = templates.extract(df, ["page_id", "_html"]).collect()
+    got = {r.page_id: r.text for r in found}
+    assert len(found) == len(rows) and all(r._html == "clash" for r in found)
+    assert got[3] == "Title 3 Own 3. A sentence that six articles of twelve hold. Work 3 Found 3" and got[4] == "Title 4 Own 4. Work 4 Found 4"
+    assert all(got[20 + i] == "Same All of it." for i in range(6))
+    assert all(got[30 + i] == f"Own {i}. Said by all." for i in range(8))
+    assert got[50] == ("long " * 60_000).strip()
+
+
+def test_templates_against_the_pages_parts(spark):
+    """Pages made of known parts give the parts that belong to the article, block by block."""
+    rng = np.random.default_rng(8)
+    inside = [("<p>{}</p>", "{}"), ("<h2>{} &amp; {}</h2>", "{} & {}"), ("<ul><li>{}<li>{}</ul>", "{} {}"), ("<blockquote>{}<br>{}</blockquote>", "{} {}"), ("<p>{}<b>{}</b></p>", "{}{}"), ("<pre>{}\n\t{}</pre>", "{} {}")]
+    junk = ["<nav><a>{}</a></nav>", "<aside>{}</aside>", "<form><input>{}</form>", "<script>var a='<p>{}</p>'</script>", "<style>p{{}}</style>", "<div class='comments'><p>{}</p></div>", "<div class='cookie-notice'>{}</div>", "<!-- <p>{}</p> -->", "<div class='ad'>{}</div>"]
+    rows, want = [], {}
+    for i in range(60):
+        word = lambda: f"w{rng.integers(0, 30)}"  # noqa: E731  few words, so that parts recur
+        body, text = [], []
+        for _ in range(rng.integers(1, 8)):
+            html, plain = inside[rng.integers(0, len(inside))]
+            some = (word(), word())
+            body.append(html.format(*some))
+            text.append(plain.format(*some))
+            if rng.integers(0, 2):
+                body.append(junk[rng.integers(0, len(junk))].format(word()))
+        outside = "".join(junk[k].format(word()) for k in rng.integers(0, len(junk), 3))
+        rows.append((i, f"https://h{i % 3}.example/{i}", f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{outside}<header>{word()}</header><article>{''.join(body)}</article><footer>{word()}</footer></body></html>"))
+        want[i] = " ".join(text)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in templates.extract(df, ["page_id"]).collect()} == want
+
+
 def test_suffix_tree(spark, docs, empty):
     train = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
     rows = suffix_tree.evaluate(docs, train, ["doc_id"]).collect()
