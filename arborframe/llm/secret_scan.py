@@ -4,6 +4,10 @@ Every text is addressed by its SHA-256.  A ledger row says what one version of o
 (possibly nothing); a run scans only the pairs of blob and rule version that the ledger lacks, each distinct
 blob once however many rows hold it, and joins the findings back to all rows.
 
+BASE are the contract's three rules; ADDED finds private keys, logins in addresses, and tokens of known forms.  The
+query is two versions of a history: the ledger of a run with the base rules is stored, and the run with all rules adds
+only the pairs that it lacks.
+
 Spans are (start, end) in code points, end exclusive.  A null text is the empty blob; repeated rows each get
 their blob's findings; an empty table gives an empty report and an empty ledger; very long texts are scanned
 whole; extra columns of the documents are carried or ignored, never looked up by name.
@@ -16,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arborframe.llm.common import table, texts
+from arborframe.llm.common import settle_memory, stored, table, texts
 
 ASSIGN = re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -41,8 +45,34 @@ def _hex(text: bytes):
         yield from (m.span() for m in HEX.finditer(text) if m.end() - m.start() >= 24)
 
 
+_PRIVATE = re.compile(rb"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----(?:[^-]|-(?!----))*(?:-----END [A-Z0-9 ]*PRIVATE KEY-----)?")
+_SCHEME = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*$")
+_LOGIN = re.compile(rb"://[^\s/:@]++:[^\s/@]++@[^\s/?#]+")
+_TOKEN = re.compile(rb"gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}")
+
+
+def _private(text: bytes):
+    if b"PRIVATE KEY-----" in text:
+        yield from (m.span() for m in _PRIVATE.finditer(text))
+
+
+def _login(text: bytes):
+    if b"://" in text and b"@" in text:
+        for m in _LOGIN.finditer(text):
+            scheme = _SCHEME.search(text, max(0, m.start() - 32), m.start())
+            if scheme:
+                yield scheme.start(), m.end()
+
+
+def _token(text: bytes):
+    if b"eyJ" in text or b"gh" in text or b"xox" in text:
+        yield from (m.span() for m in _TOKEN.finditer(text))
+
+
 #: kind -> (version, function from the UTF-8 text to byte spans); kinds in this order break ties of start.
-RULES = {"assign": (1, _assign), "access": (1, _access), "hex": (1, _hex)}
+BASE = {"assign": (1, _assign), "access": (1, _access), "hex": (1, _hex)}
+ADDED = {"private_key": (1, _private), "login": (1, _login), "token": (1, _token)}
+RULES = BASE | ADDED
 LEDGER = "blob string, kind string, version int, spans array<struct<begin:bigint,end:bigint>>"
 
 
@@ -81,6 +111,7 @@ def new_entries(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, t
                     rows.append((blob, kind, int(version), [{"begin": a, "end": b} for a, b in scan_blob(t, kind, rules)]))
             b, k, v, s = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.string()), pa.array(k, pa.string()), pa.array(v, pa.int32()), pa.array(s, kind_of)], names=["blob", "kind", "version", "spans"])
+        settle_memory()
 
     return blobs.mapInArrow(run, LEDGER)
 
@@ -105,9 +136,15 @@ def report(docs: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text",
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    """The contract's digest of a first run (an empty ledger) over all documents."""
+    """The contract's digest, after a run with the base rules and one with all rules that scans what the first did not."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = report(docs, new_entries(docs), keep=["doc_id"])
-    listed = F.coalesce(F.concat_ws(",", F.transform("findings", lambda x: F.concat_ws(":", x["kind"], x["begin"].cast("string"), x["end"].cast("string")))), F.lit(""))
+    ledger = stored(new_entries(docs, rules=BASE))
+    ledger = ledger.unionByName(stored(new_entries(docs, ledger)))
+    found = report(docs, ledger, keep=["doc_id"])
+
+    def listed(kinds):
+        some = F.filter("findings", lambda x: x["kind"].isin(*kinds))
+        return F.coalesce(F.concat_ws(",", F.transform(some, lambda x: F.concat_ws(":", x["kind"], x["begin"].cast("string"), x["end"].cast("string")))), F.lit(""))
+
     count = lambda k: F.coalesce(F.size(F.filter("findings", lambda x: x["kind"] == k)), F.lit(0)).cast("bigint")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in RULES], F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE], F.sha2(listed(BASE), 256).alias("base_sha256"), listed(RULES).alias("spans"))

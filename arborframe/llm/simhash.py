@@ -25,6 +25,8 @@ from arborframe.llm.common import anonymous, components, materialize, settle_mem
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (offset, width) of the ring's segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+_OFFSETS = np.array([s[0] for s in SEGMENTS], np.uint64)
+_MASKS = np.array([(1 << s[1]) - 1 for s in SEGMENTS], np.uint64)
 #: Fingerprints of one key in one part of a tile.
 PART = 16_384
 
@@ -80,20 +82,20 @@ def keys() -> list:
 
 
 def _viable(x: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Which differences x (as bits) are chains within their budgets from segment `start` on."""
-    ok, total = np.bitwise_count(x) <= DISTANCE, np.zeros(len(x), np.int64)
-    if not ok.any():
-        return ok
+    """Indexes of the differences x (as bits) that are chains within their budgets from segment `start` on.  Each
+    segment is counted only for what the ones before have left; all five together are the full Hamming check."""
+    left, total = np.arange(len(x)), np.zeros(len(x), np.int64)
     for length in range(1, len(SEGMENTS) + 1):
         at = (start + length - 1) % len(SEGMENTS)
-        offset, width = np.array([s[0] for s in SEGMENTS], np.uint64)[at], np.array([s[1] for s in SEGMENTS], np.uint64)[at]
-        total += np.bitwise_count((x >> offset) & ((np.uint64(1) << width) - np.uint64(1)))
-        ok &= total * len(SEGMENTS) <= length * DISTANCE
-    return ok
+        total = total + np.bitwise_count(x >> _OFFSETS[at] & _MASKS[at])
+        on = np.flatnonzero(total * len(SEGMENTS) <= length * DISTANCE)
+        left, total, x, start = left[on], total[on], x[on], start[on]
+    return left
 
 
-def _forest(fp: np.ndarray) -> np.ndarray:
-    """Index of each fingerprint's seed: linked ones share one.  Each is compared once with those still unseen."""
+def _forest(fp: np.ndarray, start: int) -> np.ndarray:
+    """Index of each fingerprint's seed: those linked by a chain from segment `start` share one.  Each is compared once
+    with those still unseen."""
     seed, left = np.full(len(fp), -1, np.int64), np.arange(len(fp))
     while len(left):
         first, left = left[0], left[1:]
@@ -102,7 +104,7 @@ def _forest(fp: np.ndarray) -> np.ndarray:
         while len(front) and len(left):
             near = np.zeros(len(left), bool)
             for f in front:
-                near |= np.bitwise_count(fp[left] ^ f) <= DISTANCE
+                near[_viable(fp[left] ^ f, np.full(len(left), start))] = True
                 if len(front) > 64 and near.all():
                     break
             found, left = left[near], left[~near]
@@ -119,7 +121,7 @@ def _links_of_small(key: np.ndarray, fp: np.ndarray, size: int):
         if not same.any():
             break
         i = np.flatnonzero(same)
-        i = i[_viable(fp[i] ^ fp[i + d], (key[i] >> 41).astype(np.int64))]
+        i = i[_viable(fp[i] ^ fp[i + d], (key[i] >> 41).astype(np.int64))]  # a key's number is twice its segment's
         a.append(fp[i])
         b.append(fp[i + d])
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
@@ -141,7 +143,8 @@ def links(fps: DataFrame, part: int = PART) -> DataFrame:
             a, b = [a], [b]
             for at, n in zip(cut[sizes > 48], sizes[sizes > 48]):
                 f, o = fp[at : at + n], own[at : at + n]
-                whole = _forest(f)
+                start = int(key[at] >> 41)
+                whole = _forest(f, start)
                 if o[0] == o[-1]:
                     k = np.flatnonzero(whole != np.arange(n))
                     a.append(f[k])
@@ -150,7 +153,7 @@ def links(fps: DataFrame, part: int = PART) -> DataFrame:
                 # two parts: each one's own links come from its own tile, so only its seeds are linked here
                 for side in np.unique(o):
                     at_ = np.flatnonzero(o == side)
-                    seeds = at_[np.unique(_forest(f[at_]))]
+                    seeds = at_[np.unique(_forest(f[at_], start))]
                     seeds = seeds[whole[seeds] != seeds]
                     a.append(f[seeds])
                     b.append(f[whole[seeds]])

@@ -222,7 +222,7 @@ def site_templates(pages: DataFrame, url: str = "url", html: str = "html") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], names=["host", "hash", "content"])
 
     seen = pages.select(host(pages[url]).alias("host"), pages[html].alias("html")).mapInArrow(run, "host string, hash bigint, content bigint")
-    counts = seen.groupBy("host", "hash").agg(F.count_distinct("content").alias("count")).where(F.col("count") >= LEAST)
+    counts = stored(seen.groupBy("host", "hash").agg(F.count_distinct("content").alias("count")).where(F.col("count") >= LEAST))
     whole = counts.where("hash = 0").select("host", F.col("count").alias("pages"))
     often = counts.where("hash <> 0").join(whole, "host").where(F.col("count") >= SHARE * F.col("pages"))
     return often.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("template"))
