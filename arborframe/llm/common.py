@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import time
 import uuid
 
 import numpy as np
@@ -50,18 +51,27 @@ def stored(df: DataFrame) -> DataFrame:
     deleted by discard(), or when the session's driver ends."""
     spark = df.sparkSession
     where = os.path.join(checkpoint_dir(spark), f"t-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(where)
+    # a frame that was written holds its shuffle files for as long as it lives, and the caller may hold df
+    once = df.select("*")
+    once.write.option("compression", "zstd").parquet(where)
     files, path = _file_system(spark, where)
     files.deleteOnExit(path)
-    del df
-    # shuffle files of what is stored now would else stay until the driver's heap fills
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     out = spark.read.parquet(where)
     out._stored_at = where
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files that nothing will read again: it does so when their objects are collected,
+    which would else wait until the driver's heap fills.  Events under way hold them, too."""
+    gc.collect()
+    for _ in range(2):  # what the first run frees holds others
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes stored tables that nothing will read again."""
     for df in frames:
