@@ -4,7 +4,8 @@ A text is its A-Z-lowered words joined by single spaces and closed by one newlin
 is that of its tokens (the words, then one end).  Training counts every context of up to DEPTH bytes with the byte
 after it over all training texts.  A context seen LEAST times or more is retained if its next-byte distribution
 diverges enough from its suffix's, which must be retained too; nothing else bounds the model, so it grows with the
-corpus.  Distributions are smoothed with the suffix's; a byte is scored by its longest retained suffix.
+corpus.  Distributions are smoothed by absolute discounting with the suffix's; a byte is scored by its longest
+retained suffix.
 
 Only contexts of up to SHALLOW bytes (bounded by the bytes there are) are broadcast, with a bitmap of fixed size that
 tells which deeper ones may be retained.  The deeper ones are decided on where they are counted and stay there, in
@@ -35,8 +36,10 @@ from arborframe.llm.common import SLICES, bucket_count, by_bucket, discard, join
 from arborframe.llm.words import SEEDS, hashes, inverse, spans
 
 DEPTH, SHALLOW, LEAST = 6, 2, 5
-#: Nats that retaining a context must gain, for each symbol seen after it, times half the log of all positions.
-DIVERGENCE, PRIOR = 0.5, 4.0
+#: Nats that retaining a context must gain, for each symbol seen after it, times the log of all positions.
+DIVERGENCE = 0.1
+#: What each symbol seen after a context gives up of its count, to be shared out as the suffix says.
+DISCOUNT = 0.75
 #: Bytes of text in a block, and bytes that are counted or scored at once.
 BLOCK, PIECE = 6_000_000, 2_000_000
 #: Bytes of input for each bucket, and the most bits of the bitmap of retained contexts (16 a context, up to so many).
@@ -225,7 +228,7 @@ class Tree:
             on = p > 0
             gain = n * float((p[on] * np.log(p[on] / q[on])).sum()) - cost * on.sum()
             if gain >= 0:
-                dist[key] = (v + PRIOR * q) / (n + PRIOR)
+                dist[key] = (np.maximum(v - DISCOUNT, 0) + DISCOUNT * on.sum() * q) / n
         self.retained = len(dist) - 1
         # in order of time, with all prefixes, so that reading on always finds the longest suffix
         states = {()}
@@ -281,7 +284,7 @@ def retained(model: tuple, positions: int, seen: np.ndarray, counts: np.ndarray)
         _, begin, n, symbols = _contexts(k, c)
         gain = np.add.reduceat(c * np.log(c / np.repeat(n, symbols) / q), begin) - cost * symbols if len(begin) else n
         alive = np.repeat(alive[begin] & (n >= LEAST) & (gain >= 0), symbols)
-        q = np.where(alive, (c + PRIOR * q) / (np.repeat(n, symbols) + PRIOR), q)
+        q = np.where(alive, (c + DISCOUNT * (np.repeat(symbols, symbols) * q - 1)) / np.repeat(n, symbols), q)
         yield k[alive], c[alive]
         above = k
 
@@ -292,7 +295,7 @@ def log_odds(model: tuple, kept: list, keys: np.ndarray) -> np.ndarray:
     depth, keys = keys >> np.uint64(8) & np.uint64(255), keys & ~np.uint64(0xFF00)
     p, _ = _shallow_odds(model, keys)
     for d, (k, c) in enumerate(kept, SHALLOW + 1):
-        distinct, _, n, _ = _contexts(k, c)
+        distinct, _, n, symbols = _contexts(k, c)
         if not len(distinct):
             break
         mine = keys & _mask(d)
@@ -300,7 +303,7 @@ def log_odds(model: tuple, kept: list, keys: np.ndarray) -> np.ndarray:
         on = np.flatnonzero((distinct[at] == mine >> np.uint64(8)) & (depth >= d))
         at, mine = at[on], mine[on]
         own = np.minimum(np.searchsorted(k, mine), len(k) - 1)
-        p[on] = (np.where(k[own] == mine, c[own], 0) + PRIOR * p[on]) / (n[at] + PRIOR)
+        p[on] = (np.where(k[own] == mine, c[own] - DISCOUNT, 0) + DISCOUNT * symbols[at] * p[on]) / n[at]
     return np.log10(p)
 
 

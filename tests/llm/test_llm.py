@@ -277,7 +277,7 @@ def brute_suffix_tree(train, text):
                 kept, below = dist(context[1:])
                 gain = sum(c * math.log(c / total / below(b)) for b, c in own.items()) - len(own) * suffix_tree.DIVERGENCE * math.log(n)
                 kept = kept and total >= suffix_tree.LEAST and gain >= 0
-                made[context] = kept, (lambda b: (own.get(b, 0) + suffix_tree.PRIOR * below(b)) / (total + suffix_tree.PRIOR)) if kept else below
+                made[context] = kept, (lambda b: (max(own.get(b, 0) - suffix_tree.DISCOUNT, 0) + suffix_tree.DISCOUNT * len(own) * below(b)) / total) if kept else below
         return made[context]
 
     padded = b"\n" * deep + text
