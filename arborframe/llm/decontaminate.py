@@ -17,7 +17,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from arborframe.llm.common import anonymous, table, texts
+from arborframe.llm.common import anonymous, discard, stored, table, texts
 
 WINDOW = 8
 #: Patterns that one pass holds in memory; a larger benchmark is searched in further passes.
@@ -80,22 +80,24 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: lis
     """The columns `keep` of every row of docs, with n_words, n_hit, n_items, items (ids as strings, sorted),
     spans (first word and end, disjoint, in order).
 
-    The benchmark is read to the driver in parts of at most `a_pass` windows.  The tables of the later parts
-    are searched by the same row after those of earlier parts, in further passes over the rows.
+    The benchmark is read to the driver in parts of at most `a_pass` windows, of which it holds two at a time.  Each
+    part is a pass of its own: the rows found so far are written before the next part's tables are made, so a task holds
+    the tables of one part only.
     """
     keep = keep if keep is not None else [c for c in docs.columns if c != text]
     spark = docs.sparkSession
-    tables: list[tuple[list, list]] = []
-    patterns: dict = {}
-    ids: list = []
-    for item in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
-        ids.append(item[0])
-        for p in windows(bytes(item[1] or b""), width):
-            patterns.setdefault(p, []).append(len(ids) - 1)
-        if len(patterns) >= a_pass:
-            tables.append((list(patterns.items()), ids))
-            patterns, ids = {}, []
-    tables.append((list(patterns.items()), ids))
+
+    def parts():
+        patterns: dict = {}
+        ids: list = []
+        for item in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).toLocalIterator():
+            ids.append(item[0])
+            for p in windows(bytes(item[1] or b""), width):
+                patterns.setdefault(p, []).append(len(ids) - 1)
+            if len(patterns) >= a_pass:
+                yield list(patterns.items()), ids
+                patterns, ids = {}, []
+        yield list(patterns.items()), ids
 
     def scan(held, last):
         made_once: list = []
@@ -138,11 +140,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: lis
     found = "struct<items:array<string>,spans:array<struct<begin:bigint,end:bigint>>>"
     now = docs.select(*[docs[c].alias(k) for c, k in zip(keep, columns)], docs[text].alias("_text"), F.expr(f"cast(null as {found})").alias("_found"))
     kept = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, columns))
-    for k, x in enumerate(tables):
-        last = k == len(tables) - 1
+    coming = parts()
+    x, before = next(coming), None
+    while x is not None:
+        following = next(coming, None)
+        last = following is None
         tail = "n_words bigint, n_hit bigint, n_items bigint, items array<string>, spans array<struct<begin:bigint,end:bigint>>" if last else f"_text {dict(now.dtypes)['_text']}, _found {found}"
         names = columns + (["n_words", "n_hit", "n_items", "items", "spans"] if last else ["_text", "_found"])
-        function = scan(spark.sparkContext.broadcast(x), last)
+        held = spark.sparkContext.broadcast(x)
+        function = scan(held, last)
 
         def run(batches, function=function, names=names):
             for batch in batches:
@@ -151,6 +157,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: lis
                     yield pa.RecordBatch.from_arrays([made[n] for n in names], names=names)
 
         now = now.mapInArrow(run, f"{kept}, {tail}" if kept else tail)
+        if not last:
+            now = stored(now)
+            held.unpersist()
+            if before is not None:
+                discard(before)
+            before = now
+        x = following
     return now.select(*[F.col(k).alias(c) for k, c in zip(columns, keep)], "n_words", "n_hit", "n_items", "items", "spans")
 
 

@@ -30,7 +30,7 @@ def empty(spark):
 
 def test_decontamination(spark, docs, empty):
     items = spark.createDataFrame([(1, "B c D e f g h i j"), (2, "quick brown"), (3, None), (4, "b c d e f g h i")], "item_id bigint, text string")
-    for a_pass in (1, 1000):
+    for a_pass in (1, 2, 1000):
         found = {r.doc_id: r for r in decontaminate.matches(docs, items, keep=["doc_id"], a_pass=a_pass).collect()}
         assert found[7].items == ["1", "4"] and found[7].n_hit == 9 and [tuple(s) for s in found[7].spans] == [(1, 10)]
         assert found[4].items == ["2"] and found[0].n_words == 0
