@@ -4,7 +4,8 @@ Every text is addressed by its SHA-256.  A ledger row says what one version of o
 (possibly nothing); a run scans only the pairs of blob and rule version that the ledger lacks, each distinct
 blob once however many rows hold it, and joins the findings back to all rows.
 
-BASE are the contract's three rules; ADDED finds private keys, logins in addresses, and tokens of known forms.  The
+BASE are the contract's three rules; ADDED finds private keys, logins in addresses, tokens of known forms, and long
+runs of mixed characters whose entropy is that of chance.  update() keeps a ledger in a folder from run to run.  The
 query is two versions of a history: the ledger of a run with the base rules is stored, and the run with all rules adds
 only the pairs that it lacks.
 
@@ -15,7 +16,10 @@ whole; extra columns of the documents are carried or ignored, never looked up by
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -69,9 +73,24 @@ def _token(text: bytes):
         yield from (m.span() for m in _TOKEN.finditer(text))
 
 
+#: Characters and bits a character from which a run of letters of both cases and digits counts as drawn by chance.
+RUN, BITS = 32, 4.3
+_CHANCE = re.compile(rb"[A-Za-z0-9+/_-]{%d,}+" % RUN)
+_IN_RUN = bytes(49 if _CHANCE.fullmatch(bytes([c]) * RUN) else 48 for c in range(256))
+_MIXED = [re.compile(x) for x in (rb"[A-Z]", rb"[a-z]", rb"[0-9]")]
+
+
+def _chance(text: bytes):
+    if b"1" * RUN in text.translate(_IN_RUN):
+        for m in _CHANCE.finditer(text):
+            run = m.group()
+            if all(r.search(run) for r in _MIXED) and sum(n * math.log2(len(run) / n) for n in Counter(run).values()) >= BITS * len(run):
+                yield m.span()
+
+
 #: kind -> (version, function from the UTF-8 text to byte spans); kinds in this order break ties of start.
 BASE = {"assign": (1, _assign), "access": (1, _access), "hex": (1, _hex)}
-ADDED = {"private_key": (1, _private), "login": (1, _login), "token": (1, _token)}
+ADDED = {"private_key": (1, _private), "login": (1, _login), "token": (1, _token), "chance": (1, _chance)}
 RULES = BASE | ADDED
 LEDGER = "blob string, kind string, version int, spans array<struct<begin:bigint,end:bigint>>"
 
@@ -116,6 +135,29 @@ def new_entries(docs: DataFrame, ledger: DataFrame | None = None, rules=RULES, t
     return blobs.mapInArrow(run, LEDGER)
 
 
+def update(docs: DataFrame, path: str, rules=RULES, text: str = "text") -> DataFrame:
+    """The ledger kept at `path`, a shared folder, after a run over docs that adds what it lacks.
+
+    Each run is a folder of its own below `path`, written whole or not at all, so that a run that failed is run again;
+    pairs that two runs at one time both scanned are in it twice and reported once.  The first run starts with no
+    ledger.
+    """
+    spark = docs.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    glob = f"{path}/run-*"
+
+    def whole():
+        done = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{glob}/_SUCCESS"))
+        return [str(x.getPath().getParent().toString()) for x in done or []]
+
+    def read(runs):
+        return spark.read.schema(LEDGER).parquet(*runs) if runs else None
+
+    new_entries(docs, read(whole()), rules, text).write.parquet(f"{path}/run-{uuid.uuid4().hex}")
+    return read(whole())
+
+
 def report(docs: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of every row with its findings: array of (begin, kind's rank, kind, end), sorted.
 
@@ -129,7 +171,7 @@ def report(docs: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text",
     found = (
         ledger.where(current & (F.size("spans") > 0))
         .groupBy(F.col("blob").alias("_blob"))
-        .agg(F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), order[F.col("kind")].alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))))).alias("findings"))
+        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["begin"].alias("begin"), order[F.col("kind")].alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end"))))))).alias("findings"))
     )
     paths = docs.select(*keep, F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256).alias("_blob"))
     return paths.join(found, "_blob", "left").drop("_blob")
