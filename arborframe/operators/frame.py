@@ -27,6 +27,8 @@ class NestedFrame:
     def __init__(self, df: DataFrame, names: dict[tuple[str, ...], str] | None = None, scan=None):
         """scan: reads the same rows by a narrower schema, so that keep, drop and project leave the rest unread."""
         self.df, self.names, self.scan = df, dict(names or {}), scan
+        #: Of a frame that nest() made: the list's name, its records as rows, and how such rows are nested again.
+        self.nested = None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> NestedFrame:
@@ -260,6 +262,14 @@ class NestedFrame:
         if not isinstance(type_at(self.df.schema, path), T.ArrayType):
             raise TypeError("filter is of lists")
         test = self._function(fcn, args, type_at(self.df.schema, path))
+        if self.nested is not None and path == (self.nested[0],):  # the rows are filtered before they are shuffled
+            _, rows, again = self.nested
+            try:
+                out = again(rows.where(column(test(_Row(rows)))))
+                out.names = dict(self.names)
+                return out
+            except Untranslatable:
+                pass
         try:
             return self._rewrite(path, lambda col, dtype: F.filter(col, lambda x: column(test(typed(x, dtype.elementType)))))
         except Untranslatable:

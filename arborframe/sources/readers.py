@@ -165,11 +165,22 @@ def group_by_prefix(df: DataFrame, lists: bool = True, records: tuple[str, ...]
 
 
 def nest(parents: DataFrame, children: DataFrame, key: str, child_key: str, fields: list[str], name: str = "items") -> NestedFrame:
-    """Parents with the list of their children, sorted on the whole record; childless parents keep an empty one."""
-    listed = children.groupBy(F.col(child_key).alias("_key")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
-    joined = parents.join(listed, parents[key] == F.col("_key"), "left").drop("_key")
-    empty = F.array().cast(listed.schema[name].dataType)
-    return NestedFrame(joined.withColumn(name, F.coalesce(name, empty)))
+    """Parents with the list of their children, sorted on the whole record; childless parents keep an empty one.
+
+    Filters of that list, directly after, are filters of the children: their scan gets them, and what they drop is not
+    shuffled.  They then see children without a parent, too.
+    """
+    rows = children.select(F.col(child_key).alias("_key"), *fields)
+
+    def nested(rows: DataFrame) -> NestedFrame:
+        listed = rows.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias(name))
+        joined = parents.join(listed, parents[key] == F.col("_key"), "left").drop("_key")
+        empty = F.array().cast(listed.schema[name].dataType)
+        out = NestedFrame(joined.withColumn(name, F.coalesce(name, empty)))
+        out.nested = name, rows, nested
+        return out
+
+    return nested(rows)
 
 
 def with_position(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:

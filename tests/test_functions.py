@@ -8,6 +8,7 @@ import pytest
 from arborframe.functions.translate import Untranslatable, behave, required
 from arborframe.operators import NestedFrame
 from arborframe.schema import Schema, infer
+from arborframe.sources.readers import nest
 from arborframe.sources import FolderDatabase, Database, bits_of_mask, from_arrays, from_npy, group_by_prefix, mask_of_bits
 
 
@@ -217,3 +218,13 @@ def test_prefixes(spark):
     assert out.columns == ["Mu", "MET", "HLT", "run", "Odd_one"]
     row = out.first()
     assert [tuple(m) for m in row["Mu"]] == [(1, 3.0), (2, 4.0)] and row["MET"]["pt"] == 5 and row["HLT"]["a"] is True
+
+
+def test_filters_of_nested_rows_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 5), (1, None), (2, 1), (9, 7), (None, 8)], "k int, x int").write.parquet(f"{tmp_path}/t")
+    frame = nest(spark.createDataFrame([(1,), (2,), (3,)], "id int"), spark.read.parquet(f"{tmp_path}/t"), "id", "k", ["x"])
+    out = frame.filter("x > 1", at="items").filter(lambda r: r.x < 6, at="items")
+    assert {r["id"]: [i["x"] for i in r["items"]] for r in out.df.collect()} == {1: [5], 2: [], 3: []}
+    assert "GreaterThan(x,1), LessThan(x,6)" in out.df._jdf.queryExecution().executedPlan().toString()
+    held = frame.index("i", at="items").filter("i == 1", at="items")  # the place in the list before the filter
+    assert {r["id"]: [i["x"] for i in r["items"]] for r in held.df.collect()} == {1: [5], 2: [], 3: []}
