@@ -46,14 +46,14 @@ def _file_system(spark: SparkSession, where: str):
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     """Like materialize(), as a Parquet table in the shared folder: columnar, so later readers prune columns.  It is
-    deleted by discard(), or when the session's driver ends."""
+    deleted by discard(), or when the session's driver ends.  rows_a_file: the most, for large rows (0: any number)."""
     spark = df.sparkSession
     where = os.path.join(checkpoint_dir(spark), f"t-{uuid.uuid4().hex}")
     # a frame that was written holds its shuffle files for as long as it lives, and the caller may hold df
     once = df.select("*")
-    once.write.option("compression", "zstd").parquet(where)
+    once.write.option("compression", "zstd").option("maxRecordsPerFile", rows_a_file).parquet(where)
     files, path = _file_system(spark, where)
     files.deleteOnExit(path)
     release(spark)

@@ -214,6 +214,26 @@ def test_topk_tiles(spark, monkeypatch):
             assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)], q
 
 
+def test_topk_of_many_tiles(spark, monkeypatch):
+    """A block of many queries meets many tiles, in several rounds: the driver does not get it once for each tile."""
+    monkeypatch.setattr(topk, "TILE", 16)
+    monkeypatch.setattr(topk, "SHARED", 16_000, raising=False)
+    rng = np.random.default_rng(10)
+    v = rng.integers(-40, 41, (2000, 16))
+    df = spark.createDataFrame([(i, [x / 256 for x in row]) for i, row in enumerate(v.tolist())], "vec_id bigint, embedding array<float>")
+    scheduler, store = (f() for f in (spark.sparkContext._jsc.sc().dagScheduler, spark.sparkContext._jsc.sc().statusStore))
+    first, got = scheduler.nextStageId(), {}
+    for r in topk.top_k(df, lambda i: i < 400).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for i in range(400):
+        s = v @ v[i]
+        best = sorted((-s[j], j) for j in range(2000) if j != i)[:5]
+        assert sorted(got[i]) == [(n + 1, j, -x) for n, (x, j) in enumerate(best)], i
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+    sent = [store.lastStageAttempt(n).resultSize() for n in range(first, scheduler.nextStageId())]
+    assert max(sent) < 2 * v.size, sent
+
+
 def test_lines_of_colliding_kinds(spark):
     """Short, equal, similar and unlike lines, null ids and long lines, against all pairs."""
     rng = np.random.default_rng(11)
