@@ -8,7 +8,8 @@ line stands before it, in order of (doc_id, line number, text's hash; of similar
 place in its table); whether that one goes too does not matter.
 
 A set's nearest candidate is verified first, then its others; where a set has more than were listed and none
-settles it, a further search lists eight times as many, until all have been verified, so none is lost.  Rows travel
+settles it, it is compared with all sets that hold a word of its prefix, in one pass, or, if those sets are too many, a
+further search lists eight times as many, until all have been verified, so none is lost.  Rows travel
 as packed blocks in buckets whose number grows with the data; a worker holds one bucket at a time, and a word under
 which very many sets meet is dealt out as tiles.
 
@@ -39,6 +40,8 @@ TILE = 20_000
 #: Candidates of a set that one search lists, how many times as many if its nearest may well not be similar, and how
 #: many times as many the next search lists.
 FEW, WIDE, GROWTH = 8, 32, 8
+#: Unsettled sets, bytes of their lines and pairs to be compared, up to which one pass settles them.
+OPEN, OPEN_BYTES, OPEN_PAIRS = 1000, 4_000_000, 2_000_000
 #: Bytes of text that are split at once, bytes of lines and records that are sent at once, pairs that are held at once.
 PIECE, SENT, RECORDS, HELD = 1 << 18, 12_000_000, 300_000, 1_000_000
 #: Bytes of input for each bucket.
@@ -456,8 +459,14 @@ def _words(line: bytes) -> set[bytes]:
     return set(line.lower().split())
 
 
+def _similar(x: set[bytes], y: set[bytes]) -> bool:
+    common = len(x & y)
+    return common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Ids b of the pairs (a, b) whose words reach the similarity.  Only lines that are in pairs are shuffled."""
+    """Ids b of the pairs (a, b) whose words reach the similarity, stored.  Only lines that are in pairs are shuffled, and
+    all lines are read once."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     shared = sets.sparkSession.sparkContext.broadcast(_id_filter(ends))
 
@@ -469,17 +478,57 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for b, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                x, y = _words(x.as_py()), _words(y.as_py())
-                common = len(x & y)
-                if common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9:
+                if _similar(_words(x.as_py()), _words(y.as_py())):
                     out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
         settle_memory()
 
-    held = sets.select("id", "body").mapInArrow(keep, "id bigint, body binary")
+    held = stored(sets.select("id", "body").mapInArrow(keep, "id bigint, body binary"))
     first = pairs.join(held.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").select("b", "x")
     both = first.join(held.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-    return both.select("b", "x", "y").mapInArrow(run, "id bigint").distinct()
+    out = stored(both.select("b", "x", "y").mapInArrow(run, "id bigint").distinct())
+    discard(held)
+    return out
+
+
+def _compared(sets: DataFrame, wanted: DataFrame, counts: np.ndarray) -> DataFrame | None:
+    """Ids of the wanted sets that are similar to an earlier one, by comparing them with all sets that hold a word of
+    their prefixes; None if that would be too many."""
+    if wanted.count() > OPEN:
+        return None
+    mine = stored(sets.join(F.broadcast(wanted), "id", "left_semi"))
+    rows = mine.collect() if mine.agg(F.sum(F.length("body"))).first()[0] <= OPEN_BYTES else None
+    discard(mine)
+    if rows is None:
+        return None
+    pairs, own, under = 0, [], {}
+    for r in rows:
+        words = sorted(all_ := _words(bytes(r.body)))
+        sizes = np.array([len(w) for w in words])
+        entry = counts[hashes(b"".join([*words, bytes(8)]), np.cumsum(sizes) - sizes, sizes, SEEDS[:1])[0] % _U(TABLE)]
+        # a set that holds none of these has too few of the words
+        prefix = np.argsort(entry, kind="stable")[: len(words) - int(np.ceil(SIMILARITY * len(words) - 1e-9)) + 1]
+        pairs += int(entry[prefix].sum(dtype=np.int64))
+        for k in prefix.tolist():
+            under.setdefault(words[k], []).append(len(own))
+        own.append(((r.doc, r.line, r.id), all_))
+    if pairs > OPEN_PAIRS:
+        return None
+    shared = sets.sparkSession.sparkContext.broadcast((own, under, frozenset(under)))
+
+    def run(batches):
+        own, under, keys = shared.value
+        for batch in batches:
+            out = set()
+            for *place, body in zip(*(batch.column(n).to_pylist() for n in ("doc", "line", "id", "body"))):
+                words = body.lower().split()
+                if met := keys.intersection(words):
+                    words, place = set(words), tuple(place)
+                    out.update(own[k][0][2] for k in {k for w in met for k in under[w]} if place < own[k][0] and _similar(words, own[k][1]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64())], names=["id"])
+        settle_memory()
+
+    return sets.select("doc", "line", "id", "body").mapInArrow(run, "id bigint").distinct()
 
 
 def repeated_sets(held: DataFrame, buckets: int, few: int = FEW) -> DataFrame:
@@ -487,7 +536,7 @@ def repeated_sets(held: DataFrame, buckets: int, few: int = FEW) -> DataFrame:
     sets = held.where("id is not null").select("id", "doc", "line", "body")
     counts = sets.sparkSession.sparkContext.broadcast(_counts(held))
     found = stored(_listed(_candidates(sets, counts, few, buckets), few))
-    settled = stored(_verified(found.select("b", F.col("c")[0].alias("a")), sets))
+    settled = _verified(found.select("b", F.col("c")[0].alias("a")), sets)
     while True:
         open_ = found.where((F.size("c") > 1) | F.col("more")).join(settled, F.col("b") == F.col("id"), "left_anti")
         rest = stored(open_.select("b", F.explode(F.slice("c", 2, F.size("c"))).alias("a"))) if few == FEW else stored(open_.select("b", F.explode("c").alias("a")))
@@ -498,6 +547,11 @@ def repeated_sets(held: DataFrame, buckets: int, few: int = FEW) -> DataFrame:
         if wanted.isEmpty():
             discard(found, wanted)
             return settled
+        last = _compared(sets, wanted, counts.value)
+        if last is not None:
+            settled = stored(settled.unionByName(last).distinct())
+            discard(found, wanted)
+            return settled
         few *= GROWTH
         again = _listed(_candidates(sets, counts, few, buckets, wanted), few)
         found, before = stored(again.join(wanted, F.col("b") == F.col("id"), "left_semi")), found

@@ -270,3 +270,18 @@ def test_lines_of_colliding_kinds(spark):
     for r in found:
         if r.doc_id is None:
             assert 2 not in r.removed and 3 not in r.removed
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_lines_of_many_candidates(spark, monkeypatch, most):
+    """Long lines that all look alike to the filters, one of them similar to one that is not among its nearest: few sets are
+    settled in one pass, others by further searches."""
+    rng, searches, meeting = np.random.default_rng(12), [], lines._meeting
+    monkeypatch.setattr(lines, "OPEN", most, raising=False)
+    monkeypatch.setattr(lines, "_meeting", lambda *args: searches.append(1) or meeting(*args))
+    rows = [rng.permutation(1400)[:700].tolist() for _ in range(40)]
+    rows.append(rows[7][:630] + [w for w in range(1400) if w not in rows[7]][:70])
+    df = spark.createDataFrame([(i, " ".join(f"w{w}" for w in r)) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    want = [i for i, r in enumerate(rows) if any(len(set(r) & set(x)) * 5 >= 4 * len(set(r) | set(x)) for x in rows[:i])]
+    assert sorted(r.doc for r in lines.removed_lines(df).collect()) == want == [40]
+    assert bool(searches) == (not most)
