@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from arborframe.functions.translate import Maybe, Tally, Untranslatable, column, compiled, typed
+from arborframe.operators import batches
 from arborframe.plans.paths import inner, narrowed_type, pruned, rebuilt, resolve, rewritten, through_lists, type_at
 from arborframe.plans.places import placed
 
@@ -62,31 +63,31 @@ class NestedFrame:
         t = inner(dtype)
         return compiled(fcn, args, t.names if isinstance(t, T.StructType) else None)
 
-    def _udf(self, fcn, args, kind):
-        """The last resort: an Arrow-batched Python function of one item."""
-        args = args if isinstance(args, (tuple, list)) else (args,)
+    def _stays(self, fcn) -> None:
         if not callable(fcn):
             raise Untranslatable(str(fcn))
         _log.warning("%s has no column form and stays Python", getattr(fcn, "__name__", fcn))
-        return F.udf(lambda *x: fcn(*x, *args), kind, useArrow=True)
 
-    def _python(self, fcn, path, change, kind) -> NestedFrame:
-        """The last resort at a path: change(value there) in Python, `kind` being the top column's type after it."""
-        top, dtype = path[0], self.df.schema[path[0]].dataType
-        if not callable(fcn):
-            raise Untranslatable(str(fcn))
-        _log.warning("%s has no column form and stays Python", getattr(fcn, "__name__", fcn))
+    def _udf(self, fcn, args, kind: str):
+        """The last resort: a Python function of the row, as a function of the row's struct."""
+        self._stays(fcn)
+        args, dtype, made = args if isinstance(args, (tuple, list)) else (args,), self.df.schema, T._parse_datatype_string(kind)
 
-        def walk(value, dtype, path):
-            if value is None:
-                return None
-            if not path:
-                return change(value)
-            if isinstance(dtype, T.ArrayType):
-                return [walk(x, dtype.elementType, path) for x in value]
-            return tuple(walk(value[f.name], f.dataType, path[1:]) if f.name == path[0] else value[f.name] for f in dtype.fields)
+        def run(array):
+            return batches.arrayed([fcn(x, *args) for x in batches.each(array, dtype)], made)
 
-        return self._new(self.df.withColumn(top, F.udf(lambda value: walk(value, dtype, path[1:]), kind, useArrow=True)(F.col(f"`{top}`"))))
+        return batches.udf(run, made)
+
+    def _python(self, fcn, path, change, kind) -> NestedFrame:
+        """The last resort at a path: change(array there, its type) in Python, `kind` being the top column's type after it.
+
+        To Spark it is not deterministic: else filters of what it makes, which unnesting adds by itself, run the
+        function once more for each item.
+        """
+        self._stays(fcn)
+        top, dtype = path[0], self.df.schema[path[0]].dataType
+        run = batches.udf(lambda array: batches.at_path(array, dtype, path[1:], change), kind).asNondeterministic()
+        return self._new(self.df.withColumn(top, run(F.col(f"`{top}`"))))
 
     # -- recastings ------------------------------------------------------------------------------------------
 
@@ -274,7 +275,7 @@ class NestedFrame:
             return self._rewrite(path, lambda col, dtype: F.filter(col, lambda x: column(test(typed(x, dtype.elementType)))))
         except Untranslatable:
             more = args if isinstance(args, (tuple, list)) else (args,)
-            return self._python(fcn, path, lambda a: [x for x in a if fcn(x, *more)], self.df.schema[path[0]].dataType)
+            return self._python(fcn, path, lambda array, dtype: batches.kept(array, dtype, lambda x: fcn(x, *more)), self.df.schema[path[0]].dataType)
 
     def define(self, fieldname: str, fcn, args=(), at: str = "", fieldtype: str = "double") -> NestedFrame:
         """Adds or replaces a field by a function of its record; fieldtype is only for functions that stay Python."""
@@ -293,11 +294,8 @@ class NestedFrame:
             more = args if isinstance(args, (tuple, list)) else (args,)
             made = T._parse_datatype_string(fieldtype)
 
-            def change(x):
-                if isinstance(x, list):
-                    return [None if y is None else change(y) for y in x]
-                y = fcn(x, *more)
-                return tuple(y if n == fieldname else x[n] for n in x.__fields__) + (() if fieldname in x.__fields__ else (y,))
+            def change(array, dtype):
+                return batches.defined(array, dtype, fieldname, lambda x: fcn(x, *more), made)
 
             def grown(dtype, path):
                 if isinstance(dtype, T.ArrayType):
@@ -366,7 +364,8 @@ class NestedFrame:
             y = fcn(x, *args)
             return None if y is None else (y,) if flat else tuple(y)
 
-        made = df.select(self._udf(run, (), kind)(whole).alias("_made"))
+        self._stays(fcn)
+        made = df.select(F.udf(run, kind, useArrow=True)(whole).alias("_made"))
         return made.where("_made is not null").select("_made.*")
 
     def reduces(self, folds: dict, at: str = "") -> dict:

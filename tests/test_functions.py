@@ -1,12 +1,18 @@
 """What functions may do, and that what cannot be translated is right all the same."""
 
+import datetime
 import math
+import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row, functions as F, types as T
+from pyspark.sql.conversion import ArrowTableToRowsConversion
+from pyspark.sql.pandas.types import to_arrow_type
 
 from arborframe.functions.translate import Untranslatable, behave, required
-from arborframe.operators import NestedFrame
+from arborframe.operators import NestedFrame, batches
 from arborframe.schema import Schema, infer
 from arborframe.sources.readers import nest
 from arborframe.sources import FolderDatabase, Database, bits_of_mask, from_arrays, from_npy, group_by_prefix, mask_of_bits
@@ -228,3 +234,32 @@ def test_filters_of_nested_rows_reach_the_scan(spark, tmp_path):
     assert "GreaterThan(x,1), LessThan(x,6)" in out.df._jdf.queryExecution().executedPlan().toString()
     held = frame.index("i", at="items").filter("i == 1", at="items")  # the place in the list before the filter
     assert {r["id"]: [i["x"] for i in r["items"]] for r in held.df.collect()} == {1: [5], 2: [], 3: []}
+
+
+def test_python_filters_run_once_an_item(nested, spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def odd(h):
+        calls.add(1)
+        return len([i for i in range(abs(h.x)) if i % 2 == 0]) % 2 == 1
+
+    out = nested.filter(odd, at="hey").df.select("k", F.inline("hey"))
+    calls.value = 0  # the function was tried on symbols
+    assert sorted(r["x"] for r in out.collect()) == [1, 2, 5] and calls.value == 5
+
+
+def test_values_of_arrow_columns():
+    names = T._parse_datatype_string("struct<x:int,count:string,l:array<struct<y:double>>,t:timestamp,b:binary,m:map<string,int>>")
+    when = datetime.datetime(2020, 1, 2, tzinfo=datetime.timezone.utc)
+    rows = [{"x": 1, "count": "a", "l": [{"y": 0.5}, None], "t": when, "b": b"q", "m": [("k", 2)]}, None, {"x": None, "count": None, "l": None, "t": None, "b": None, "m": None}] * 2
+    got = batches.values(pa.array(rows, to_arrow_type(names)).slice(1, 3), names)  # a part of an array is read as such
+    want = ArrowTableToRowsConversion._create_converter(names)
+    assert got == [want(x) for x in rows[1:4]] and got[0] is None and got[1].l is None
+    full = got[2]
+    assert full.x == full["x"] == full[0] == 1 and full.l[0].y == 0.5 and full.l[1] is None and callable(full.count) and full["count"] == "a"
+    assert isinstance(full, Row) and full.asDict(True)["l"] == [{"y": 0.5}, None] and "x" in full and full.__fields__ == names.names and pickle.loads(pickle.dumps(full)) == full
+    with pytest.raises(AttributeError):
+        full.nowhere
+    lists = T.ArrayType(T.LongType())
+    array = pa.array([[9], [1, 2, 3], None, [], [4]], to_arrow_type(lists)).slice(1)
+    assert batches.kept(array, lists, lambda x: x != 2).to_pylist() == [[1, 3], None, [], [4]] and batches.kept(array.slice(4), lists, bool).to_pylist() == []
