@@ -285,7 +285,7 @@ class NestedFrame:
             try:
                 return self._new(self.df.withColumn(fieldname, column(value(_Row(self.df)))))
             except Untranslatable:
-                return self._new(self.df.withColumn(fieldname, self._udf(fcn, args, fieldtype)(F.struct("*"))))
+                return self._new(self.df.withColumn(fieldname, self._udf(fcn, args, fieldtype).asNondeterministic()(F.struct("*"))))
         if not isinstance(inner(type_at(self.df.schema, path)), T.StructType):
             raise TypeError("only a record has fields")
         try:

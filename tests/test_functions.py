@@ -263,3 +263,22 @@ def test_values_of_arrow_columns():
     lists = T.ArrayType(T.LongType())
     array = pa.array([[9], [1, 2, 3], None, [], [4]], to_arrow_type(lists)).slice(1)
     assert batches.kept(array, lists, lambda x: x != 2).to_pylist() == [[1, 3], None, [], [4]] and batches.kept(array.slice(4), lists, bool).to_pylist() == []
+
+
+def test_python_definitions_run_once_a_record(nested, spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def shown(h):
+        calls.add(1)
+        return f"{h.x:+d}"
+
+    out = nested.define("s", shown, at="hey", fieldtype="string").df.select(F.inline("hey"))
+    calls.value = 0
+    assert sorted(r["s"] for r in out.collect()) == ["+1", "+2", "+3", "+5", "-4"] and calls.value == 5
+    out = NestedFrame(nested.df.select(F.inline("hey"))).define("s", shown, fieldtype="string").df.where("s > '+' and s is not null")
+    calls.value = 0
+    assert out.count() == 5 and calls.value == 5
+    rows = [(1, [[(1, None), None], None, []]), (2, None), (3, [[(7, 8)]])]
+    deep = NestedFrame(spark.createDataFrame(rows, "k int, l array<array<struct<x:int,y:int>>>"))
+    got = deep.define("x", lambda h: f"{h.x:03d}", at="l", fieldtype="string").df.orderBy("k").collect()
+    assert [r["l"] for r in got] == [[[("001", None), None], None, []], None, [[("007", 8)]]]
