@@ -28,7 +28,8 @@ class NestedFrame:
     def __init__(self, df: DataFrame, names: dict[tuple[str, ...], str] | None = None, scan=None):
         """scan: reads the same rows by a narrower schema, so that keep, drop and project leave the rest unread."""
         self.df, self.names, self.scan = df, dict(names or {}), scan
-        #: Of a frame that nest() made: the list's name, its records as rows, and how such rows are nested again.
+        #: Of a frame that nest() made: the list's name, its records as rows, how such rows are nested again, and the
+        #: first of them that have a parent.
         self.nested = None
 
     @classmethod
@@ -264,7 +265,7 @@ class NestedFrame:
             raise TypeError("filter is of lists")
         test = self._function(fcn, args, type_at(self.df.schema, path))
         if self.nested is not None and path == (self.nested[0],):  # the rows are filtered before they are shuffled
-            _, rows, again = self.nested
+            _, rows, again, _ = self.nested
             try:
                 out = again(rows.where(column(test(_Row(rows)))))
                 out.names = dict(self.names)
@@ -337,7 +338,7 @@ class NestedFrame:
         try:
             value = self._function(fcn, args, dtype)(typed(item, dtype))
         except Untranslatable:
-            return self._map_python(fcn, args, df, item, names, types)
+            return self._map_python(fcn, args, df, item, names, types, self._one(at))
         if isinstance(value, Maybe):
             df = df.where(value.condition)
         if isinstance(value, tuple):
@@ -346,12 +347,19 @@ class NestedFrame:
         name = (names or ["f0"])[0]
         return df.select(column(value).alias(name)).where(F.col(name).isNotNull())
 
-    def _map_python(self, fcn, args, df, item, names, types) -> DataFrame:
+    def _map_python(self, fcn, args, df, item, names, types, path) -> DataFrame:
         args = args if isinstance(args, (tuple, list)) else (args,)
         if not callable(fcn):
             raise Untranslatable(str(fcn))
         whole = item if isinstance(item, Column) else F.struct(*[F.col(f"`{n}`") for n in df.columns])
-        tried = [] if types and names else [y for r in df.select(whole).limit(TRIED).collect() if (y := fcn(r[0], *args)) is not None]
+        items = df.select(whole.alias("_item"))
+        tried = []
+        if not (types and names):
+            firsts = self.nested[3](TRIED) if self.nested is not None and path == (self.nested[0],) else []
+            for some in (firsts, None):  # what nest() listed is tried before it is listed, all that only if that gives nothing
+                some = [r[0] for r in items.limit(TRIED).collect()] if some is None else some
+                if tried := [y for x in some if (y := fcn(x, *args)) is not None]:
+                    break
         if not tried and not types:
             raise TypeError("the first items give no result that tells its type")
         flat = not (isinstance(tried[0], tuple) if tried else len(names) > 1)
@@ -360,13 +368,18 @@ class NestedFrame:
         kinds = [T._parse_datatype_string(t) for t in types] if types else [_kind([r[i] for r in rows]) for i in range(len(fields))]
         kind = T.StructType([T.StructField(n, t) for n, t in zip(fields, kinds)])
 
-        def run(x):
-            y = fcn(x, *args)
-            return None if y is None else (y,) if flat else tuple(y)
-
         self._stays(fcn)
-        made = df.select(F.udf(run, kind, useArrow=True)(whole).alias("_made"))
-        return made.where("_made is not null").select("_made.*")
+        dtype = items.schema[0].dataType
+
+        def run(parts):
+            import pyarrow as pa
+
+            for part in parts:
+                made = [(y,) if flat else tuple(y) for x in batches.each(part.column(0), dtype) if (y := fcn(x, *args)) is not None]
+                columns = zip(*made, strict=True) if made else [()] * len(kind)
+                yield pa.RecordBatch.from_arrays([batches.arrayed(list(c), f.dataType) for c, f in zip(columns, kind, strict=True)], names=kind.names)
+
+        return items.mapInArrow(run, kind)
 
     def reduces(self, folds: dict, at: str = "") -> dict:
         """The folds name -> (tally, fcn) by +, min or max over the same items, as one aggregation."""

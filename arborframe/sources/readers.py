@@ -177,9 +177,16 @@ def nest(parents: DataFrame, children: DataFrame, key: str, child_key: str, fiel
         joined = parents.join(listed, parents[key] == F.col("_key"), "left").drop("_key")
         empty = F.array().cast(listed.schema[name].dataType)
         out = NestedFrame(joined.withColumn(name, F.coalesce(name, empty)))
-        out.nested = name, rows, nested
+        out.nested = name, rows, nested, lambda n: firsts(rows, n)
         return out
 
+    def firsts(rows: DataFrame, n: int) -> list:
+        """Up to n of the listed records, of the first rows that the scan gives: nothing is shuffled for them."""
+        some = rows.select("_key", F.struct(*fields)).limit(n).collect()
+        keys = [r[0] for r in some if r[0] is not None]
+        there = {r[0] for r in parents.where(F.col(key).isin(keys)).select(key).distinct().collect()}
+        return [r[1] for r in some if r[0] in there]
+
     return nested(rows)
 
 

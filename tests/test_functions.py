@@ -282,3 +282,29 @@ def test_python_definitions_run_once_a_record(nested, spark):
     deep = NestedFrame(spark.createDataFrame(rows, "k int, l array<array<struct<x:int,y:int>>>"))
     got = deep.define("x", lambda h: f"{h.x:03d}", at="l", fieldtype="string").df.orderBy("k").collect()
     assert [r["l"] for r in got] == [[[("001", None), None], None, []], None, [[("007", 8)]]]
+
+
+def test_python_maps_run_once_an_item_and_are_tried_on_few(nested, spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def shown(h):
+        calls.add(1)
+        if h.x == 99:
+            raise ValueError("no parent has it")
+        return (h.x, f"{h.x:+d}") if h.x != 3 else None
+
+    out = nested.map(shown, at="hey", names=["x", "s"])
+    calls.value = 0
+    assert sorted(map(tuple, out.collect())) == [(-4, "-4"), (1, "+1"), (2, "+2"), (5, "+5")] and calls.value == 5
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for part in parts:
+            read.add(part.num_rows)
+            yield part
+
+    children = spark.range(0, 4000, 1, 4).selectExpr("if(id % 10 = 0, 9, id % 10) as k", "if(id % 10 in (0, 9), 99, id) as x").mapInArrow(counted, "k bigint, x bigint")
+    frame = nest(spark.range(9), children, "id", "k", ["x"])
+    out = frame.map(shown, at="items")
+    assert read.value <= 1000  # of four parts at most one is read to its end, and none is shuffled
+    assert out.dtypes == [("f0", "bigint"), ("f1", "string")] and out.count() == sum(i % 10 not in (0, 9) and i != 3 for i in range(4000))
